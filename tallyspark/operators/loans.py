@@ -10,6 +10,11 @@ from tallyspark import constants as K
 from tallyspark.functions import codes, dates, money, text as tx
 
 
+def cents(c: Column) -> Column:
+    """Double rounded to cents on the scaled value."""
+    return F.round(c * 100) / 100
+
+
 def loan_terms(loans: DataFrame) -> DataFrame:
     """Parsed terms; months come from total / payment and default to 60."""
     payment = money.lenient_amount(F.col("payment"))
@@ -70,10 +75,10 @@ def schedule_entry(principal: Column, rate: Column, payment: Column, months: Col
     part = F.when(k == months, balance).otherwise(payment.cast("double") - interest)
     total = F.when(k == months, interest + balance).otherwise(payment.cast("double"))
     return F.struct(
-        F.round(total, 2).alias("total_payment"),
-        F.round(interest, 2).alias("interest_expense"),
-        F.round(part, 2).alias("principal_liability"),
-        F.round(F.greatest(balance - part, F.lit(0.0)), 2).alias("ending_balance"),
+        cents(total).alias("total_payment"),
+        cents(interest).alias("interest_expense"),
+        cents(part).alias("principal_liability"),
+        cents(F.greatest(balance - part, F.lit(0.0))).alias("ending_balance"),
     )
 
 
@@ -98,10 +103,10 @@ def schedules(terms: DataFrame) -> DataFrame:
     return rows.select(
         "client_id", "loan_pos", (F.col("i") + 1).alias("month_no"),
         F.add_months("start_date", F.col("i")).alias("payment_date"),
-        F.round(F.when(last, interest + F.col("balance")).otherwise(p), 2).alias("total_payment"),
-        F.round(interest, 2).alias("interest_expense"),
-        F.round(part, 2).alias("principal_liability"),
-        F.round(F.greatest(F.col("balance") - part, F.lit(0.0)), 2).alias("ending_balance"),
+        cents(F.when(last, interest + F.col("balance")).otherwise(p)).alias("total_payment"),
+        cents(interest).alias("interest_expense"),
+        cents(part).alias("principal_liability"),
+        cents(F.greatest(F.col("balance") - part, F.lit(0.0))).alias("ending_balance"),
     )
 
 
