@@ -65,12 +65,9 @@ def a4(i):
 
 
 def run_summary(i):
-    rates = summary.match_rates(full_cascade(i), ["client_id"])
-    codes_found = unknown_codes(i).groupBy("client_id").agg(F.count("*").alias("codes_found"), F.sum("n").alias("code_rows"))
-    j = rates.join(codes_found, "client_id", "left").fillna(0, ["codes_found", "code_rows"])
     # retries of outside services are an input of the run
     retries = (F.col("client_id") % 3).cast("bigint")
-    return j.withColumn("warnings", summary.run_warnings(F.col("ama_rate"), F.col("codes_found"), F.col("code_rows"), retries))
+    return summary.run_summary(full_cascade(i), ["client_id"], retries)
 
 
 WARNING_SQL = f"""{FULL_CASCADE},{UNKNOWN_SQL},

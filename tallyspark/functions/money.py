@@ -13,14 +13,12 @@ MONEY = "decimal(18,2)"
 
 def lenient_amount(c: Column) -> Column:
     """Number without `,` and `$`; blank or unreadable text gives null."""
-    return F.nullif(strip(F.regexp_replace(c, "[,$]", "")), F.lit("")).try_cast(MONEY)
+    return F.regexp_replace(c, "[,$]", "").try_cast(MONEY)
 
 
 def ledger_amount(c: Column) -> Column:
     """Ledger number; parentheses are dropped and do not negate; unreadable text is zero."""
-    return F.coalesce(
-        F.nullif(strip(F.regexp_replace(c, r"[,$()]", "")), F.lit("")).try_cast(MONEY), F.lit(0).cast(MONEY)
-    )
+    return F.coalesce(F.regexp_replace(c, r"[,$()]", "").try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def accounting_amount(c: Column) -> Column:
@@ -33,12 +31,12 @@ def accounting_amount(c: Column) -> Column:
 
 def digits_amount(c: Column) -> Column:
     """Money text of an extraction: only digits and dot count."""
-    return F.nullif(F.regexp_replace(c, r"[^\d.]", ""), F.lit("")).try_cast(MONEY)
+    return F.regexp_replace(c, r"[^\d.]", "").try_cast(MONEY)
 
 
 def type_column_amount(c: Column) -> Column:
     """Signed amount in front of a type text such as `-1148 ACH_DEBIT`."""
-    return F.nullif(F.regexp_extract(strip(c), r"^(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast(MONEY)
+    return F.regexp_extract(c, r"^\s*(-?\d+(?:\.\d+)?)", 1).try_cast(MONEY)
 
 
 def payment_text(c: Column) -> Column:

@@ -47,18 +47,20 @@ def bank_csv_rows(raw: DataFrame) -> DataFrame:
         return money.lenient_amount(F.col(name)) if name in names else F.lit(None).cast(money.MONEY)
 
     typed = money.type_column_amount(F.col("type")) if "type" in names else F.lit(None).cast(money.MONEY)
-    signed = amount("amount")
-    sides = amount("credit").isNotNull() | amount("debit").isNotNull()
-    credit = F.when(typed.isNotNull(), money.credit_part(typed)).when(sides, amount("credit")).otherwise(money.credit_part(signed))
-    debit = F.when(typed.isNotNull(), money.debit_part(typed)).when(sides, amount("debit")).otherwise(money.debit_part(signed))
     keep = [c for c in raw.columns if c not in {"date", "description", "type", "amount", "credit", "debit"}]
-    rows = raw.select(
+    # parse once, combine afterwards: the parsed columns stay columns instead of being repeated as expressions
+    parsed = raw.select(
         *keep, tx.strip(F.col("date")).alias("date"), tx.strip(F.col("description")).alias("description"),
-        credit.alias("c"), debit.alias("d"),
-    ).filter((F.col("date") != "") & (F.col("description") != "") & (F.col("c").isNotNull() | F.col("d").isNotNull()))
+        F.array(typed, amount("credit"), amount("debit"), amount("amount")).alias("v"),
+    ).filter((F.col("date") != "") & (F.col("description") != ""))
+    ty, cr, de, am = (F.get("v", F.lit(k)) for k in range(4))
+    sides = cr.isNotNull() | de.isNotNull()
+    credit = F.when(ty.isNotNull(), money.credit_part(ty)).when(sides, cr).otherwise(money.credit_part(am))
+    debit = F.when(ty.isNotNull(), money.debit_part(ty)).when(sides, de).otherwise(money.debit_part(am))
+    rows = parsed.filter(F.coalesce(ty, cr, de, am).isNotNull()).withColumn("c", credit).withColumn("d", debit)
     return rows.withColumn("credit", F.when(F.col("c") > 0, F.col("c"))).withColumn(
         "debit", F.when(~F.coalesce(F.col("c") > 0, F.lit(False)) & (F.col("d") > 0), F.col("d"))
-    ).drop("c", "d")
+    ).drop("c", "d", "v")
 
 
 def bank_sheet_rows(raw: DataFrame) -> DataFrame:
@@ -223,3 +225,14 @@ def coa_categories(coa: DataFrame) -> DataFrame:
     present = [tx.missing_to_null(F.col(f"`{by_name[c]}`")) for c in K.COA_CATEGORY_COLUMNS if c in by_name]
     name = F.lower(tx.squeeze(F.coalesce(*present)))
     return coa.select(name.alias("category")).filter(F.coalesce("category", F.lit("")) != "").distinct()
+
+
+ORGANISER_FIELDS = ["documentLabel", "categoryId", "categoryName", "subcategoryId", "subcategoryName", "priority"]
+
+
+def organiser_rows(replies: DataFrame, column: str) -> DataFrame:
+    """Mapped documents of a JSON reply in a fixed all-string shape, one row per document."""
+    schema = "mapped array<struct<" + ",".join(f"{f}:string" for f in ORGANISER_FIELDS) + ">>"
+    keep = [c for c in replies.columns if c != column]
+    rows = replies.select(*keep, F.explode(F.from_json(column, schema)["mapped"]).alias("m"))
+    return rows.select(*keep, *[F.coalesce(F.col(f"m.{f}"), F.lit("")).alias(f) for f in ORGANISER_FIELDS])

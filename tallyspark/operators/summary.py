@@ -56,35 +56,49 @@ def unknown_vendor_codes(rows: DataFrame, keys: list[str], position: str = "row_
     """Count and first three distinct descriptions per unknown code.
 
     Rows are first reduced to one per (code, description), which combines map-side, so a hot code never
-    collects its rows; the window then sees only distinct descriptions.
+    collects its rows; the window then sees only distinct descriptions and shares one shuffle with the result.
     """
     texts = rows.groupBy(*keys, "code", F.trim("description").alias("sample")).agg(
         F.count("*").alias("n"), F.min(position).alias("first_pos")
     )
-    order = F.row_number().over(W.partitionBy(*keys, "code").orderBy("first_pos", "sample"))
-    totals = texts.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
-    samples = (
-        texts.filter(F.col("sample") != "").withColumn("rank", order).filter("rank <= 3")
-        .groupBy(*keys, "code").agg(F.array_sort(F.collect_list(F.struct("rank", "sample"))).alias("s"))
+    group = W.partitionBy(*keys, "code")
+    ranked = (
+        texts.withColumn("total", F.sum("n").over(group))
+        .withColumn("rank", F.row_number().over(group.orderBy(F.col("sample") == "", "first_pos", "sample")))
+        .filter("rank <= 3")
     )
-    return totals.join(samples, [*keys, "code"], "left").select(
-        *keys, "code", "n", F.coalesce(F.col("s.sample"), F.array().cast("array<string>")).alias("samples")
+    samples = F.array_sort(F.collect_list(F.when(F.col("sample") != "", F.struct("rank", "sample"))))
+    return ranked.groupBy(*keys, "code").agg(F.max("total").alias("n"), samples["sample"].alias("samples"))
+
+
+def run_summary(rows: DataFrame, keys: list[str], retries: Column) -> DataFrame:
+    """Totals, default rate, unknown-code counts and warnings per run, in one pass over the rows."""
+    code = F.when(F.col("coded_unknown"), F.col("code"))
+    per_code = rows.groupBy(*keys, code.alias("code")).agg(F.count("*").alias("n"), F.count_if(is_matched()).alias("m"))
+    per_run = per_code.groupBy(*keys).agg(
+        F.sum("n").alias("total"), F.sum("m").alias("matched"), F.count("code").alias("codes_found"),
+        F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("code_rows"),
     )
+    unmatched = F.col("total") - F.col("matched")
+    rated = per_run.withColumn("unmatched", unmatched).withColumn("ama_rate", money.percent(unmatched, F.col("total")))
+    return rated.withColumn("warnings", run_warnings(F.col("ama_rate"), F.col("codes_found"), F.col("code_rows"), retries))
 
 
 def merge_unknown_codes(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Merge of per-file lists: counts add up, samples keep their first three distinct texts in file order."""
-    totals = parts.groupBy(*keys, "code").agg(F.sum("n").alias("n"))
-    samples = (
-        parts.select(*keys, "code", "file_pos", F.posexplode("samples").alias("i", "sample"))
-        .groupBy(*keys, "code", "sample").agg(F.min(F.struct("file_pos", "i")).alias("at"))
-        .withColumn("rank", F.row_number().over(W.partitionBy(*keys, "code").orderBy("at")))
-        .filter("rank <= 3")
-        .groupBy(*keys, "code").agg(F.array_sort(F.collect_list(F.struct("rank", "sample"))).alias("s"))
+    group = W.partitionBy(*keys, "code")
+    texts = (
+        parts.select(*keys, "code", "n", "file_pos", F.posexplode_outer("samples").alias("i", "sample"))
+        .groupBy(*keys, "code", "sample")
+        .agg(F.min(F.struct("file_pos", "i")).alias("at"), F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n"))).alias("n"))
     )
-    return totals.join(samples, [*keys, "code"], "left").select(
-        *keys, "code", "n", F.coalesce(F.col("s.sample"), F.array().cast("array<string>")).alias("samples")
+    ranked = (
+        texts.withColumn("total", F.sum("n").over(group))
+        .withColumn("rank", F.row_number().over(group.orderBy(F.col("sample").isNull(), "at")))
+        .filter("rank <= 3")
     )
+    samples = F.array_sort(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("rank", "sample"))))
+    return ranked.groupBy(*keys, "code").agg(F.max("total").alias("n"), samples["sample"].alias("samples"))
 
 
 def _one_decimal(rate: Column) -> Column:
