@@ -42,17 +42,14 @@ def parse_long_date(c: Column) -> Column:
 
 def statement_period(text: Column) -> Column:
     """Struct of start, end and year; each layout must give two readable dates."""
-    layouts = []
-    for pattern in K.STATEMENT_PERIOD_PATTERNS:
-        start = parse_long_date(F.regexp_extract(text, pattern, 1))
-        end = parse_long_date(F.regexp_extract(text, pattern, 2))
-        layouts.append(
-            F.when(
-                start.isNotNull() & end.isNotNull(),
-                F.struct(start.alias("start_date"), end.alias("end_date"), F.year(start).alias("year")),
-            )
-        )
-    return F.coalesce(*layouts)
+    found = F.array(
+        *[F.struct(F.regexp_extract(text, p, 1).alias("a"), F.regexp_extract(text, p, 2).alias("b")) for p in K.STATEMENT_PERIOD_PATTERNS]
+    )
+    parsed = F.transform(
+        found, lambda x: F.struct(parse_long_date(x["a"]).alias("start_date"), parse_long_date(x["b"]).alias("end_date"))
+    )
+    first = F.get(F.filter(parsed, lambda x: x["start_date"].isNotNull() & x["end_date"].isNotNull()), F.lit(0))
+    return F.when(first.isNotNull(), first.withField("year", F.year(first["start_date"])))
 
 
 def month_day_date(mmdd: Column, year: Column) -> Column:
