@@ -50,7 +50,7 @@ def a12(i):
 
 @query("a13_rule_base_health", f"""
 WITH miss AS (SELECT client_id, count(*) AS n FROM rules r WHERE trim(account_id) <> '' AND trim(account_name) <> ''
-    AND NOT EXISTS (SELECT 1 FROM coa c WHERE lower(trim(c.account_id)) = lower(trim(r.account_id))) AND NOT EXISTS (SELECT 1 FROM coa c WHERE lower(trim(c.account)) = lower(trim(r.account_name))) GROUP BY 1),
+    AND NOT EXISTS (SELECT 1 FROM coa c WHERE c.client_id = r.client_id AND lower(trim(c.account_id)) = lower(trim(r.account_id))) AND NOT EXISTS (SELECT 1 FROM coa c WHERE c.client_id = r.client_id AND lower(trim(c.account)) = lower(trim(r.account_name))) GROUP BY 1),
 gen AS (SELECT client_id, count(*) AS n FROM ({A12_SQL}) g GROUP BY 1), ov AS (SELECT client_id, count(*) AS n FROM ({conflicts_sql('unknown')}) o GROUP BY 1),
 t AS (SELECT r.client_id, r.n AS rule_count, r.n < 30 AS low_rule_count, coalesce(miss.n, 0) AS missing_count, coalesce(gen.n, 0) AS generic_count, coalesce(ov.n, 0) AS overlap_count
   FROM (SELECT client_id, count(*) AS n FROM rules GROUP BY 1) r LEFT JOIN miss USING (client_id) LEFT JOIN gen USING (client_id) LEFT JOIN ov USING (client_id))
@@ -168,10 +168,10 @@ def d5(i):
     return ledger.distinct_splits(bank_splits(i))
 
 
-@query("j14_coa_keyword_match", f"""WITH w AS (SELECT trim(account) AS account, coa_pos, unnest(regexp_split_to_array(lower(trim(account)), '\\s+')) AS word FROM coa),
-t AS (SELECT DISTINCT description FROM bank_txn),
-h AS (SELECT description, arg_min(account, lpad(CAST(coa_pos AS VARCHAR), 6, '0') || account) AS category FROM t JOIN w ON length(word) > 3 AND contains(lower(description), word) GROUP BY description)
-SELECT t.description, category FROM t LEFT JOIN h USING (description)""")
+@query("j14_coa_keyword_match", f"""WITH w AS (SELECT client_id AS wc, trim(account) AS account, coa_pos, unnest(regexp_split_to_array(lower(trim(account)), '\\s+')) AS word FROM coa),
+t AS (SELECT DISTINCT client_id, description FROM bank_txn),
+h AS (SELECT client_id, description, arg_min(account, lpad(CAST(coa_pos AS VARCHAR), 6, '0') || account) AS category FROM t JOIN w ON client_id = wc AND length(word) > 3 AND contains(lower(description), word) GROUP BY client_id, description)
+SELECT t.client_id, t.description, category FROM t LEFT JOIN h USING (client_id, description)""")
 def j14(i):
     return ledger.coa_keyword_match(i.bank_txn, i.coa)
 

@@ -158,8 +158,8 @@ def j6(i):
 @query("j11_rules_missing_in_coa", """
 SELECT client_id, rule_pos, rule_id, account_id, account_name FROM rules r
 WHERE trim(account_id) <> '' AND trim(account_name) <> ''
-  AND NOT EXISTS (SELECT 1 FROM coa c WHERE lower(trim(c.account_id)) = lower(trim(r.account_id)))
-  AND NOT EXISTS (SELECT 1 FROM coa c WHERE lower(trim(c.account)) = lower(trim(r.account_name)))""")
+  AND NOT EXISTS (SELECT 1 FROM coa c WHERE c.client_id = r.client_id AND lower(trim(c.account_id)) = lower(trim(r.account_id)))
+  AND NOT EXISTS (SELECT 1 FROM coa c WHERE c.client_id = r.client_id AND lower(trim(c.account)) = lower(trim(r.account_name)))""")
 def j11(i):
     return rules.rules_missing_in_coa(i.rules, i.coa).select("client_id", "rule_pos", "rule_id", "account_id", "account_name")
 

@@ -191,9 +191,9 @@ def n17(i):
     return i.rules.select("client_id", "rule_pos", F.array_join(tx.normalise_triggers(noisy), "|").alias("triggers"))
 
 
-@query("n18_coa_categories", f"SELECT DISTINCT lower({q.squeeze('account')}) AS category FROM coa WHERE lower(trim(account)) NOT IN ('', 'nan', 'none', 'null')")
+@query("n18_coa_categories", f"SELECT DISTINCT client_id, lower({q.squeeze('account')}) AS category FROM coa WHERE lower(trim(account)) NOT IN ('', 'nan', 'none', 'null')")
 def n18(i):
-    return ingest.coa_categories(i.coa)
+    return ingest.coa_categories(i.coa, ["client_id"])
 
 
 TAX_TEXT = "concat(description, CASE CAST(row_pos % 4 AS INT) WHEN 0 THEN ' ftb' WHEN 1 THEN ' IRS' WHEN 2 THEN ' Cdtfa' ELSE '' END)"

@@ -60,7 +60,7 @@ def check_memo_key(c: Column) -> Column:
     """Memo key under which `Check 3340` and `CHECK # 3340` agree."""
     s = F.lower(strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("#"), F.lit("")), F.lit("  "), F.lit(" "))))
     for prefix in ["check", "chk", "ch"]:
-        s = F.when(F.startswith(s, F.lit(prefix + " ")), strip(F.substring(s, len(prefix) + 1, 1_000_000))).otherwise(s)
+        s = F.regexp_replace(s, rf"^{prefix} \s*", "")
     return s
 
 

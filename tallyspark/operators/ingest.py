@@ -219,12 +219,12 @@ def coa_rows(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.coalesce(tx.strip(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in raw.columns])
 
 
-def coa_categories(coa: DataFrame) -> DataFrame:
+def coa_categories(coa: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Distinct category names: per row the first non-missing of the known columns, squeezed, lower case."""
     by_name = {c.lower(): c for c in reversed(coa.columns)}
     present = [tx.missing_to_null(F.col(f"`{by_name[c]}`")) for c in K.COA_CATEGORY_COLUMNS if c in by_name]
     name = F.lower(tx.squeeze(F.coalesce(*present)))
-    return coa.select(name.alias("category")).filter(F.coalesce("category", F.lit("")) != "").distinct()
+    return coa.select(*(keys or []), name.alias("category")).filter(F.coalesce("category", F.lit("")) != "").distinct()
 
 
 ORGANISER_FIELDS = ["documentLabel", "categoryId", "categoryName", "subcategoryId", "subcategoryName", "priority"]

@@ -40,22 +40,21 @@ def existing_clients(rows: DataFrame, clients: DataFrame) -> DataFrame:
 
 
 def coa_keyword_match(texts: DataFrame, coa: DataFrame, description: str = "description", name: str = "account") -> DataFrame:
-    """First chart row of which a word longer than three letters is in the text.
+    """First chart row of the client of which a word longer than three letters is in the text.
 
-    Words of texts cannot be hashed (the test is containment), but chart rows reduce to distinct words with
-    their first position, so the join is texts against distinct words and one minimum per text.
+    Chart rows reduce to distinct words with their first position, one vocabulary row per client (bounded by the
+    size of a chart), so a text is looked up by one equi join and scanned in place.
     """
     account = tx.strip(F.col(name))
     words = (
-        coa.select(account.alias("account"), "coa_pos", F.explode(F.split(F.lower(account), r"\s+")).alias("word"))
+        coa.select("client_id", account.alias("account"), "coa_pos", F.explode(F.split(F.lower(account), r"\s+")).alias("word"))
         .filter(F.length("word") > 3)
-        .groupBy("word").agg(F.min(F.struct("coa_pos", "account")).alias("first"))
+        .groupBy("client_id", "word").agg(F.min(F.struct("coa_pos", "account")).alias("first"))
     )
-    # all words of the chart travel as one row: bounded by the chart's vocabulary
-    vocabulary = words.agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("vocabulary"))
-    t = texts.select(description).distinct().withColumn("one", F.lit(1)).join(vocabulary.withColumn("one", F.lit(1)), "one").drop("one")
+    vocabulary = words.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("vocabulary"))
+    t = texts.select("client_id", description).distinct().join(vocabulary, "client_id", "left")
     hit = F.get(F.filter("vocabulary", lambda w: F.contains(F.lower(F.col(description)), w["word"])), F.lit(0))
-    return t.select(description, hit["first"]["account"].alias("category"))
+    return t.select("client_id", description, hit["first"]["account"].alias("category"))
 
 
 def organiser_list(categories: DataFrame, subcategories: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,22 +72,22 @@ def _jaccard(a: set, b: set) -> float:
 
 
 def _absorb(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy in order: a group takes over later groups with trigger overlap above 0.7 and grows with them."""
+    """Greedy in order: a group takes over open groups with trigger overlap above 0.7 and grows with them."""
     pdf = pdf.sort_values("rule_pos", kind="stable").reset_index(drop=True)
     sets = [set(t) for t in pdf["trigger_payee_contains"]]
-    gone = [False] * len(sets)
-    for a in range(len(sets)):
-        if gone[a]:
-            continue
-        for b in range(len(sets)):
-            if a != b and not gone[b] and _jaccard(sets[a], sets[b]) > 0.7:
-                sets[a] |= sets[b]
-                gone[b] = True
-        # an absorbing group is closed: it cannot be taken over by a later one
-        gone[a] = True
-        pdf.at[a, "kept"] = True
-    pdf["trigger_payee_contains"] = [sorted(s) for s in sets]
-    return pdf[pdf["kept"].fillna(False).astype(bool)].drop(columns=["kept"])
+    open_groups, kept = list(range(len(sets))), []
+    while open_groups:
+        head, rest = open_groups[0], []
+        for other in open_groups[1:]:
+            if _jaccard(sets[head], sets[other]) > 0.7:
+                sets[head] |= sets[other]
+            else:
+                rest.append(other)
+        kept.append(head)
+        open_groups = rest
+    out = pdf.loc[kept].copy()
+    out["trigger_payee_contains"] = [sorted(sets[k]) for k in kept]
+    return out
 
 
 def absorb_similar(merged: DataFrame) -> DataFrame:
@@ -101,7 +99,7 @@ def absorb_similar(merged: DataFrame) -> DataFrame:
     per_id = W.partitionBy("client_id", "norm_id")
     counted = merged.withColumn("groups", F.count("*").over(per_id))
     single = counted.filter("groups = 1").drop("groups")
-    several = counted.filter("groups > 1").drop("groups").withColumn("kept", F.lit(None).cast("boolean"))
+    several = counted.filter("groups > 1").drop("groups")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in merged.schema.fields)
     return single.unionByName(several.groupBy("client_id", "norm_id").applyInPandas(_absorb, schema))
 

@@ -191,12 +191,18 @@ def vendor_reason(ach_payment: Column, code: Column, vendor_rule: Column) -> Col
 
 
 def rules_missing_in_coa(rules: DataFrame, coa: DataFrame) -> DataFrame:
-    """Rules with ID and name of which neither is in the chart of accounts."""
-    ids = coa.select(F.lower(tx.strip(F.col("account_id"))).alias("coa_id")).distinct()
-    names = coa.select(F.lower(tx.strip(F.col("account"))).alias("coa_name")).distinct()
-    named = rules.filter((tx.strip(F.col("account_id")) != "") & (tx.strip(F.col("account_name")) != ""))
-    return named.join(ids, F.lower(tx.strip(named.account_id)) == ids.coa_id, "left_anti").join(
-        names, F.lower(tx.strip(named.account_name)) == names.coa_name, "left_anti"
+    """Rules with ID and name of which neither is in the client's chart of accounts."""
+
+    def key(c: str) -> Column:
+        return F.lower(tx.strip(F.col(c)))
+
+    ids = coa.select("client_id", key("account_id").alias("id_key")).distinct()
+    names = coa.select("client_id", key("account").alias("name_key")).distinct()
+    named = rules.withColumn("id_key", key("account_id")).withColumn("name_key", key("account_name"))
+    named = named.filter((F.col("id_key") != "") & (F.col("name_key") != ""))
+    return (
+        named.join(ids, ["client_id", "id_key"], "left_anti").join(names, ["client_id", "name_key"], "left_anti")
+        .drop("id_key", "name_key")
     )
 
 
