@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyspark import constants as K
 from tallyspark.functions.text import strip
 
-_EMPTY = F.lit("").cast("string")
-
 
 def _usable(c: Column) -> Column:
     return F.when((F.length(c) > 2) & (F.length(c) < 100), c)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,31 +11,32 @@ from pyspark.sql import Window as W
 from tallyspark import constants as K
 from tallyspark.functions import payee, text as tx
 from tallyspark.operators import ledger
+from tallyspark.session import materialise
 
 QUERY_BLOCK = 1024
 CORPUS_BLOCK = 8192
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Block number per row inside its client; blocks hold about `size` rows each.
+def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Blocks per client from a count: a client with a third of all rows gets as many blocks as it needs."""
+    return rows.groupBy("client_id").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
 
-    The number of blocks follows from a count per client (one small aggregate, joined back), so a client with
-    a third of all rows is cut into as many blocks as it needs.
-    """
-    counts = rows.groupBy("client_id").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(f"{name}_blocks"))
-    return rows.join(counts, "client_id").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"{name}_blocks")).cast("int"))
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    """Rows scaled to length one; a zero vector becomes NaN and is dropped with its scores."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _top_k_of_block(k: int, exclude_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["client_id", "query_id", "entry_id", "score"]
         if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        a = np.stack(left["v"].to_numpy()).astype(np.float64)
-        b = np.stack(right["v"].to_numpy()).astype(np.float64)
+            return pd.DataFrame(columns=["client_id", "query_id", "entry_id", "score"])
         # scores are ranked on six decimals so that ties do not depend on summation order
-        scores = np.round(a @ b.T, 6)
+        scores = np.round(_unit_rows(left["v"]) @ _unit_rows(right["v"]).T, 6)
         ids = right["id"].to_numpy()
+        scores[np.isnan(scores)] = -np.inf
         if exclude_self:
             scores[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         n = min(k, len(ids))
@@ -62,23 +61,24 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "txn_id
     one task and gives at most k rows per query, which are then ranked across blocks. No task ever holds a
     whole client and pairs below the block top-k are never written.
     """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    unit = F.transform(vector, lambda x: x.cast("double") / F.col("norm"))
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
-        rows = df.select("client_id", F.col(key).cast("bigint").alias("id"), vector).withColumn("norm", norm)
-        return rows.filter("norm > 0").select("client_id", "id", unit.alias("v"))
-
-    q = _blocks(prepared(queries, query_id), query_block, "qb")
-    c = _blocks(prepared(corpus, entry_id), corpus_block, "cb")
-    # each side is repeated once per block of the other side, by the block counts of the client
-    q_counts = q.select("client_id", "qb_blocks").distinct()
-    c_counts = c.select("client_id", "cb_blocks").distinct()
-    q = q.join(c_counts, "client_id").withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cb_blocks") - 1)))
-    c = c.join(q_counts, "client_id").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_blocks") - 1)))
-    # both sides may come from one table: fresh aliases keep their columns apart
-    columns = ["client_id", "qb", "cb", "id", "v"]
-    left, right = (side.select(*[F.col(x).alias(x) for x in columns]) for side in (q, c))
+        return df.select("client_id", F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+
+    q, c = prepared(queries, query_id), prepared(corpus, entry_id)
+    q_counts, c_counts = _block_counts(q, query_block, "q_blocks"), _block_counts(c, corpus_block, "c_blocks")
+    blocks = q_counts.join(c_counts, "client_id")
+    own = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
+
+    def spread(side: DataFrame, own_blocks: str, other_blocks: str, own_name: str, other_name: str) -> DataFrame:
+        counted = blocks.select("client_id", F.col(own_blocks).alias("own"), F.col(other_blocks).alias("other"))
+        # a side is repeated once per block of the other side; fresh aliases keep the two sides apart
+        rows = side.join(counted, "client_id").select(
+            "client_id", "id", "v", own.alias(own_name), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias(other_name)
+        )
+        return rows.select(*[F.col(x).alias(x) for x in ["client_id", "qb", "cb", "id", "v"]])
+
+    left, right = spread(q, "q_blocks", "c_blocks", "qb", "cb"), spread(c, "c_blocks", "q_blocks", "cb", "qb")
     pairs = left.groupBy("client_id", "qb", "cb").cogroup(right.groupBy("client_id", "qb", "cb"))
     client_type = queries.schema["client_id"].dataType.simpleString()
     found = pairs.applyInPandas(
@@ -180,15 +180,19 @@ def similarity_cascade(queries: DataFrame, history: DataFrame, coa_categories: D
     usable = F.when(~F.col("is_check") | exact, F.col("best"))
     found = found.withColumn("best", usable).withColumn("exact", F.coalesce(F.col("best.tier") == 1, F.lit(False)))
     found = found.withColumn("found_category", category(F.col("best.category")))
+    # used twice below (result and rows left for the name search): written once instead of searched twice
+    found = materialise(found, "similarity")
 
     by_payee = ledger.category_by_name(
         base.filter(F.col("is_check") & (F.coalesce("payee", F.lit("")) != "")).select("client_id", "query_id", F.col("payee").alias("name")),
         history.withColumnRenamed("vec_id", "entry_id"),
     ).select("client_id", "query_id", F.col("category").alias("payee_category"))
 
-    searched = queries.filter(~F.col("is_check")).withColumn("search_name", payee.payee_from_description(F.col("memo")))
-    needed = found.filter(~F.col("is_check") & F.col("found_category").isNull()).select("client_id", F.col("query_id").alias("txn_id"))
-    by_name = name_search(searched.join(needed, ["client_id", "txn_id"], "left_semi"), history, "search_name", 50, exclude_self).select(
+    open_rows = found.filter(~F.col("is_check") & F.col("found_category").isNull()).select(
+        "client_id", F.col("query_id").alias("txn_id"), payee.payee_from_description(F.col("memo")).alias("search_name")
+    )
+    searched = materialise(open_rows.join(queries.select("client_id", "txn_id", "embedding"), ["client_id", "txn_id"]), "names")
+    by_name = name_search(searched, history, "search_name", 50, exclude_self).select(
         "client_id", "query_id", F.col("category").alias("name_category")
     )
     out = found.join(by_payee, ["client_id", "query_id"], "left").join(by_name, ["client_id", "query_id"], "left")

@@ -38,3 +38,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/tallyspark/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(df, purpose: str):
+    """Write a frame to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
