@@ -82,8 +82,9 @@ def l4(i):
 def block_sql(pick: str) -> str:
     agg = "min" if pick == "first" else "max"
     return f"""WITH {sections('statement_block')},
-nc AS (SELECT * FROM sec WHERE coalesce(section, '') <> 'checks'),{accounts('nc')},
-mk AS (SELECT *, {matches('text', K.DATE_LINE_PATTERN)} AS is_date, {matches('text', K.DATE_LINE_PATTERN)} OR {matches('text', '(?i)^\\s*Total\\b')} AS breaks, {matches('text', K.AMOUNT_LINE_PATTERN)} AS is_amount FROM ac),
+{accounts('sec')},
+nc AS (SELECT * FROM ac WHERE coalesce(section, '') <> 'checks'),
+mk AS (SELECT *, {matches('text', K.DATE_LINE_PATTERN)} AS is_date, {matches('text', K.DATE_LINE_PATTERN)} OR {matches('text', '(?i)^\\s*Total\\b')} AS breaks, {matches('text', K.AMOUNT_LINE_PATTERN)} AS is_amount FROM nc),
 gr AS (SELECT *, count_if(breaks) OVER (PARTITION BY statement_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS row_no FROM mk),
 al AS (SELECT statement_id, row_no, {agg}(line_no) AS amount_line FROM gr WHERE is_amount AND row_no > 0 GROUP BY ALL),
 b AS (SELECT gr.statement_id, gr.row_no, min(line_no) AS line_no, arg_min(section, line_no) AS section, list(account ORDER BY line_no)[1] AS account, arg_min(text, line_no) AS date, arg_min(is_date, line_no) AS is_date,

@@ -48,38 +48,44 @@ def detect_bank(lines: DataFrame, key: str = "statement_id") -> DataFrame:
 BLOCK = 10_000  # line numbers per block of the running computations
 
 
-def carry_last(rows: DataFrame, key: list[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Last non-null `value` at or before each row, per key in order.
+def running(rows: DataFrame, key: list[str], order: str, carries: dict[str, str] | None = None, counts: dict[str, str] | None = None,
+            totals: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Running values per key in order, all in one pass.
 
-    Rows are cut into blocks of line numbers: windows run inside a block, and only one row per block takes part
-    in the window that carries values from block to block. A key of any length is thereby spread over tasks.
+    `carries` maps a new column to the column whose last non-null value is carried down, `counts` maps a new
+    column to the flag that is counted so far, `totals` to the flag counted over the whole key.
+
+    Rows are cut into blocks of order numbers: windows run inside a block, and only one row per block takes
+    part in the window that passes values from block to block. A key of any length is spread over tasks.
     """
+    carries, counts, totals = carries or {}, counts or {}, totals or {}
     b = rows.withColumn("_b", F.floor(F.col(order) / F.lit(block)))
-    ends = b.filter(F.col(value).isNotNull()).groupBy(*key, "_b").agg(F.max_by(value, order).alias("_end"))
-    blocks = b.select(*key, "_b").distinct().join(ends, [*key, "_b"], "left")
-    earlier = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select(*key, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    inside = W.partitionBy(*key, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        b.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
-        .join(carried, [*key, "_b"])
-        .withColumn(out, F.coalesce("_own", "_carried"))
-        .drop("_b", "_own", "_carried")
+    ends = b.groupBy(*key, "_b").agg(
+        F.count("*").alias("_rows"),
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_e_{o}") for o, v in carries.items()],
+        *[F.count_if(f).alias(f"_n_{o}") for o, f in counts.items()],
+        *[F.count_if(f).alias(f"_t_{o}") for o, f in totals.items()],
+    )
+    whole = W.partitionBy(*key)
+    earlier = whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    passed = ends.select(
+        *key, "_b",
+        *[F.last(f"_e_{o}", ignorenulls=True).over(earlier).alias(f"_e_{o}") for o in carries],
+        *[F.coalesce(F.sum(f"_n_{o}").over(earlier), F.lit(0)).alias(f"_n_{o}") for o in counts],
+        *[F.sum(f"_t_{o}").over(whole).alias(o) for o in totals],
     )
-
-
-def running_count(rows: DataFrame, key: list[str], order: str, flag: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Number of flagged rows at or before each row, per key in order, computed in blocks as above."""
-    b = rows.withColumn("_b", F.floor(F.col(order) / F.lit(block)))
-    counts = b.groupBy(*key, "_b").agg(F.count_if(flag).alias("_n"))
-    earlier = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*key, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*key, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        b.withColumn("_own", F.count_if(flag).over(inside))
-        .join(offsets, [*key, "_b"])
-        .withColumn(out, F.col("_own") + F.col("_before"))
-        .drop("_b", "_own", "_before")
+    own = b.select(
+        "*",
+        *[F.last(v, ignorenulls=True).over(inside).alias(f"_o_{o}") for o, v in carries.items()],
+        *[F.count_if(f).over(inside).alias(f"_o_{o}") for o, f in counts.items()],
+    )
+    joined = own.join(passed, [*key, "_b"])
+    return joined.select(
+        *rows.columns,
+        *[F.coalesce(f"_o_{o}", f"_e_{o}").alias(o) for o in carries],
+        *[(F.col(f"_o_{o}") + F.col(f"_n_{o}")).alias(o) for o in counts],
+        *totals,
     )
 
 
@@ -99,19 +105,33 @@ def section_header(c: Column) -> Column:
     return chain
 
 
+def _marks(lines: DataFrame) -> DataFrame:
+    """Marks that depend on the line alone: section header, ledger end, account header."""
+    text = F.col("text")
+    return lines.withColumns(
+        {
+            "header": section_header(text),
+            "ends": text.rlike(K.LEDGER_END_PATTERN),
+            "acct": F.nullif(F.regexp_extract(text, K.ACCOUNT_HEADER_PATTERN, 1), F.lit("")),
+        }
+    )
+
+
+def _body(marked: DataFrame) -> DataFrame:
+    """Lines that are neither header lines nor behind the ledger end."""
+    return marked.filter((F.col("end_count") == 0) & F.col("header").isNull())
+
+
 def with_sections(lines: DataFrame) -> DataFrame:
     """Body lines with the section carried down from header lines; lines after the ledger end are dropped."""
-    marked = lines.withColumn("header", section_header(F.col("text"))).withColumn("ends", F.col("text").rlike(K.LEDGER_END_PATTERN))
-    carried = carry_last(marked, STATEMENT, "line_no", "header", "section")
-    ended = running_count(carried, STATEMENT, "line_no", "ends", "end_count")
-    return ended.filter((F.col("end_count") == 0) & F.col("header").isNull()).drop("header", "ends", "end_count")
+    marked = running(_marks(lines), STATEMENT, "line_no", {"section": "header"}, {"end_count": "ends"})
+    return _body(marked).drop("header", "ends", "acct", "end_count")
 
 
 def with_accounts(lines: DataFrame) -> DataFrame:
     """Lines with the number of the last account header."""
-    number = F.nullif(F.regexp_extract("text", K.ACCOUNT_HEADER_PATTERN, 1), F.lit(""))
-    carried = carry_last(lines.withColumn("acct", number), STATEMENT, "line_no", "acct", "account")
-    return carried.filter("acct IS NULL").drop("acct")
+    marked = running(_marks(lines), STATEMENT, "line_no", {"account": "acct"})
+    return marked.filter("acct IS NULL").drop("header", "ends", "acct")
 
 
 def _money(c: Column) -> Column:
@@ -133,71 +153,82 @@ def _is_total(c: Column) -> Column:
     return c.rlike(K.TOTAL_PATTERN)
 
 
-def with_continuations(lines: DataFrame, row_pattern: str, stops: Column | None = None) -> DataFrame:
+def _row_groups(lines: DataFrame, starts: Column, stops: Column | None = None, sectioned: bool = True) -> DataFrame:
+    """Body lines with `section`, `account`, `starts`, `breaks` and the running row number `row_no`.
+
+    A row begins at a start line; stop lines and section headers end it, what follows them up to the next
+    start belongs to no row. Layouts without sections (`sectioned=False`) know neither headers nor a ledger end.
+    """
+    stop = F.coalesce(stops, F.lit(False)) if stops is not None else F.lit(False)
+    marked = _marks(lines).withColumn("starts", starts)
+    if not sectioned:
+        marked = marked.withColumn("header", F.lit(None).cast("string")).withColumn("ends", F.lit(False))
+    marked = marked.withColumn("breaks", F.col("starts") | stop | F.col("header").isNotNull())
+    numbered = running(
+        marked, STATEMENT, "line_no", {"section": "header", "account": "acct"}, {"end_count": "ends", "row_no": "breaks"}
+    )
+    return _body(numbered).filter("row_no > 0 AND acct IS NULL").drop("header", "ends", "acct", "end_count")
+
+
+def with_continuations(lines: DataFrame, row_pattern: str, stops: Column | None = None, sectioned: bool = False) -> DataFrame:
     """Row lines with the lines below them appended, up to the next row or stop line.
 
     `text` of the result is the row line, `more` the appended text.
     """
-    start = F.col("text").rlike(row_pattern)
-    stop = F.coalesce(stops, F.lit(False)) if stops is not None else F.lit(False)
-    marked = lines.withColumn("starts", start).withColumn("breaks", start | stop)
-    grouped = running_count(marked, STATEMENT, "line_no", "breaks", "row_no").filter("row_no > 0")
+    grouped = _row_groups(lines, F.col("text").rlike(row_pattern), stops, sectioned)
     # a group holds the lines of one row
     rows = grouped.groupBy(*STATEMENT, "row_no").agg(
-        F.min_by(F.struct("line_no", "text", "starts"), "line_no").alias("first"),
+        F.min_by(F.struct("line_no", "text", "starts", "section"), "line_no").alias("first"),
         F.array_sort(F.collect_list(F.when(~F.col("breaks"), F.struct("line_no", "text")))).alias("rest"),
     )
     return rows.filter("first.starts").select(
-        *STATEMENT, F.col("first.line_no").alias("line_no"), F.col("first.text").alias("text"), F.array_join("rest.text", " ").alias("more")
+        *STATEMENT, "first.line_no", "first.text", "first.section", F.array_join("rest.text", " ").alias("more")
     )
 
 
 def inline_transactions(lines: DataFrame) -> DataFrame:
     """Sectioned inline layout: rows with continuation lines, polarity from the section."""
-    body = with_sections(clean_lines(lines))
     text = F.col("text")
-    stops = _is_total(text) | text.rlike(K.AMOUNT_LINE_PATTERN) | text.rlike(K.DATE_LINE_PATTERN)
-    sections = body.select(*STATEMENT, "line_no", "section")
-    rows = inline_rows(with_continuations(body, K.INLINE_ROW_PATTERN, stops)).join(sections, [*STATEMENT, "line_no"])
-    description = tx.squeeze(F.concat_ws(" ", "detail", "more"))
-    credit = F.col("section") == "credit"
+    stops = text.rlike(K.TOTAL_PATTERN) | text.rlike(K.AMOUNT_LINE_PATTERN) | text.rlike(K.DATE_LINE_PATTERN)
+    rows = inline_rows(with_continuations(clean_lines(lines), K.INLINE_ROW_PATTERN, stops, sectioned=True))
+    credit = F.coalesce(F.col("section") == "credit", F.lit(False))
     return rows.select(
-        *STATEMENT, "line_no", "section", "posted", "effective", description.alias("description"),
-        F.when(credit, F.col("amount")).alias("credit"), F.when(~F.coalesce(credit, F.lit(False)), F.col("amount")).alias("debit"),
+        *STATEMENT, "line_no", "section", "posted", "effective", tx.squeeze(F.concat_ws(" ", "detail", "more")).alias("description"),
+        F.when(credit, F.col("amount")).alias("credit"), F.when(~credit, F.col("amount")).alias("debit"),
     )
 
 
 def block_transactions(lines: DataFrame, pick: str = "first") -> DataFrame:
     """Block layout: a date line, text lines, an amount line; the first or the last amount line counts."""
-    body = with_sections(clean_lines(lines)).filter(F.coalesce("section", F.lit("")) != "checks")
-    body = with_accounts(body)
     text = F.col("text")
-    marked = body.withColumn("is_date", text.rlike(K.DATE_LINE_PATTERN)).withColumn("breaks", F.col("is_date") | text.rlike(r"(?i)^\s*Total\b"))
-    grouped = running_count(marked, STATEMENT, "line_no", "breaks", "row_no").filter("row_no > 0")
+    grouped = _row_groups(clean_lines(lines), text.rlike(K.DATE_LINE_PATTERN), text.rlike(r"(?i)^\s*Total\b"))
+    grouped = grouped.filter(F.coalesce("section", F.lit("")) != "checks")
     amount = F.when(text.rlike(K.AMOUNT_LINE_PATTERN), _money(text))
     at = F.when(amount.isNotNull(), F.col("line_no"))
     chosen = F.min_by(amount, at) if pick == "first" else F.max_by(amount, at)
     where = F.min(at) if pick == "first" else F.max(at)
     rows = grouped.groupBy(*STATEMENT, "row_no").agg(
-        F.min_by(F.struct("line_no", "text", "is_date", "section", "account"), "line_no").alias("first"), chosen.alias("amount"), where.alias("amount_line"),
-        F.array_sort(F.collect_list(F.when(~F.col("breaks"), F.struct("line_no", "text")))).alias("rest"),
+        F.min_by(F.struct("line_no", "text", "starts", "section", "account"), "line_no").alias("first"), chosen.alias("amount"),
+        where.alias("amount_line"), F.array_sort(F.collect_list(F.when(~F.col("breaks"), F.struct("line_no", "text")))).alias("rest"),
     )
     words = F.filter("rest", lambda r: r["line_no"] != F.col("amount_line"))
-    rows = rows.filter("first.is_date AND amount IS NOT NULL").select(
-        *STATEMENT, F.col("first.line_no").alias("line_no"), F.col("first.section").alias("section"), F.col("first.account").alias("account"),
-        F.col("first.text").alias("date"), tx.squeeze(F.array_join(words["text"], " ")).alias("description"), "amount",
+    rows = rows.filter("first.starts AND amount IS NOT NULL").select(
+        *STATEMENT, "first.line_no", "first.section", "first.account", F.col("first.text").alias("date"),
+        tx.squeeze(F.array_join(words["text"], " ")).alias("description"), "amount",
     )
     return rows.filter("description <> ''")
 
 
 def check_transactions(lines: DataFrame) -> DataFrame:
     """Check rows of a checks section: number, date and amount on following lines; marker lines do not count."""
-    body = with_sections(clean_lines(lines)).filter("section = 'checks'").filter(~F.col("text").rlike(K.CHECK_MARKER_PATTERN))
-    marked = body.withColumn("is_number", F.col("text").rlike(K.CHECK_LINE_PATTERN))
-    grouped = running_count(marked, STATEMENT, "line_no", "is_number", "row_no").filter("row_no > 0")
-    rows = grouped.groupBy(*STATEMENT, "row_no").agg(F.slice(F.array_sort(F.collect_list(F.struct("line_no", "text"))), 1, 3).alias("l"))
+    body = clean_lines(lines).filter(~F.col("text").rlike(K.CHECK_MARKER_PATTERN))
+    grouped = _row_groups(body, F.col("text").rlike(K.CHECK_LINE_PATTERN)).filter("section = 'checks'")
+    rows = grouped.groupBy(*STATEMENT, "row_no").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("line_no", "text", "starts"))), 1, 3).alias("l")
+    )
     number, date, amount = (F.get("l", F.lit(n)) for n in range(3))
-    return rows.filter(date["text"].rlike(K.DATE_LINE_PATTERN) & amount["text"].rlike(K.AMOUNT_LINE_PATTERN)).select(
+    complete = number["starts"] & date["text"].rlike(K.DATE_LINE_PATTERN) & amount["text"].rlike(K.AMOUNT_LINE_PATTERN)
+    return rows.filter(complete).select(
         *STATEMENT, number["line_no"].alias("line_no"), date["text"].alias("date"),
         F.concat(F.lit("Check "), F.regexp_replace(number["text"], r"\D", "")).alias("description"), _money(amount["text"]).alias("debit"),
     )
@@ -268,9 +299,7 @@ def final_rows(rows: DataFrame) -> DataFrame:
 def grouped_transactions(lines: DataFrame) -> DataFrame:
     """Date-led groups with several amounts: of two or more, the last but one if the last stands alone on its
     line (it is the balance), else the first; a number line followed by `Check` becomes `Check n`."""
-    body = with_accounts(clean_lines(lines))
-    marked = body.withColumn("is_date", F.col("text").rlike(K.DATE_LINE_PATTERN))
-    grouped = running_count(marked, STATEMENT, "line_no", "is_date", "row_no").filter("row_no > 0 AND NOT is_date")
+    grouped = _row_groups(clean_lines(lines), F.col("text").rlike(K.DATE_LINE_PATTERN), sectioned=False).filter("NOT starts")
     rows = grouped.groupBy(*STATEMENT, "row_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"), F.min_by("account", "line_no").alias("account")
     )
@@ -319,8 +348,7 @@ def transaction_pages(pages: DataFrame, cards: bool = False) -> DataFrame:
     else:
         goes_on = amount & (date | (F.length(tx.strip(text)) > K.PAGE_CONTENT_LENGTH))
     event = F.when(header, "header").when(~goes_on, "stop")
-    flagged = pages.select(*STATEMENT, "page_no", event.alias("event"))
-    carried = carry_last(flagged, STATEMENT, "page_no", "event", "state")
-    any_header = flagged.groupBy(*STATEMENT).agg(F.bool_or(F.coalesce(F.col("event") == "header", F.lit(False))).alias("any_header"))
-    kept = carried.join(any_header, STATEMENT).filter(~F.col("any_header") | (F.coalesce("state", F.lit("stop")) == "header"))
+    flagged = pages.select(*STATEMENT, "page_no", event.alias("event")).withColumn("is_header", F.col("event") == "header")
+    state = running(flagged, STATEMENT, "page_no", {"state": "event"}, totals={"headers": "is_header"})
+    kept = state.filter((F.col("headers") == 0) | (F.coalesce("state", F.lit("stop")) == "header"))
     return pages.join(kept.select(*STATEMENT, "page_no"), [*STATEMENT, "page_no"], "left_semi")
