@@ -81,13 +81,13 @@ def j17(i):
 
 
 @query("j17_equal_memo_and_amount", """
-WITH b AS (SELECT row_pos, client_id, CASE WHEN row_pos % 2 = 0 THEN upper(memo) ELSE memo END AS memo, coalesce(debit, credit) AS amount FROM gl_entry WHERE category = 'ECONOMY'),
+WITH b AS (SELECT row_pos, client_id, CASE WHEN row_pos % 2 = 0 THEN upper(memo) ELSE memo END AS memo, coalesce(debit, credit) AS amount FROM gl_entry),
 h AS (SELECT client_id, lower(trim(memo)) AS k, coalesce(debit, credit) AS amount, count(*) AS n FROM gl_entry GROUP BY ALL)
 SELECT row_pos, n FROM b JOIN h ON b.client_id = h.client_id AND lower(trim(b.memo)) = h.k AND b.amount = h.amount""")
 def j17_equal(i):
     amount = F.coalesce("debit", "credit").alias("amount")
     key = F.lower(tx.strip(C("memo"))).alias("k")
-    b = i.gl_entry.filter("category = 'ECONOMY'").withColumn("memo", F.when(C("row_pos") % 2 == 0, F.upper("memo")).otherwise(C("memo"))).select("row_pos", "client_id", key, amount)
+    b = i.gl_entry.withColumn("memo", F.when(C("row_pos") % 2 == 0, F.upper("memo")).otherwise(C("memo"))).select("row_pos", "client_id", key, amount)
     h = i.gl_entry.select("client_id", key, amount).groupBy("client_id", "k", "amount").agg(F.count("*").alias("n"))
     return b.join(h, ["client_id", "k", "amount"]).select("row_pos", "n")
 

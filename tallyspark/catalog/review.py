@@ -64,10 +64,10 @@ def t12(i):
 
 @query("t13_duplicates_report", """WITH g AS (SELECT *, lower(trim(memo)) AS m, lower(trim(category)) AS c FROM gl_entry WHERE trim(memo) <> '' AND trim(category) <> ''),
 d AS (SELECT client_id, arg_min(trim(memo), row_pos) AS memo, arg_min(trim(category), row_pos) AS split, arg_min(date, row_pos) AS date, count(*) AS occurrence_count FROM g GROUP BY client_id, m, c HAVING count(*) > 1)
-SELECT client_id, memo, split, date, occurrence_count FROM d WHERE client_id = 3""")
+SELECT client_id, memo, split, date, occurrence_count FROM d ORDER BY client_id, date DESC""")
 def t13(i):
-    report = health.ledger_duplicates(i.gl_entry.filter("client_id = 3"))
-    return report.select("client_id", "memo", "split", "date", "occurrence_count").orderBy(C("date").desc(), "memo", "split")
+    report = health.ledger_duplicates(i.gl_entry)
+    return report.select("client_id", "memo", "split", "date", "occurrence_count").orderBy("client_id", C("date").desc(), "memo", "split")
 
 
 @query("t14_review_projection", f"""WITH {FULL_CASCADE} SELECT date AS "Date", description AS "Description", coalesce(credit, debit) AS "Amount", credit AS "Credit", debit AS "Debit", account_name AS "Category",

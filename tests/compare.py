@@ -49,6 +49,20 @@ def rows_of(columns: list[str], rows) -> collections.Counter:
     return collections.Counter(tuple(canonical(r[k]) for k in order) for r in rows)
 
 
+def kind(t: str) -> str:
+    """Coarse type of a column, the same names for both engines."""
+    t = t.lower()
+    if t in {"int", "integer", "bigint", "hugeint", "smallint", "tinyint", "long", "number"}:
+        return "int"
+    if t in {"double", "float"}:
+        return "double"
+    if t in {"string", "varchar"}:
+        return "text"
+    if t.startswith("decimal"):
+        return "decimal" + t[t.index(",") :].replace(" ", "")
+    return t.split("_")[0]
+
+
 def compare(spark, con, query, sf_dir: str) -> dict:
     start = time.time()
     df = query.run(spark, sf_dir)
@@ -71,7 +85,11 @@ def compare(spark, con, query, sf_dir: str) -> dict:
         )
     if not rows:
         problems.append("EMPTY")
-    return {**out, "status": "ok" if not problems else "DIFF", "problems": problems, "oracle_types": [str(d[1]) for d in cur.description]}
+    described = {r[0]: str(r[1]) for r in con.execute("DESCRIBE " + sql).fetchall()}
+    notes = [f"{c}: {t} / {described.get(c)}" for c, t in df.dtypes if kind(t) != kind(described.get(c, "?"))]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    notes += [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+    return {**out, "status": "ok" if not problems else "DIFF", "problems": problems, "notes": notes}
 
 
 if __name__ == "__main__":
@@ -94,6 +112,8 @@ if __name__ == "__main__":
             r = {"name": name, "status": "ERROR", "problems": [f"{type(e).__name__}: {str(e)[:900]}"], "rows": 0, "sec": 0}
         counts[r["status"]] += 1
         print(f"{r['status']:9} {name:40} rows={r['rows']:<7} {r['sec']}s", flush=True)
+        if r.get("notes"):
+            print("      note:", "; ".join(r["notes"]))
         for p in r.get("problems", []):
             print("     ", p[:1500])
     print(dict(counts))
