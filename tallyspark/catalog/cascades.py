@@ -189,7 +189,7 @@ reapplied AS (SELECT row_pos, client_id, transaction_fingerprint, CASE WHEN ov_p
 p AS (SELECT *, {q.fingerprint('date', 'description', 'credit', 'debit', 'bank', 'account_number')} AS fp FROM labelled)
 SELECT row_pos, fp AS transaction_fingerprint, coalesce(ov_name, account_name) AS account_name, coalesce(ov_type, category_type) AS category_type,
   CASE WHEN ov_print IS NULL THEN categorization_source ELSE 'Override' END AS categorization_source,
-  CASE WHEN ov_print IS NULL THEN confidence_score ELSE 1.0 END AS confidence_score, ov_print IS NOT NULL AS overridden
+  CAST(CASE WHEN ov_print IS NULL THEN confidence_score ELSE 1.0 END AS DOUBLE) AS confidence_score, ov_print IS NOT NULL AS overridden
 FROM p LEFT JOIN overrides ON client_id = ov_client AND fp = ov_print""")
 def j9(i):
     rows = labelled(i).withColumn(

@@ -191,7 +191,7 @@ def j15(i):
 @query("d1_dedupe_output", """SELECT bank, coalesce(account_number, 'NA') AS account, date, description, amount, min(row_pos) AS row_pos
 FROM (SELECT row_pos, bank, account_number, date, lower(trim(description)) AS description, CAST(floor(coalesce(credit, -debit) / 100000) AS BIGINT) AS amount FROM bank_txn) t GROUP BY ALL""")
 def d1(i):
-    rows = i.bank_txn.withColumn("amount", F.floor(F.coalesce("credit", -C("debit")) / 100000))
+    rows = i.bank_txn.withColumn("amount", F.floor(F.coalesce("credit", -C("debit")) / 100000).cast("bigint"))
     return ingest.dedupe_output(rows).select(
         "bank", F.coalesce("account_number", F.lit("NA")).alias("account"), "date", F.lower(F.trim("description")).alias("description"), "amount", "row_pos"
     )

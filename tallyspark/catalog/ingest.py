@@ -239,7 +239,7 @@ def io15(i):
     return readers.read_delimited(i.spark, written_csv(i, table, "review-csv")).select("Date", "Description", "Source", "Fingerprint")
 
 
-@query("io16_extraction_csv", "SELECT CAST(date AS VARCHAR) AS date, NULL AS post_date, description, CAST(credit AS VARCHAR) AS credit, CAST(debit AS VARCHAR) AS debit, bank FROM bank_txn")
+@query("io16_extraction_csv", "SELECT CAST(date AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS post_date, description, CAST(credit AS VARCHAR) AS credit, CAST(debit AS VARCHAR) AS debit, bank FROM bank_txn")
 def io16(i):
     noisy = i.bank_txn.withColumn("description", F.concat(F.char(F.lit(1)), "description", F.char(F.lit(31))))
     path = written_csv(i, writers.extraction_rows(noisy), "extraction-csv")

@@ -121,7 +121,8 @@ def final_dedupe(rules: DataFrame) -> DataFrame:
     """Rules of one (account name, category type): a rule that shares more than half of its triggers with the
     last kept rule of the key is merged into it.
 
-    The fold runs as one `aggregate` over the ordered rules of a key (few per client and key).
+    The fold runs as one `aggregate` over the ordered rules of a key. After merging, the rules of a key differ
+    in account ID, so a key holds no more rows than one account name has IDs in a client's chart.
     """
     key = [F.lower(tx.strip(F.coalesce(c, F.lit("")))).alias(f"k_{c}") for c in ["account_name", "category_type"]]
     columns = [c for c in rules.columns if c not in {"client_id", "trigger_payee_contains"}]

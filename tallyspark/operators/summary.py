@@ -20,14 +20,18 @@ def is_matched() -> Column:
     return (name != "") & (name != K.DEFAULT_CATEGORY)
 
 
-def share_by_source(rows: DataFrame) -> DataFrame:
-    """Rows, share in percent and rows to review per client and source: one aggregate, then a small window."""
+def share_by_source(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """Rows, share in percent and rows to review per client and source: one aggregate, then a small window.
+
+    `weight` is a column with the number of rows a row stands for, when rows are distinct texts with counts.
+    """
     reason = review_reason(
         F.col("categorization_source"), F.col("account_name"), F.col("confidence_score"), F.col("matched_trigger_text"),
         F.lit(None).cast("string"),
     )
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
     counts = rows.groupBy("client_id", "categorization_source").agg(
-        F.count("*").alias("n"), F.count_if(reason.isNotNull()).alias("needs_review")
+        F.sum(w).alias("n"), F.coalesce(F.sum(F.when(reason.isNotNull(), w)), F.lit(0)).alias("needs_review")
     )
     total = F.sum("n").over(W.partitionBy("client_id"))
     return counts.select(
@@ -55,20 +59,22 @@ def match_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def unknown_vendor_codes(rows: DataFrame, keys: list[str], position: str = "row_pos") -> DataFrame:
     """Count and first three distinct descriptions per unknown code.
 
-    Rows are first reduced to one per (code, description), which combines map-side, so a hot code never
-    collects its rows; the window then sees only distinct descriptions and shares one shuffle with the result.
+    Rows are first reduced to one per (code, description), which combines map-side. Totals are an aggregate and
+    samples a rank limited to three, which Spark cuts to three rows per code and task before the shuffle: a
+    code with a third of all rows, or with a new description in each, never fills one task. Both read the
+    same shuffled texts.
     """
     texts = rows.groupBy(*keys, "code", F.trim("description").alias("sample")).agg(
         F.count("*").alias("n"), F.min(position).alias("first_pos")
     )
-    group = W.partitionBy(*keys, "code")
-    ranked = (
-        texts.withColumn("total", F.sum("n").over(group))
-        .withColumn("rank", F.row_number().over(group.orderBy(F.col("sample") == "", "first_pos", "sample")))
-        .filter("rank <= 3")
+    totals = texts.groupBy(*keys, "code").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    order = F.row_number().over(W.partitionBy(*keys, "code").orderBy("first_pos", "sample"))
+    samples = (
+        texts.filter(F.col("sample") != "").withColumn("rank", order).filter("rank <= 3")
+        .groupBy(*keys, "code").agg(F.array_sort(F.collect_list(F.struct("rank", "sample"))).alias("s"))
     )
-    samples = F.array_sort(F.collect_list(F.when(F.col("sample") != "", F.struct("rank", "sample"))))
-    return ranked.groupBy(*keys, "code").agg(F.max("total").alias("n"), samples["sample"].alias("samples"))
+    none = F.array().cast("array<string>")
+    return totals.join(samples, [*keys, "code"], "left").select(*keys, "code", "n", F.coalesce(F.col("s.sample"), none).alias("samples"))
 
 
 def run_summary(rows: DataFrame, keys: list[str], retries: Column) -> DataFrame:
@@ -143,14 +149,15 @@ def merge_warnings(parts: DataFrame, keys: list[str], position: str) -> DataFram
 
 
 def account_rollup(rows: DataFrame) -> DataFrame:
-    """Per (bank, account) and grand total in one pass."""
+    """Per (bank, account) and grand total: rows are counted once, the total is added over the small counts."""
     account = F.coalesce(F.nullif("account_number", F.lit("")), F.lit("NA"))
     keyed = rows.select(F.coalesce("bank", F.lit("Unknown")).alias("bank"), account.alias("account"), is_matched().alias("hit"))
-    counted = keyed.groupingSets([["bank", "account"], []], "bank", "account").agg(
-        F.count("*").alias("total"), F.count_if("hit").alias("matched"), F.grouping("bank").cast("int").alias("is_total")
+    counts = keyed.groupBy("bank", "account").agg(F.count("*").alias("n"), F.count_if("hit").alias("m"))
+    both = counts.groupingSets([["bank", "account"], []], "bank", "account").agg(
+        F.sum("n").alias("total"), F.sum("m").alias("matched"), F.grouping("bank").cast("int").alias("is_total")
     )
     unmatched = F.col("total") - F.col("matched")
-    return counted.select(
+    return both.select(
         "bank", "account", "is_total", "total", "matched", unmatched.alias("unmatched"),
         money.percent(unmatched, F.col("total")).alias("ama_rate"),
     )

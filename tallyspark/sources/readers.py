@@ -22,7 +22,10 @@ def read_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8", mult
 
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
-    """First encoding that leaves no replacement character; the last one decodes every byte."""
+    """First encoding that leaves no replacement character; the last one decodes every byte.
+
+    A clean file is read to its end for this; large sources name their encoding instead.
+    """
     bad = spark.read.option("header", False).option("encoding", ENCODINGS[0]).csv(path)
     broken = F.concat_ws("", *[F.col(c) for c in bad.columns]).contains("�")
     return ENCODINGS[1] if bad.filter(broken).limit(1).count() else ENCODINGS[0]
