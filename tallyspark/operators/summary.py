@@ -68,10 +68,12 @@ def unknown_vendor_codes(rows: DataFrame, keys: list[str], position: str = "row_
         F.count("*").alias("n"), F.min(position).alias("first_pos")
     )
     totals = texts.groupBy(*keys, "code").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
-    order = F.row_number().over(W.partitionBy(*keys, "code").orderBy("first_pos", "sample"))
+    # blank texts rank last and are left out at the end: a filter here would keep Spark from sharing the shuffle
+    blank = F.col("sample") == ""
+    order = F.row_number().over(W.partitionBy(*keys, "code").orderBy(blank, "first_pos", "sample"))
     samples = (
-        texts.filter(F.col("sample") != "").withColumn("rank", order).filter("rank <= 3")
-        .groupBy(*keys, "code").agg(F.array_sort(F.collect_list(F.struct("rank", "sample"))).alias("s"))
+        texts.withColumn("rank", order).filter("rank <= 3").groupBy(*keys, "code")
+        .agg(F.array_sort(F.collect_list(F.when(~blank, F.struct("rank", "sample", "n")))).alias("s"))
     )
     none = F.array().cast("array<string>")
     return totals.join(samples, [*keys, "code"], "left").select(*keys, "code", "n", F.coalesce(F.col("s.sample"), none).alias("samples"))
