@@ -80,16 +80,16 @@ def decide_texts(txns: DataFrame, rules: DataFrame, register: DataFrame | None,
     )
     searches = t.withColumn("v", F.explode(variants))
     parts = rule_ops.search_columns(F.col("v.d"), F.col("v.p"))
-    searches = searches.select("*", *[c.alias(n) for n, c in parts.items()])
     # a decided text needs no search: an empty search text matches nothing
-    searches = searches.withColumn("s_text", F.when(F.col("open"), F.col("s_text")).otherwise(F.lit("")))
+    parts["s_text"] = F.when(F.col("open"), parts["s_text"]).otherwise(F.lit(""))
+    searches = searches.select("*", *[c.alias(n) for n, c in parts.items()])
     carried = F.struct(
         "payee_name", "category", "type", "split_amount", "check_number", "code", "vendor_rule", "reason", "coded_unknown",
         "by_register_category", "check_without_register", "open",
     )
     via = F.col("v.via")
     searched = searches.drop("vendor_code").select(
-        *TEXT_KEYS, "coded_unknown", "s_text", "s_flat", "s_ach", via.alias("via"), carried.alias("c")
+        *TEXT_KEYS, "coded_unknown", "s_text", "s_ach", via.alias("via"), carried.alias("c")
     )
     hits = rule_ops.join_triggers(searched, rules, "left").drop("coded_unknown")
     matched = F.col("rule_pos").isNotNull()

@@ -74,7 +74,7 @@ def search_columns(description: Column, payee: Column) -> dict[str, Column]:
     """Search text of a row: cleaned description, description, payee (absent payee is empty)."""
     d, p = F.coalesce(description, F.lit("")), F.coalesce(payee, F.lit(""))
     s = F.upper(tx.strip(F.concat_ws(" ", tx.strip_bank_noise(d), d, p)))
-    return {"s_text": s, "s_flat": F.replace(s, F.lit(" "), F.lit("")), "s_ach": codes.is_ach_payment(d)}
+    return {"s_text": s, "s_ach": codes.is_ach_payment(d)}
 
 
 def matches() -> Column:
@@ -117,7 +117,10 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", sal
     """
     if "coded_unknown" not in searches.columns:
         searches = searches.withColumn("coded_unknown", F.lit(False))
-    searches = searches.withColumn("salt", F.pmod(F.xxhash64("s_text"), F.lit(salts)).cast("int"))
+    # derived from the finished text column, so the cleaning patterns run once per text
+    searches = searches.select(
+        "*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat"), F.pmod(F.xxhash64("s_text"), F.lit(salts)).cast("int").alias("salt")
+    )
     condition = (
         (F.col("client_id") == F.col("t_client"))
         & (F.col("salt") == F.col("t_salt"))

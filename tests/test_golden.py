@@ -26,7 +26,7 @@ CASES = {
     "account_id": (tx.account_id_core, ["REVENUE-4000", "COGS-5000", "EXP-6100", "5000", "expense-1", "XEXP-1", None], ["4000", "5000", "6100", "5000", "1", "XEXP-1", ""]),
     "description_key": (tx.description_key, ["CHECK # 3360", "CHECK  3360", "a-b_c"], ["check 3360", "check 3360", "a b c"]),
     "check_memo_key": (tx.check_memo_key, ["Check 3340", "CHECK # 3340", "chk 3340", "checks 1"], ["3340", "3340", "3340", "checks 1"]),
-    "partition_name": (tx.partition_name, ["Unity Trucking", "rahman engineering", "x-data"], ["unity-trucking-data", "rahman-engineering-data", "x-data"]),
+    "partition_name": (tx.partition_name, ["Blue River Trucking", "north engineering", "x-data"], ["blue-river-trucking-data", "north-engineering-data", "x-data"]),
     "type_amount": (money.type_column_amount, ["13000 CHECK_DEPOSIT", "-1148 ACH_DEBIT", "FEE"], [Decimal("13000.00"), Decimal("-1148.00"), None]),
     "ledger_amount": (money.ledger_amount, ["($1,200.50)", "-3", "", None, "x"], [Decimal("1200.50"), Decimal("-3.00"), Decimal(0), Decimal(0), Decimal(0)]),
     "accounting_amount": (money.accounting_amount, ["($1,200.50)", "−3.10", "4", "x"], [Decimal("-1200.50"), Decimal("-3.10"), Decimal("4.00"), None]),
