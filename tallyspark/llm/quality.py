@@ -29,7 +29,7 @@ RULES = (
     Rule("too_few_words", "n_words < 50"),
     Rule("repeated_word_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("many_symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("odd_word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
 )
 BASE_MASK = 0b00011
@@ -136,7 +136,7 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
     combos = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count(F.lit(1)).alias("docs"))
     rules = F.array(*(F.struct(F.lit(k).alias("bit"), F.lit(r.name).alias("rule")) for k, r in enumerate(RULES) if policy.mask >> k & 1))
     per_rule = combos.select("bits", "docs", F.inline(rules))
-    flag = F.shiftleft(F.lit(1), F.col("bit"))
+    flag = F.expr("shiftleft(1, bit)")
     return per_rule.groupBy(F.lit(policy.version).alias("policy"), "rule").agg(
         F.sum(F.when(F.col("bits").bitwiseAND(flag) != 0, F.col("docs")).otherwise(0)).alias("fails"),
         F.sum(F.when(F.col("bits") == flag, F.col("docs")).otherwise(0)).alias("fails_alone"),
