@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, chat, mixing, pii, quality
+from tallyspark.llm import bpe, chat, mixing, pii, quality, simhash
 from tallyspark.llm.common import table
 
 
@@ -17,6 +17,7 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": _over_documents(bpe.query),
+        "op2_simhash": _over_documents(simhash.query),
         "op5_chat_format": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
         "op6_quality_rules": _over_documents(quality.query),
         "op7_mix_sources": _over_documents(mixing.query),
