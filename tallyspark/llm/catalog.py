@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash
+from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash, token_files
 from tallyspark.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
         "op6_quality_rules": _over_documents(quality.query),
         "op7_mix_sources": _over_documents(mixing.query),
+        "op8_token_files": _over_documents(token_files.query),
         "op9_suffix_dedup": _over_documents(repeats.query),
         "op10_pii": _over_documents(pii.query),
     }
