@@ -35,7 +35,7 @@ t0 AS (SELECT client_id, description, coalesce(payee_name, '') AS pk, {q.is_ach(
     {q.check_number('description') if register else 'CAST(NULL AS VARCHAR)'} AS chk, {q.is_check_like('description')} AS like_check
   FROM (SELECT DISTINCT client_id, description, payee_name FROM {txn}) d),
 t1 AS (SELECT t0.*, r_payee, r_category, r_memo, r_type, r_split, {has_register} AS has_register FROM {reg}),
-t2 AS (SELECT t1.*, v_rule, v_name, v_account, v_type, code IS NOT NULL AND v_rule IS NULL AS coded_unknown,
+t2 AS (SELECT t1.*, v_rule, v_name, v_account, v_type, code IS NOT NULL AND v_rule IS NULL AND coalesce(r_category, '') = '' AND NOT (NOT has_register AND like_check) AS coded_unknown,
     coalesce(r_category, '') <> '' AS by_category, NOT has_register AND like_check AS no_register
   FROM t1 LEFT JOIN vendor_map ON client_id = v_client AND code = v_code),
 s0 AS (SELECT client_id, description, pk, coded_unknown, 0 AS via, description AS d, pk AS p FROM t2 WHERE NOT by_category AND NOT no_register AND v_rule IS NULL

@@ -141,7 +141,7 @@ def _any(words, c="t"):
 
 DETECT_SQL = f"""WITH l AS (SELECT statement_id, unnest(string_split(lower(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM statement_text),
 f AS (SELECT statement_id, {', '.join(f"bool_or({_any(words, 'line')}) AS {name}" for name, words in [('wells', K.WELLS_KEYS), ('wcard', K.WELLS_CARD_KEYS), ('wtwo', K.WELLS_SECOND_KEYS), ('bcard', K.BOA_CARD_KEYS), ('ccard', K.CHASE_CARD_KEYS)])},
-  bool_or(n <= 50 AND {_any(K.BOA_KEYS, 'line')}) AS boa, bool_or(n <= 50 AND {_any(K.CHASE_KEYS, 'line')}) AS chase FROM l GROUP BY statement_id)
+  bool_or({_any(K.BOA_KEYS, 'line')}) AS boa, bool_or({_any(K.CHASE_KEYS, 'line')}) AS chase FROM l GROUP BY statement_id)
 SELECT statement_id, CASE WHEN wells THEN 'Wells Fargo' WHEN boa THEN 'Bank of America' WHEN chase THEN 'Chase Bank' ELSE 'unknown' END AS bank,
   CASE WHEN wells THEN CASE WHEN wcard THEN 'credit_card' WHEN wtwo THEN 'format_02' ELSE 'format_01' END WHEN boa THEN CASE WHEN bcard THEN 'credit_card' ELSE 'format_01' END
     WHEN chase THEN CASE WHEN ccard THEN 'credit_card' ELSE 'format_01' END END AS layout FROM f"""
@@ -233,7 +233,7 @@ def s22(i):
     return i.documents.select("doc_id", F.md5(tx.remove_control_characters(noisy)).alias("h"))
 
 
-@query("s23_rules_from_replies", """WITH o AS (SELECT client_id, chunk_no, unnest(regexp_extract_all(reply, '\\{[^{}]*\\}')) AS obj, generate_subscripts(regexp_extract_all(reply, '\\{[^{}]*\\}'), 1) AS p FROM model_reply)
+@query("s23_rules_from_replies", """WITH o AS (SELECT client_id, chunk_no, unnest(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\}')) AS obj, generate_subscripts(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\}'), 1) AS p FROM model_reply)
 SELECT client_id, chunk_no, CAST(p - 1 AS INT) AS reply_pos, obj ->> 'rule_id' AS rule_id, obj ->> 'account_id' AS account_id, obj ->> 'account_name' AS account_name,
   obj ->> 'category_type' AS category_type, obj ->> '$.trigger_payee_contains[0]' AS first_trigger FROM o WHERE obj ->> 'rule_id' IS NOT NULL AND obj ->> 'account_name' IS NOT NULL""")
 def s23(i):

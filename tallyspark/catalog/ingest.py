@@ -128,9 +128,11 @@ def io3(i):
     return readers.read_tabular(i.spark, path).drop("row_pos", "payee_name")
 
 
-@query("io4_coa_file", "SELECT CAST(client_id AS VARCHAR) AS client, trim(account) AS account, trim(account_id) AS account_id, CASE WHEN coa_pos % 2 = 0 THEN CAST(coa_pos AS VARCHAR) ELSE '' END AS pos FROM coa")
+@query("io4_coa_file", "SELECT CAST(client_id AS VARCHAR) AS client, replace(trim(account), '  ', chr(10)) AS account, trim(account_id) AS account_id, CASE WHEN coa_pos % 2 = 0 THEN CAST(coa_pos AS VARCHAR) ELSE '' END AS pos FROM coa")
 def io4(i):
-    coa = i.coa.select(C("client_id").alias("client"), "account", "account_id", F.when(C("coa_pos") % 2 == 0, C("coa_pos")).alias("pos"))
+    # names with a line break inside the cell
+    account = F.replace(F.trim("account"), F.lit("  "), F.lit("\n")).alias("account")
+    coa = i.coa.select(C("client_id").alias("client"), account, "account_id", F.when(C("coa_pos") % 2 == 0, C("coa_pos")).alias("pos"))
     return readers.read_coa(i.spark, written_csv(i, coa, "coa-csv"))
 
 
@@ -139,8 +141,8 @@ LAST = f"""SELECT client_id, {q.check_key('check_number')} AS check_number, paye
 
 
 def register_file(i) -> str:
-    # one file, so that file order is row order
-    ordered = i.check_register.repartition(1).sortWithinPartitions("row_pos")
+    # several files whose order by name is row order
+    ordered = i.check_register.repartitionByRange(4, "row_pos").sortWithinPartitions("row_pos")
     return written_csv(i, renamed(ordered, REGISTER_NAMES, ("client_id",)), "register-csv")
 
 

@@ -201,7 +201,6 @@ BOA_CARD_KEYS = [
 ]
 CHASE_KEYS = ["jpmorgan chase", "chase.com", "chase bank"]
 CHASE_CARD_KEYS = ["transactions this cycle", "late fee warning", "total interest charged", "reference:"]
-HEADER_LINES = 50
 STATEMENT_KEYWORDS = [
     "bank statement", "account statement", "statement period", "account number", "account summary",
     "transactions", "deposits", "withdrawals", "debit", "credit", "balance", "opening balance",

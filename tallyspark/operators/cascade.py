@@ -61,9 +61,13 @@ def decide_texts(txns: DataFrame, rules: DataFrame, register: DataFrame | None,
     has_category = F.coalesce(F.col("category"), F.lit("")) != ""
     t = (
         t.withColumn("reason", rule_ops.vendor_reason(F.col("ach_payment"), F.col("code"), F.col("vendor_rule")))
-        .withColumn("coded_unknown", F.col("code").isNotNull() & F.col("vendor_rule").isNull())
         .withColumn("by_register_category", has_category)
         .withColumn("check_without_register", ~F.col("has_register") & codes.is_check_like(F.col("description")))
+        # a text that the register or the check step has ended is not looked up by its code any more
+        .withColumn(
+            "coded_unknown",
+            F.col("code").isNotNull() & F.col("vendor_rule").isNull() & ~F.col("by_register_category") & ~F.col("check_without_register"),
+        )
         .withColumn(
             "open", ~(F.col("by_register_category") | F.col("check_without_register") | F.col("vendor_rule").isNotNull())
         )

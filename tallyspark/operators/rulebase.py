@@ -37,11 +37,11 @@ def loan_fields(texts: DataFrame, column: str) -> DataFrame:
 def rules_from_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Rules of stored model replies.
 
-    Rule objects are flat, so every complete object is one `{...}` run. This reads whole and cut-off arrays
-    alike; objects without rule ID or account name are left out.
+    Rule objects are flat, so every complete object is one `{...}` run in which braces stand inside strings only. This
+    reads whole and cut-off arrays alike; objects without rule ID or account name are left out.
     """
     keep = [c for c in replies.columns if c != column]
-    objects = F.regexp_extract_all(F.col(column), F.lit(r"(\{[^{}]*\})"), 1)
+    objects = F.regexp_extract_all(F.col(column), F.lit(r'(\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\})'), 1)
     rows = replies.select(*keep, F.posexplode(objects).alias("reply_pos", "o"))
     parsed = rows.select(*keep, "reply_pos", F.from_json("o", RULE_JSON).alias("r")).select(*keep, "reply_pos", "r.*")
     return parsed.filter(F.col("rule_id").isNotNull() & F.col("account_name").isNotNull())

@@ -19,18 +19,16 @@ def text_lines(texts: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def detect_bank(lines: DataFrame, key: str = "statement_id") -> DataFrame:
-    """Bank and layout per statement from keyword flags; the header is the first lines of the text."""
+    """Bank and layout per statement from keyword flags over the whole text."""
     low = F.lower("text")
-    rank = F.col("line_no") < K.HEADER_LINES
 
-    def flag(words: list[str], header: bool = False) -> Column:
-        hit = tx.contains_any(low, words)
-        return F.bool_or(hit & rank if header else hit)
+    def flag(words: list[str]) -> Column:
+        return F.bool_or(tx.contains_any(low, words))
 
     flags = lines.groupBy(key).agg(
         flag(K.WELLS_KEYS).alias("wells"), flag(K.WELLS_CARD_KEYS).alias("wells_card"), flag(K.WELLS_SECOND_KEYS).alias("wells_second"),
-        flag(K.BOA_KEYS, True).alias("boa"), flag(K.BOA_CARD_KEYS).alias("boa_card"),
-        flag(K.CHASE_KEYS, True).alias("chase"), flag(K.CHASE_CARD_KEYS).alias("chase_card"),
+        flag(K.BOA_KEYS).alias("boa"), flag(K.BOA_CARD_KEYS).alias("boa_card"),
+        flag(K.CHASE_KEYS).alias("chase"), flag(K.CHASE_CARD_KEYS).alias("chase_card"),
     )
     bank = F.when(F.col("wells"), "Wells Fargo").when(F.col("boa"), "Bank of America").when(F.col("chase"), "Chase Bank").otherwise("unknown")
     layout = (

@@ -172,7 +172,7 @@ SELECT row_pos, client_id,
 FROM {{bank_txn}}"""
 
 VIEWS["check_register"] = """
-SELECT CAST(p_partkey AS BIGINT) AS row_pos, CAST(p_size % 25 AS INT) AS client_id,
+SELECT CAST(p_partkey AS BIGINT) AS row_pos, CAST(p_size % 20 AS INT) AS client_id,
   concat(' 00', CAST(1000 + p_partkey % 500 AS STRING)) AS check_number,
   CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'PILOT TRAVEL' WHEN 1 THEN 'OFFICE DEPOT' WHEN 2 THEN 'ADP TAX'
     WHEN 3 THEN 'CHEFS TOYS' WHEN 4 THEN 'Unknown Person' ELSE NULL END AS payee_name,
@@ -180,7 +180,7 @@ SELECT CAST(p_partkey AS BIGINT) AS row_pos, CAST(p_size % 25 AS INT) AS client_
   CASE WHEN p_size % 3 = 0 THEN 'Triumph finance fee' WHEN p_size % 3 = 1 THEN 'no such words' END AS memo,
   CASE WHEN p_size % 4 = 0 THEN 'COGS' END AS type,
   CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS STRING) END AS split_amount
-FROM {part} WHERE p_size % 25 < 20"""
+FROM {part}"""
 
 VIEWS["client_loans"] = """
 SELECT CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, o_orderkey) AS BIGINT) AS loan_pos,
@@ -188,12 +188,11 @@ SELECT CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, o_or
   concat('$', CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 40 AS STRING)) AS funding_provided,
   '6.5%' AS annual_percentage_rate, CAST(NULL AS STRING) AS finance_charge,
   CASE WHEN c_custkey % 5 = 0 THEN '0' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 48 AS STRING) END AS total_payment_amount,
-  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS payment,
+  CASE WHEN o_orderkey % 10 = 5 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS payment,
   concat('AC', CAST(10000 + c_custkey % 100 AS STRING), CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '-1' END) AS account_no,
   CASE WHEN o_orderkey % 20 = 5 THEN CAST(make_date(CAST(year(o_orderdate) AS INT) - 1, CAST(month(o_orderdate) AS INT), 1) AS STRING)
     ELSE CAST(make_date(CAST(year(o_orderdate) AS INT) - 9, CAST(month(o_orderdate) AS INT), 1) AS STRING) END AS start_date
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-WHERE o_orderkey % 10 = 5"""
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
 VIEWS["coa"] = """
 SELECT client_id, account, account_id, min(coa_pos) AS coa_pos FROM (
@@ -342,7 +341,7 @@ SELECT client_id, chunk_no, CASE CAST(client_id % 3 AS INT)
 FROM (SELECT client_id, CAST(floor(rule_pos / 8) AS INT) AS chunk_no,
     concat(min(CASE WHEN rule_pos % 8 = 0 THEN obj END), ', ', coalesce(min(CASE WHEN rule_pos % 8 = 3 THEN obj END), min(obj))) AS body
   FROM (SELECT client_id, rule_pos, concat(chr(123), '"rule_id": "', rule_id, '", "trigger_payee_contains": ["', trigger_payee_contains[{first}], '"], "account_id": "',
-      account_id, '", "account_name": "', account_name, '", "category_type": "', category_type, '"', chr(125)) AS obj FROM {rules}) o
+      account_id, '", "account_name": "', account_name, '", "category_type": "', category_type, '", "logic": "use ', chr(123), 'code', chr(125), '"', chr(125)) AS obj FROM {rules}) o
   GROUP BY client_id, CAST(floor(rule_pos / 8) AS INT)) b"""
 
 VIEWS["doc_page"] = """

@@ -12,13 +12,21 @@ from tallyspark.sources import resolve
 ENCODINGS = ["UTF-8", "ISO-8859-1"]
 
 
-def read_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """Delimited file with header, all columns as strings, plus `file_name` and a `row_pos` in file order."""
+def read_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """Delimited files with header, all columns as strings, plus `file_name` and `row_pos`.
+
+    A cell in quotes may hold line breaks; files are then the unit of parallelism. Large files without such cells can be
+    split with `multi_line=False`. `row_pos` sorts by path of the file, block and row, however Spark packs the files.
+    """
     raw = (
         spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
         .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     )
-    return raw.select("*", F.col("_metadata.file_name").alias("file_name"), F.monotonically_increasing_id().alias("row_pos"))
+    # rows of a block are read in order, so the running number orders them inside it
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return raw.select("*", F.col("_metadata.file_name").alias("file_name"), place.alias("row_pos"))
 
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
@@ -26,7 +34,7 @@ def pick_encoding(spark: SparkSession, path: str) -> str:
 
     A clean file is read to its end for this; large sources name their encoding instead.
     """
-    bad = spark.read.option("header", False).option("encoding", ENCODINGS[0]).csv(path)
+    bad = spark.read.option("header", False).option("encoding", ENCODINGS[0]).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     broken = F.concat_ws("", *[F.col(c) for c in bad.columns]).contains("�")
     return ENCODINGS[1] if bad.filter(broken).limit(1).count() else ENCODINGS[0]
 
@@ -74,8 +82,10 @@ def read_check_payees(spark: SparkSession, path: str, client: str | None = None)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines without NUL characters; every kind of line end separates lines."""
-    return spark.read.text(path).select(F.regexp_replace("value", "[\\u0000\\r]", "").alias("value"))
+    """Text lines without NUL characters; every kind of line end separates lines. A line that is not UTF-8 is read as ISO-8859-1."""
+    raw = F.col("value")
+    decoded = F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(raw.cast("binary"), ENCODINGS[1]))
+    return spark.read.text(path).select(F.regexp_replace(decoded, "[\\u0000\\r]", "").alias("value"))
 
 
 def read_rules(spark: SparkSession, path: str, client_id: int) -> DataFrame:

@@ -45,14 +45,16 @@ def ledger_columns(columns: list[str]) -> dict[str, str | None]:
 
 
 def text_like_column(df: DataFrame, columns: list[str]) -> str | None:
-    """First column of which more than 70 % of the first ten values are text and not numbers."""
-    for c in columns:
-        values = df.select(F.col(f"`{c}`").cast("string").alias("v")).filter("v IS NOT NULL").limit(10)
-        is_text = ~F.regexp_replace("v", "[.,-]", "").rlike(r"^\d+$")
-        row = values.agg(F.count("*").alias("n"), F.count_if(is_text).alias("t")).first()
-        if row.n and row.t > row.n * 0.7:
-            return c
-    return None
+    """First column of which more than 70 % of the values are text and not numbers; one pass over all columns."""
+    if not columns:
+        return None
+    counts = []
+    for n, c in enumerate(columns):
+        v = F.col(f"`{c}`").cast("string")
+        is_text = ~F.regexp_replace(v, "[.,-]", "").rlike(r"^\d+$")
+        counts += [F.count(v).alias(f"n{n}"), F.count_if(is_text).alias(f"t{n}")]
+    row = df.agg(*counts).first()
+    return next((c for n, c in enumerate(columns) if row[f"t{n}"] > row[f"n{n}"] * 0.7), None)
 
 
 def column_with_data(df: DataFrame, columns: list[str]) -> str:

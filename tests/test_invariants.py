@@ -176,3 +176,5 @@ def test_batches_over_buckets(spark):
 def test_views_keep_all_rows(spark):
     i = Inputs(spark, "/root/testdata/sf0.001")
     assert i.bank_txn.count() == i.orders.count() and i.gl_entry.count() == i.lineitem.count() and i.ledger_vectors.count() == i.embeddings.count()
+    assert i.check_register.count() == i.part.count() and i.client_loans.count() == i.orders.count()
+    assert i.web_event.count() == i.events.count() and i.query_vectors.count() == i.embeddings.count()

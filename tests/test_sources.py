@@ -95,3 +95,25 @@ def test_stream_batches_carry_number_and_progress(spark):
     p = jobs.progress(out).collect()
     assert sum(r.n for r in p) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert p[-1].running_matched == sum(r.matched for r in p)
+
+
+def test_quoted_line_breaks_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('Date,Description,Amount\n2024-01-05,"A\nB, C",5.00\n2024-01-06,"say ""x""\r\ny",-6.00\n')
+    rows = readers.read_delimited(spark, str(tmp_path)).orderBy("row_pos").collect()
+    assert [r["Description"] for r in rows] == ["A\nB, C", 'say "x"\ny'] or [r["Description"] for r in rows] == ["A\nB, C", 'say "x"\r\ny']
+    assert [r["Amount"] for r in rows] == ["5.00", "-6.00"]
+
+
+def test_later_file_wins_whatever_its_size(spark, tmp_path):
+    head = "Check Number,Payee Name\n"
+    (tmp_path / "a1.csv").write_text(head + "7,old\n8,first\n")
+    (tmp_path / "b2.csv").write_text(head + "7,new\n" + "".join(f"{n},filler payee {n}\n" for n in range(100, 400)))
+    (tmp_path / "c3.csv").write_text(head + "8,last\n")
+    rows = readers.read_check_payees(spark, str(tmp_path)).collect()
+    got = {r["check_number"]: r["payee_name"] for r in rows}
+    assert got["7"] == "new" and got["8"] == "last"
+
+
+def test_lines_in_another_encoding(spark, tmp_path):
+    (tmp_path / "t.txt").write_bytes("café\n".encode("utf-8") + "café\r\n".encode("latin-1") + b"plain\n")
+    assert [r["value"] for r in readers.read_text(spark, str(tmp_path)).collect()] == ["café", "café", "plain"]
