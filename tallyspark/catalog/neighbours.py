@@ -15,44 +15,56 @@ C = F.col
 AMA = K.DEFAULT_CATEGORY
 
 
-def top_sql(queries: str = "query_vectors", k: int = 50) -> str:
+def top_sql(queries: str = "query_vectors", k: int = 50, p: str = "", vector: str = "embedding") -> str:
     return f"""
-qv AS (SELECT client_id, txn_id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBLE) for y in embedding])) for x in embedding] AS v FROM {queries}),
-hv AS (SELECT client_id, vec_id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBLE) for y in embedding])) for x in embedding] AS v FROM ledger_vectors),
-sc AS (SELECT qv.client_id, txn_id, vec_id, round(list_dot_product(qv.v, hv.v), 6) AS score FROM qv JOIN hv ON qv.client_id = hv.client_id AND txn_id <> vec_id),
-top AS (SELECT *, row_number() OVER (PARTITION BY client_id, txn_id ORDER BY score DESC, vec_id) AS rank FROM sc QUALIFY rank <= {k})"""
+{p}qv AS (SELECT client_id, txn_id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBLE) for y in {vector}])) for x in {vector}] AS v FROM {queries}),
+{p}hv AS (SELECT client_id, vec_id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBLE) for y in embedding])) for x in embedding] AS v FROM ledger_vectors),
+{p}sc AS (SELECT a.client_id, txn_id, vec_id, round(list_dot_product(a.v, b.v), 6) AS score FROM {p}qv a JOIN {p}hv b ON a.client_id = b.client_id AND txn_id <> vec_id),
+{p}top AS (SELECT *, row_number() OVER (PARTITION BY client_id, txn_id ORDER BY score DESC, vec_id) AS rank FROM {p}sc QUALIFY rank <= {k})"""
 
 
 TOP = top_sql()
+NAME_TOP = top_sql(p="n", vector="name_embedding")
 
-CAND = f"""{TOP},
-cand0 AS (SELECT top.*, qq.memo AS q_memo, qq.amount AS q_amount, qq.is_check, qq.payee, h.memo, h.name, h.category, h.date, h.amount AS h_amount,
+
+def cand_sql(ranked: str = "top") -> str:
+    return f"""{TOP},
+cand0 AS (SELECT t.*, qq.memo AS q_memo, qq.amount AS q_amount, qq.is_check, qq.payee, h.memo, h.name, h.category, h.date, h.amount AS h_amount,
     lower(trim(qq.memo)) AS a, lower(trim(h.memo)) AS b, {q.check_memo_key('qq.memo')} AS ka, {q.check_memo_key('h.memo')} AS kb
-  FROM top JOIN query_vectors qq USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id)),
+  FROM {ranked} t JOIN query_vectors qq USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id)),
 cand AS (SELECT *, a = b OR (ka <> '' AND ka = kb) OR (length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a))) AS memo_match,
     abs(q_amount) > 0 AND abs(h_amount) > 0 AND abs(abs(q_amount) - abs(h_amount)) < 0.01 AS amount_match FROM cand0),
 tier0 AS (SELECT *, CASE WHEN memo_match AND amount_match THEN 1 WHEN memo_match AND score >= 0.8 THEN 2 WHEN rank <= 20 AND score >= 0.8 THEN 3 WHEN rank <= 5 THEN 4 END AS tier,
     coalesce(date, DATE '0001-01-01') AS dd FROM cand),
 best AS (SELECT * FROM tier0 WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id, txn_id ORDER BY tier,
-    CASE WHEN tier = 4 THEN -score END, CASE WHEN tier < 4 THEN dd END DESC, CASE WHEN tier = 3 THEN -score END, CASE WHEN tier = 4 THEN dd END DESC, rank) = 1)"""
+    CASE WHEN tier = 4 THEN -score END, CASE WHEN tier < 4 THEN dd END DESC, CASE WHEN tier = 3 THEN -score END, CASE WHEN tier = 4 THEN dd END DESC, rank NULLS LAST, vec_id) = 1)"""
+
+
+CAND = cand_sql()
+# the neighbours, and every pair of equal memo and amount over the whole ledger
+WHOLE = """(SELECT * FROM top UNION ALL SELECT a.client_id, a.txn_id, b.vec_id, NULL, NULL FROM query_vectors a JOIN ledger_vectors b
+    ON a.client_id = b.client_id AND a.txn_id <> b.vec_id AND abs(a.amount) = abs(b.amount)
+    WHERE lower(trim(a.memo)) = lower(trim(b.memo)) OR ({key_a} <> '' AND {key_a} = {key_b}))""".format(key_a=q.check_memo_key("a.memo"), key_b=q.check_memo_key("b.memo"))
 
 PAYEES = "payee_source AS (SELECT memo AS description FROM query_vectors)," + PAYEE_SQL.format(source="payee_source").lstrip()
 
 NAMES = f"""{PAYEES},
 named AS (SELECT qq.*, payee AS sname FROM (SELECT client_id, txn_id, memo FROM query_vectors WHERE NOT is_check) qq JOIN payees ON d = trim(memo) WHERE payees.payee <> ''),
-nm AS (SELECT top.*, lower(trim(h.name)) = lower(trim(sname)) AS exact, h.category, h.name AS h_name, coalesce(h.date, DATE '0001-01-01') AS dd
-  FROM top JOIN named USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id)),
-nbest AS (SELECT * FROM nm WHERE exact OR score >= 0.8 QUALIFY row_number() OVER (PARTITION BY client_id, txn_id ORDER BY exact DESC, dd DESC, rank) = 1)"""
+nexact AS (SELECT n.client_id, txn_id, pcat AS category, pname AS h_name FROM named n JOIN payrank p ON n.client_id = p.client_id AND p.k = lower(trim(sname))),
+nm AS (SELECT t.*, h.category, h.name AS h_name, coalesce(h.date, DATE '0001-01-01') AS dd
+  FROM ntop t JOIN named USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id) WHERE (t.client_id, txn_id) NOT IN (SELECT (client_id, txn_id) FROM nexact)),
+nbest AS (SELECT client_id, txn_id, true AS exact, category, CAST(1 AS DOUBLE) AS score, h_name FROM nexact UNION ALL
+  (SELECT client_id, txn_id, false, category, score, h_name FROM nm WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY client_id, txn_id ORDER BY dd DESC, rank) = 1))"""
 
 PAYCAT = """
 paycat AS (SELECT client_id, lower(trim(name)) AS k, arg_max(category, coalesce(date, DATE '0001-01-01')) AS x FROM ledger_vectors GROUP BY ALL),
-payrank AS (SELECT client_id, lower(trim(name)) AS k, category AS pcat FROM ledger_vectors WHERE trim(name) <> '' AND trim(category) <> ''
+payrank AS (SELECT client_id, lower(trim(name)) AS k, category AS pcat, name AS pname FROM ledger_vectors WHERE trim(name) <> '' AND trim(category) <> ''
   QUALIFY row_number() OVER (PARTITION BY client_id, lower(trim(name)) ORDER BY coalesce(date, DATE '0001-01-01') DESC, vec_id) = 1)"""
 
 PROPOSALS = "SELECT client_id, txn_id AS query_id, CASE CAST(txn_id % 3 AS INT) WHEN 0 THEN 'STANDARD ITEMS' WHEN 1 THEN 'fuel' ELSE 'nothing' END AS proposal FROM query_vectors"
 COA_CATS = f"coacats AS (SELECT DISTINCT client_id, lower({q.squeeze('account')}) AS ccat FROM coa WHERE lower(trim(account)) NOT IN ('', 'nan', 'none', 'null'))"
 
-CASCADE = f"""{CAND},{NAMES},{PAYCAT},{COA_CATS},
+CASCADE = f"""{cand_sql(WHOLE)},{NAME_TOP},{PAYCAT},{NAMES},{COA_CATS},
 prop AS (SELECT p.client_id, query_id, ccat FROM ({PROPOSALS}) p JOIN coacats c ON p.client_id = c.client_id AND lower(trim(proposal)) = ccat),
 sim0 AS (SELECT qq.client_id, qq.txn_id, qq.memo, qq.amount, qq.is_check, qq.payee, CASE WHEN NOT qq.is_check OR best.tier = 1 THEN best.tier END AS tier, nullif(trim(best.category), '') AS bcat, best.name AS bname,
     pcat, nullif(trim(nbest.category), '') AS ncat, ccat
@@ -104,7 +116,7 @@ def j19(i):
     return ledger.category_by_name(names, i.ledger_vectors.withColumnRenamed("vec_id", "entry_id")).select("txn_id", "category")
 
 
-@query("j20_name_search", f"WITH {TOP},{NAMES} SELECT client_id, txn_id AS query_id, category, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS match_type, score, h_name AS name FROM nbest")
+@query("j20_name_search", f"WITH {NAME_TOP},{PAYCAT},{NAMES} SELECT client_id, txn_id AS query_id, category, CASE WHEN exact THEN 'exact' ELSE 'similar' END AS match_type, score, h_name AS name FROM nbest")
 def j20(i):
     from tallyspark.functions import payee
 
@@ -143,7 +155,7 @@ def c8(i):
 
 
 def look_sql(k: int, by: str) -> str:
-    return f"""WITH {top_sql(k=k)},
+    return f"""WITH {top_sql(k=k, vector="embedding" if by == "memo" else "name_embedding")},
 lb AS (SELECT top.*, h.memo, h.name, h.category, h.date, lower(trim(h.{by})) AS ht, lower(trim(h.{by})) = lower(trim(qq.q)) AS ex, score >= 0.8 AS hi, coalesce(h.date, DATE '0001-01-01') AS dd
   FROM top JOIN (SELECT client_id, txn_id, {"memo" if by == "memo" else "upper(substr(memo, length(memo) - 7))"} AS q FROM query_vectors) qq USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id)),
 sel AS (SELECT client_id, txn_id, ht AS s_text, score AS s_score FROM lb WHERE ex OR hi QUALIFY row_number() OVER (PARTITION BY client_id, txn_id ORDER BY ex DESC, dd DESC, rank) = 1)
@@ -158,7 +170,7 @@ def c11(i):
 
 @query("c12_name_look_back", look_sql(50, "name"))
 def c12(i):
-    named = i.query_vectors.withColumn("name", F.upper(F.expr("substr(memo, length(memo) - 7)")))
+    named = i.query_vectors.withColumn("embedding", C("name_embedding")).withColumn("name", F.upper(F.expr("substr(memo, length(memo) - 7)")))
     return neighbours.look_back(named, i.ledger_vectors, 50, True, "name")
 
 

@@ -96,6 +96,33 @@ def candidates(queries: DataFrame, history: DataFrame, k: int = 50, exclude_self
     return ranked.join(q, ["client_id", "query_id"]).join(h, ["client_id", "entry_id"])
 
 
+def exact_history(queries: DataFrame, history: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """The newest history row with the query's memo (any case, or as a check memo) and amount, over the whole ledger.
+
+    Same columns as `candidates`, without score and rank. Rows of one memo and amount collapse to the newest map-side, so
+    a memo with a third of the ledger meets each query once.
+    """
+
+    def keyed(df: DataFrame, amount: str) -> DataFrame:
+        text, check = F.lower(tx.strip(F.coalesce("memo", F.lit("")))), tx.check_memo_key(F.col("memo"))
+        keys = F.array(F.concat(F.lit("t:"), text), F.when(check != "", F.concat(F.lit("c:"), check)))
+        return df.withColumn("cents", F.abs(amount)).filter("cents > 0").withColumn("key", F.explode(F.array_compact(keys)))
+
+    on = ["client_id", "key", "cents"]
+    h = keyed(history.withColumnRenamed("vec_id", "entry_id"), "amount").select(*on, "entry_id", "memo", "name", "category", "date", F.col("amount").alias("h_amount"))
+    row = F.struct("entry_id", "memo", "name", "category", "date", "h_amount")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*on).agg(F.min_by(row, F.struct(-_newest(), F.col("entry_id"))).alias("e")).select(*on, "e.*")
+
+    first = newest(h)
+    if exclude_self:  # the next one stands in where the newest is the query itself
+        first = first.union(newest(h.join(first.select(*on, "entry_id"), [*on, "entry_id"], "left_anti")))
+    q = keyed(queries, "amount").select(*on, F.col("txn_id").alias("query_id"), F.col("memo").alias("q_memo"), F.col("amount").alias("q_amount"), "is_check", "payee")
+    found = q.join(first, on).filter("query_id <> entry_id") if exclude_self else q.join(first, on)
+    return found.drop("key", "cents").withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.lit(None).cast("int")).distinct()
+
+
 def match_flags(c: DataFrame) -> DataFrame:
     """Memo and amount agreement per candidate."""
     a, b = F.lower(tx.strip(F.col("q_memo"))), F.lower(tx.strip(F.coalesce("memo", F.lit(""))))
@@ -116,7 +143,7 @@ def tiered(c: DataFrame) -> DataFrame:
     """Candidates with their tier and the order inside the tier.
 
     1 memo and amount agree (newest), 2 memo agrees with a high score (newest), 3 high score in the top 20
-    (newest, then score), 4 top 5 (score, then newest). Ties keep the incoming rank.
+    (newest, then score), 4 top 5 (score, then newest). Ties keep the incoming rank, rows without one come last, by entry.
     """
     high = F.col("score") >= K.HIGH_SCORE
     tier = (
@@ -125,10 +152,10 @@ def tiered(c: DataFrame) -> DataFrame:
         .when((F.col("rank") <= 20) & high, 3)
         .when(F.col("rank") <= 5, 4)
     )
-    by_date = (-_newest()).cast("double")
-    order = F.when(F.col("tier") == 4, F.struct((-F.col("score")).alias("a"), by_date.alias("b"), F.col("rank").alias("c"))).when(
-        F.col("tier") == 3, F.struct(by_date.alias("a"), (-F.col("score")).alias("b"), F.col("rank").alias("c"))
-    ).otherwise(F.struct(by_date.alias("a"), F.lit(0.0).alias("b"), F.col("rank").alias("c")))
+    by_date, tie = (-_newest()).cast("double"), (F.coalesce(F.col("rank"), F.lit(2**31 - 1)).alias("c"), F.col("entry_id").alias("d"))
+    order = F.when(F.col("tier") == 4, F.struct((-F.col("score")).alias("a"), by_date.alias("b"), *tie)).when(
+        F.col("tier") == 3, F.struct(by_date.alias("a"), (-F.col("score")).alias("b"), *tie)
+    ).otherwise(F.struct(by_date.alias("a"), F.lit(0.0).alias("b"), *tie))
     return match_flags(c).withColumn("tier", tier).filter("tier IS NOT NULL").withColumn("tier_order", order)
 
 
@@ -139,20 +166,23 @@ def best_candidate(c: DataFrame) -> DataFrame:
     return tiered(c).groupBy("client_id", "query_id").agg(best.alias("best"))
 
 
-def name_search(queries: DataFrame, history: DataFrame, name: str = "name", k: int = 50, exclude_self: bool = False) -> DataFrame:
-    """Category by name: exact name among the neighbours, else high scores; the newest wins."""
-    named = queries.filter(F.coalesce(name, F.lit("")) != "")
+def name_search(queries: DataFrame, history: DataFrame, name: str = "name", k: int = 50, exclude_self: bool = False,
+                vector: str = "name_embedding") -> DataFrame:
+    """Category by name: the exact name over all history rows, else high scores among the neighbours of the name's vector; the newest wins."""
+    key = F.lower(tx.strip(F.col(name)))
+    named = queries.filter(F.coalesce(name, F.lit("")) != "").withColumn("embedding", F.col(vector)).withColumn("name_key", key)
+    newest = ledger.newest_by_name(history.withColumnRenamed("vec_id", "entry_id")).withColumnRenamed("name", "h_name")
+    exact = named.select("client_id", F.col("txn_id").alias("query_id"), "name_key").join(newest, ["client_id", "name_key"])
+    named = named.join(newest.select("client_id", "name_key"), ["client_id", "name_key"], "left_anti")
     ranked = top_k(named, history, k, exclude_self=exclude_self)
     h = history.select("client_id", F.col("vec_id").alias("entry_id"), F.col("name").alias("h_name"), "category", "date")
-    q = named.select("client_id", F.col("txn_id").alias("query_id"), F.col(name).alias("q_name"))
-    j = ranked.join(q, ["client_id", "query_id"]).join(h, ["client_id", "entry_id"])
-    exact = F.lower(tx.strip(F.col("h_name"))) == F.lower(tx.strip(F.col("q_name")))
-    usable = j.withColumn("exact", exact).filter(F.col("exact") | (F.col("score") >= K.HIGH_SCORE))
-    order = F.struct(F.when(F.col("exact"), 0).otherwise(1), -_newest(), F.col("rank"))
-    best = F.min_by(F.struct("category", "exact", "score", "h_name"), order)
-    return usable.groupBy("client_id", "query_id").agg(best.alias("b")).select(
-        "client_id", "query_id", "b.category", F.when(F.col("b.exact"), "exact").otherwise("similar").alias("match_type"), "b.score",
-        F.col("b.h_name").alias("name"),
+    usable = ranked.filter(F.col("score") >= K.HIGH_SCORE).join(h, ["client_id", "entry_id"])
+    best = F.min_by(F.struct("category", "score", "h_name"), F.struct(-_newest(), F.col("rank")))
+    similar = usable.groupBy("client_id", "query_id").agg(best.alias("b"))
+    return exact.select(
+        "client_id", "query_id", "category", F.lit("exact").alias("match_type"), F.lit(1.0).alias("score"), F.col("h_name").alias("name")
+    ).unionByName(
+        similar.select("client_id", "query_id", "b.category", F.lit("similar").alias("match_type"), "b.score", F.col("b.h_name").alias("name"))
     )
 
 
@@ -164,7 +194,7 @@ def accept_coa_proposals(proposals: DataFrame, coa_categories: DataFrame) -> Dat
 
 def similarity_cascade(queries: DataFrame, history: DataFrame, coa_categories: DataFrame | None = None, proposals: DataFrame | None = None,
                        exclude_self: bool = False) -> DataFrame:
-    """Category per transaction from history: best candidate, else name search, else accepted proposal.
+    """Category per transaction from history: best candidate (exact ones from the whole ledger), else name search, else accepted proposal.
 
     Check rows take only the exact tier, then the category of their payee.
     """
@@ -174,7 +204,8 @@ def similarity_cascade(queries: DataFrame, history: DataFrame, coa_categories: D
         return F.nullif(tx.strip(F.coalesce(c, F.lit(""))), F.lit(""))
 
     base = queries.select("client_id", F.col("txn_id").alias("query_id"), "memo", "amount", "is_check", "payee")
-    best = best_candidate(candidates(queries, history, 50, exclude_self))
+    near = candidates(queries, history, 50, exclude_self)
+    best = best_candidate(near.unionByName(exact_history(queries, history, exclude_self)))
     found = base.join(best, ["client_id", "query_id"], "left")
     exact = F.col("best.tier") == 1
     usable = F.when(~F.col("is_check") | exact, F.col("best"))
@@ -191,7 +222,7 @@ def similarity_cascade(queries: DataFrame, history: DataFrame, coa_categories: D
     open_rows = found.filter(~F.col("is_check") & F.col("found_category").isNull()).select(
         "client_id", F.col("query_id").alias("txn_id"), payee.payee_from_description(F.col("memo")).alias("search_name")
     )
-    searched = materialise(open_rows.join(queries.select("client_id", "txn_id", "embedding"), ["client_id", "txn_id"]), "names")
+    searched = materialise(open_rows.join(queries.select("client_id", "txn_id", "name_embedding"), ["client_id", "txn_id"]), "names")
     by_name = name_search(searched, history, "search_name", 50, exclude_self).select(
         "client_id", "query_id", F.col("category").alias("name_category")
     )

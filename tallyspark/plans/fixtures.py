@@ -214,12 +214,12 @@ SELECT vec_id, CAST(vec_id % 5 AS INT) AS client_id, {shifted} AS embedding,
 FROM {embeddings} LEFT JOIN {part} ON p_partkey = vec_id"""
 
 VIEWS["query_vectors"] = """
-SELECT vec_id AS txn_id, client_id, embedding,
-  CASE WHEN vec_id % 6 = 0 THEN upper(memo) WHEN vec_id % 6 = 1 THEN concat('ACH DEBIT ', memo, ' 123456')
-    WHEN vec_id % 6 = 2 THEN concat('Payment to ', name) ELSE memo END AS memo,
-  CASE WHEN vec_id % 2 = 0 THEN amount ELSE -amount END AS amount,
-  vec_id % 11 = 0 AS is_check, CASE WHEN vec_id % 11 = 0 THEN upper(name) ELSE '' END AS payee
-FROM {ledger_vectors}"""
+SELECT v.vec_id AS txn_id, v.client_id, v.embedding, coalesce(n.embedding, v.embedding) AS name_embedding,
+  CASE WHEN v.vec_id % 6 = 0 THEN upper(v.memo) WHEN v.vec_id % 6 = 1 THEN concat('ACH DEBIT ', v.memo, ' 123456')
+    WHEN v.vec_id % 12 = 2 THEN concat('Payment to ', v.name, ' Unknown') WHEN v.vec_id % 6 = 2 THEN concat('Payment to ', v.name) ELSE v.memo END AS memo,
+  CASE WHEN v.vec_id % 2 = 0 THEN v.amount ELSE -v.amount END AS amount,
+  v.vec_id % 11 = 0 AS is_check, CASE WHEN v.vec_id % 11 = 0 THEN upper(v.name) ELSE '' END AS payee
+FROM {ledger_vectors} v LEFT JOIN {ledger_vectors} n ON n.vec_id = v.vec_id + 5"""
 
 VIEWS["model_proposal"] = """
 SELECT client_id, description,
