@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash, syncmers, token_files
+from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash, syncmers, token_files, toxicity
 from tallyspark.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": _over_documents(bpe.query),
         "op2_simhash": _over_documents(simhash.query),
+        "op3_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_syncmers": _over_documents(syncmers.query),
         "op5_chat_format": lambda spark, sf_dir: chat.query(table(spark, sf_dir, "conversations")),
         "op6_quality_rules": _over_documents(quality.query),
