@@ -9,6 +9,7 @@ from tallyspark.catalog import sqltext as q
 from tallyspark.catalog.base import query
 from tallyspark.catalog.cascades import FULL_CASCADE, full_cascade
 from tallyspark.catalog.extract import ADDRESS_SQL, DEVICE_SQL
+from tallyspark.catalog.summaries import RATES
 from tallyspark.catalog.normalise import BANK_CSV_SQL, N5_SQL, N6_SQL, gl_sql
 from tallyspark.functions import codes, dates, web
 from tallyspark.operators import health, ingest
@@ -216,14 +217,23 @@ def io12(i):
     return readers.read_legacy_csv(i.spark, written_csv(i, legacy_rows(i), "legacy-csv"))
 
 
-@query("io13_statement_run", f"WITH {FULL_CASCADE} SELECT client_id, 'run-' || CAST(client_id AS VARCHAR) AS run_id, count(*) AS total FROM cat GROUP BY client_id")
+@query("io13_statement_run", f"""WITH {FULL_CASCADE}, s AS (SELECT client_id, coalesce(categorization_source, '{K.DEFAULT_CATEGORY}') AS source, count(*) AS n FROM cat GROUP BY ALL)
+SELECT client_id, 'run-' || CAST(client_id AS VARCHAR) AS run_id, {RATES}, count(*) AS stored, sum(row_pos) AS stored_positions,
+  (SELECT string_agg(source || '=' || CAST(n AS VARCHAR), ',' ORDER BY source) FROM s WHERE s.client_id = cat.client_id) AS sources FROM cat GROUP BY client_id""")
 def io13(i):
     from tallyspark.operators import summary
 
-    path = shared_folder(i.spark, "statement-run")
-    run = summary.match_rates(full_cascade(i), ["client_id"]).withColumn("run_id", F.concat(F.lit("run-"), C("client_id").cast("string")))
-    writers.append_table(run, path, "client_id")
-    return i.spark.read.parquet(path).select(C("client_id").cast("int").alias("client_id"), "run_id", "total")
+    # the run row and its transactions are two tables under one run key
+    path, run_id = shared_folder(i.spark, "statement-run"), F.concat(F.lit("run-"), C("client_id").cast("string")).alias("run_id")
+    writers.append_table(full_cascade(i).select("*", run_id), f"{path}/transactions", "client_id")
+    rows = i.spark.read.parquet(f"{path}/transactions")
+    run = summary.match_rates(rows, ["client_id", "run_id"]).join(summary.source_count_map(rows, ["client_id", "run_id"]), ["client_id", "run_id"])
+    writers.append_table(run, f"{path}/runs", "client_id")
+    stored = rows.groupBy("run_id").agg(F.count("*").alias("stored"), F.sum("row_pos").alias("stored_positions"))
+    sources = F.array_join(F.transform(F.array_sort(F.map_entries("source_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return i.spark.read.parquet(f"{path}/runs").join(stored, "run_id").select(
+        C("client_id").cast("int").alias("client_id"), "run_id", "total", "matched", "unmatched", "ama_rate", "stored", "stored_positions", sources.alias("sources")
+    )
 
 
 @query("io14_batch_sink", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM web_event")
@@ -261,9 +271,12 @@ def io17(i):
     )
 
 
-@query("io18_grouped_result", "SELECT CAST(client_id AS INT) AS user_id, bank, coalesce(account_number, 'NA') AS account, count(*) AS n FROM bank_txn GROUP BY ALL")
+@query("io18_grouped_result", "SELECT CAST(client_id AS INT) AS user_id, bank, coalesce(account_number, 'NA') AS account, count(*) AS n, sum(row_pos) AS positions, sum(coalesce(credit, debit)) AS amount FROM bank_txn GROUP BY ALL")
 def io18(i):
     path = shared_folder(i.spark, "extracts")
-    grouped = i.bank_txn.groupBy(C("client_id").alias("user_id"), "bank", F.coalesce("account_number", F.lit("NA")).alias("account")).agg(F.count("*").alias("n"))
-    writers.append_table(grouped, path, "user_id")
-    return i.spark.read.parquet(path).select("user_id", "bank", "account", "n")
+    # the rows themselves are stored under user, bank and account
+    keyed = i.bank_txn.withColumn("user_id", C("client_id")).withColumn("account", F.coalesce("account_number", F.lit("NA")))
+    writers.append_table(keyed, path, "user_id")
+    return i.spark.read.parquet(path).groupBy("user_id", "bank", "account").agg(
+        F.count("*").alias("n"), F.sum("row_pos").alias("positions"), F.sum(F.coalesce("credit", "debit")).alias("amount")
+    )

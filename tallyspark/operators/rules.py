@@ -19,7 +19,8 @@ from tallyspark.functions import codes, text as tx
 RULE_FIELDS = [
     "rule_id", "account_id", "account_name", "category_type", "vendor_code", "trigger_payee_contains",
 ]
-SALTS = 8
+#: Distinct texts of a client that meet its rules in one part.
+TEXTS_PER_SALT = 20_000
 
 
 def explode_triggers(rules: DataFrame) -> DataFrame:
@@ -46,8 +47,19 @@ def specific_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def trigger_table(rules: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Triggers prepared for the text predicate, repeated per salt."""
+def client_salts(texts: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """client_id and the number of parts that its texts are joined in, from their count."""
+    return texts.groupBy("client_id").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("salts"))
+
+
+def with_salt(texts: DataFrame, salts: DataFrame, column: str) -> DataFrame:
+    """Texts with a `salt`, a function of the text."""
+    counted = texts.join(salts, "client_id", "left")
+    return counted.withColumn("salt", F.pmod(F.xxhash64(column), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+
+
+def trigger_table(rules: DataFrame, salts: DataFrame) -> DataFrame:
+    """Triggers prepared for the text predicate, repeated per salt of their client."""
     flagged = with_generic_flags(rules)
     t = F.upper(tx.strip(F.col("trigger")))
     rows = flagged.select(
@@ -64,7 +76,9 @@ def trigger_table(rules: DataFrame, salts: int = SALTS) -> DataFrame:
         .withColumn("t_words", words)
         .withColumn("t_w1", F.get("t_words", F.lit(0)))
         .withColumn("t_w2", F.get("t_words", F.lit(1)))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(salts, "client_id")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .drop("salts")
         .withColumnRenamed("client_id", "t_client")
         .withColumnRenamed("salt", "t_salt")
     )
@@ -110,7 +124,7 @@ def rule_struct() -> Column:
     return F.struct("rule_pos", *RULE_FIELDS)
 
 
-def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per: int = TEXTS_PER_SALT) -> DataFrame:
     """Searches (client_id, search columns, optional `coded_unknown`) joined to the triggers they match.
 
     The result keeps a `salt` column, which is a function of the search text and may be used in grouping.
@@ -118,9 +132,8 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", sal
     if "coded_unknown" not in searches.columns:
         searches = searches.withColumn("coded_unknown", F.lit(False))
     # derived from the finished text column, so the cleaning patterns run once per text
-    searches = searches.select(
-        "*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat"), F.pmod(F.xxhash64("s_text"), F.lit(salts)).cast("int").alias("salt")
-    )
+    salts = client_salts(searches, per)
+    searches = with_salt(searches.select("*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat")), salts, "s_text")
     condition = (
         (F.col("client_id") == F.col("t_client"))
         & (F.col("salt") == F.col("t_salt"))
@@ -217,12 +230,14 @@ def proposal_rules(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     """
     from tallyspark import constants as K
 
-    flagged = with_generic_flags(rules).select(
-        F.col("client_id").alias("r_client"), "rule_pos", *RULE_FIELDS, F.lower(tx.strip(F.col("account_name"))).alias("r_name"),
+    salts = client_salts(proposals)
+    flagged = with_generic_flags(rules).join(salts, "client_id").select(
+        F.col("client_id").alias("r_client"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("r_salt"), "rule_pos", *RULE_FIELDS, F.lower(tx.strip(F.col("account_name"))).alias("r_name"),
         F.lower(tx.strip(F.col("account_id"))).alias("r_account"),
         (F.col("generic_only") & ~F.col("client_all_generic")).alias("t_dropped_when_coded"),
     )
-    offered = proposals.select(
+    offered = with_salt(proposals, salts, "description").select(
+        "salt",
         "client_id", "description", F.lower("account_name").alias("p_name"), F.lower("account_id").alias("p_account"),
         F.col("rule_id").alias("p_rule"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"),
@@ -232,10 +247,10 @@ def proposal_rules(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     by_rule = F.col("rule_id") == F.col("p_rule")
     hit = F.coalesce(by_name, F.lit(False)) | F.coalesce(by_account, F.lit(False))
     joined = offered.join(
-        flagged, (F.col("client_id") == F.col("r_client")) & (hit | F.coalesce(by_rule, F.lit(False))), "left"
+        flagged, (F.col("client_id") == F.col("r_client")) & (F.col("salt") == F.col("r_salt")) & (hit | F.coalesce(by_rule, F.lit(False))), "left"
     )
     order = F.struct(F.when(hit, 1).otherwise(2), F.col("rule_pos"))
-    picked = joined.groupBy("client_id", "description", "confidence").agg(
+    picked = joined.groupBy("client_id", "salt", "description", "confidence").agg(
         F.min_by(rule_struct(), F.when(F.col("rule_pos").isNotNull(), order)).alias("any_rule"),
         F.min_by(rule_struct(), F.when(F.col("rule_pos").isNotNull() & ~F.col("t_dropped_when_coded"), order)).alias(
             "specific_rule"
