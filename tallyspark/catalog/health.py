@@ -89,7 +89,24 @@ def a15(i):
     )
 
 
-@query("a16_absorb_similar_rules")
+# the greedy merge, one step for each comparison: the head meets the open groups in order, then the next head starts
+ABSORB_SQL = f"""{MERGE_SQL},
+by_id AS (SELECT client_id, norm_id, list(struct_pack(pos := rule_pos, tr := tr) ORDER BY rule_pos) AS gs FROM merged GROUP BY ALL),
+absorb AS (SELECT client_id, norm_id, gs[1] AS head, gs[2:] AS todo, gs[1:0] AS rest, gs[1:0] AS done FROM by_id
+  UNION ALL
+  SELECT client_id, norm_id,
+    CASE WHEN len(todo) = 0 THEN rest[1] WHEN alike THEN struct_pack(pos := head.pos, tr := list_sort(list_distinct(list_concat(head.tr, todo[1].tr)))) ELSE head END,
+    CASE WHEN len(todo) = 0 THEN rest[2:] ELSE todo[2:] END,
+    CASE WHEN len(todo) = 0 THEN rest[1:0] WHEN alike THEN rest ELSE list_append(rest, todo[1]) END,
+    CASE WHEN len(todo) = 0 THEN list_append(done, head) ELSE done END
+  FROM (SELECT *, coalesce(len(head.tr) > 0 AND len(todo[1].tr) > 0 AND CAST(len(list_intersect(head.tr, todo[1].tr)) AS DOUBLE)
+      / greatest(len(list_distinct(list_concat(head.tr, todo[1].tr))), 1) > CAST(0.7 AS DOUBLE), false) AS alike FROM absorb WHERE len(todo) > 0 OR len(rest) > 0) s),
+absorbed AS (SELECT a.client_id, x.pos AS rule_pos, rule_id, account_id, account_name, category_type, x.tr AS tr
+  FROM (SELECT client_id, norm_id, unnest(list_append(done, head)) AS x FROM absorb WHERE len(todo) = 0 AND len(rest) = 0) a
+    JOIN merged m ON m.client_id = a.client_id AND m.norm_id = a.norm_id AND m.rule_pos = x.pos)"""
+
+
+@query("a16_absorb_similar_rules", f"WITH {ABSORB_SQL} SELECT client_id, rule_pos, rule_id, account_id, account_name, array_to_string(tr, '|') AS triggers FROM absorbed")
 def a16(i):
     return rulebase.absorb_similar(rulebase.merge_rules(i.rules)).select(
         "client_id", "rule_pos", "rule_id", "account_id", "account_name", F.array_join("trigger_payee_contains", "|").alias("triggers")
@@ -104,7 +121,15 @@ def a16_pairs(i):
     return rulebase.trigger_similarity(rulebase.merge_rules(i.rules), 0.4).select("client_id", "norm_id", "rule_pos", "other_pos", "common", "similarity")
 
 
-@query("a17_final_dedupe")
+@query("a17_final_dedupe", f"""WITH {ABSORB_SQL},
+by_name AS (SELECT client_id, lower(trim(coalesce(account_name, ''))) AS kn, lower(trim(coalesce(category_type, ''))) AS kc, list(struct_pack(pos := rule_pos, tr := tr) ORDER BY rule_pos) AS gs FROM absorbed GROUP BY ALL),
+fold AS (SELECT client_id, kn, kc, gs[1] AS head, gs[2:] AS todo, gs[1:0] AS done FROM by_name
+  UNION ALL
+  SELECT client_id, kn, kc, CASE WHEN alike THEN struct_pack(pos := head.pos, tr := list_sort(list_distinct(list_concat(head.tr, todo[1].tr)))) ELSE todo[1] END, todo[2:],
+    CASE WHEN alike THEN done ELSE list_append(done, head) END
+  FROM (SELECT *, len(head.tr) > 0 AND len(todo[1].tr) > 0 AND 2 * len(list_intersect(head.tr, todo[1].tr)) > len(list_distinct(list_concat(head.tr, todo[1].tr))) AS alike FROM fold WHERE len(todo) > 0) s)
+SELECT f.client_id, x.pos AS rule_pos, rule_id, account_name, array_to_string(x.tr, '|') AS triggers
+FROM (SELECT client_id, unnest(list_append(done, head)) AS x FROM fold WHERE len(todo) = 0) f JOIN absorbed a ON a.client_id = f.client_id AND a.rule_pos = x.pos""")
 def a17(i):
     merged = rulebase.absorb_similar(rulebase.merge_rules(i.rules))
     return rulebase.final_dedupe(merged).select(

@@ -10,6 +10,7 @@ from tallyspark.catalog.base import query
 from tallyspark.catalog.cascades import FULL_CASCADE
 from tallyspark.catalog.extract import ADDRESS_SQL, DEVICE_SQL
 from tallyspark.catalog.neighbours import CAND
+from tallyspark.catalog.summaries import MATCHED
 from tallyspark.operators import cascade, neighbours, summary
 from tallyspark.streaming import jobs
 
@@ -25,6 +26,15 @@ def k1(i):
     return out.select("row_pos", "account_name", "categorization_source", "matched_rule_id", "confidence_score", "needs_review_reason", "transaction_fingerprint")
 
 
+@query("k1_running_matched", f"WITH {FULL_CASCADE} SELECT 3 AS batches, count(*) AS n, count_if({MATCHED}) AS matched FROM cat")
+def k1_running(i):
+    stream = jobs.transaction_stream(i.spark, i.sf_dir, 3)
+    out = jobs.categorise_stream(
+        stream, i.spark, lambda batch: cascade.categorise(batch, i.rules, i.check_register, None, i.model_proposal), summary.is_matched()
+    )
+    return jobs.progress(out).agg(F.count("*").alias("batches"), F.sum("n").alias("n"), F.max("running_matched").alias("matched"))
+
+
 @query("k2_incremental_similarity", f"WITH {CAND} SELECT client_id, txn_id AS query_id, best.category, tier FROM best")
 def k2(i):
     stream = jobs.table_stream(i.spark, i.sf_dir, "embeddings")

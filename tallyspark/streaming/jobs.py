@@ -27,21 +27,33 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger
     return reader.parquet(sf_dir)
 
 
+def split_stream(rows: DataFrame, key: str, files: int) -> DataFrame:
+    """Rows written as files in the order of a key, and streamed one file for each batch."""
+    path = shared_folder(rows.sparkSession, "stream-input")
+    rows.repartitionByRange(files, key).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web events as a stream, through the same view text as the batch table."""
     events = table_stream(spark, sf_dir, "events")
     return Inputs(spark, sf_dir).sql(view_sql("web_event", "spark"), events=events)
 
 
-def transaction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transaction_stream(spark: SparkSession, sf_dir: str, batches: int = 1) -> DataFrame:
     """Bank transactions as a stream: new orders joined to the static customer table."""
     orders = table_stream(spark, sf_dir, "orders")
+    if batches > 1:
+        orders = split_stream(spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet"), "o_orderkey", batches)
     return Inputs(spark, sf_dir).sql(view_sql("bank_txn", "spark"), orders=orders)
 
 
-def run_batches(stream: DataFrame, spark: SparkSession, write: Callable[[DataFrame, int, str], None], purpose: str) -> str:
-    """Run a stream over all available input; every batch goes through `write(batch, number, path)`."""
-    path = shared_folder(spark, purpose)
+def run_batches(stream: DataFrame, spark: SparkSession, write: Callable[[DataFrame, int, str], None], purpose: str, path: str | None = None) -> str:
+    """Run a stream over all available input; every batch goes through `write(batch, number, path)`.
+
+    A run that names the `path` of an earlier one goes on behind its last finished batch.
+    """
+    path = path or shared_folder(spark, purpose)
     query = (
         stream.writeStream.foreachBatch(lambda df, batch_id: write(df, batch_id, path))
         .option("checkpointLocation", f"{path}-checkpoint")

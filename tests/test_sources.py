@@ -117,3 +117,23 @@ def test_later_file_wins_whatever_its_size(spark, tmp_path):
 def test_lines_in_another_encoding(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes("café\n".encode("utf-8") + "café\r\n".encode("latin-1") + b"plain\n")
     assert [r["value"] for r in readers.read_text(spark, str(tmp_path)).collect()] == ["café", "café", "plain"]
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
+    stream = jobs.split_stream(spark.range(300).withColumnRenamed("id", "k"), "k", 3)
+    tried = []
+
+    def write(batch, number, path, fail):
+        tried.append(number)
+        if fail and number == 1:
+            raise RuntimeError("lost")
+        writers.write_batch(batch, number, path)
+
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception):
+        jobs.run_batches(stream, spark, lambda b, n, p: write(b, n, p, True), "t", path)
+    assert tried == [0, 1]
+    jobs.run_batches(stream, spark, lambda b, n, p: write(b, n, p, False), "t", path)
+    assert tried == [0, 1, 1, 2]
+    rows = spark.read.parquet(path)
+    assert rows.count() == 300 and rows.select("k").distinct().count() == 300
