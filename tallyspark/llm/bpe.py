@@ -8,7 +8,7 @@ pair below it, so each merge reads the root and makes three logarithmic point up
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +18,7 @@ from tallyspark.llm.common import texts, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 350_000, 64
 #: Characters of text after which ids are handed on.
 HAND_ON = 4_000_000
 _NONE = 1 << 62
@@ -36,46 +36,42 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     n = len(piece)
     if n < 2:
         return [ranks[piece[i : i + 1]] for i in range(n)]
+    get = ranks.get
     leaves = 1 << (n - 1).bit_length()
-    shift = leaves.bit_length()
+    shift, low = leaves.bit_length(), leaves - 1
+    # a leaf is the rank and the place of the pair that starts at its byte, as one number
     tree = [_NONE] * (2 * leaves)
-    end = list(range(1, n + 1))  # of the live token that starts at a byte
-    before = list(range(-1, n - 1))  # start of the live token before it
-
-    def pair(i: int) -> int:
-        """Rank and place of the pair that starts at byte i, as one number."""
-        j = end[i]
-        if j >= n or end[j] - i > longest:
-            return _NONE
-        r = ranks.get(piece[i : end[j]])
-        return _NONE if r is None else r << shift | i
-
-    def update(i: int, value: int) -> None:
-        k = leaves + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                break
-            tree[k] = least
-
     for i in range(n - 1):
-        tree[leaves + i] = pair(i)
+        r = get(piece[i : i + 2])
+        if r is not None:
+            tree[leaves + i] = r << shift | i
     for k in range(leaves - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    while tree[1] != _NONE:
-        i = tree[1] & ((1 << shift) - 1)
+    end = list(range(1, n + 1))  # of the live token that starts at a byte
+    before = list(range(-1, n - 1))  # start of the live token before it
+    while (top := tree[1]) != _NONE:
+        i = top & low
         gone = end[i]
-        end[i] = end[gone]
-        if end[i] < n:
-            before[end[i]] = i
-        update(gone, _NONE)
-        update(i, pair(i))
-        if before[i] >= 0:
-            update(before[i], pair(before[i]))
+        end[i] = stop = end[gone]
+        changed = [(gone, _NONE)]
+        if stop < n:
+            before[stop] = i
+        for j, e in ((i, end[stop] if stop < n else 0), (before[i], stop)):
+            if j >= 0:
+                r = get(piece[j:e]) if 0 < e - j <= longest else None
+                changed.append((j, _NONE if r is None else r << shift | j))
+        for j, value in changed:
+            k = leaves + j
+            tree[k] = value
+            while k > 1:
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < value:
+                    value = other
+                if tree[k] == value:
+                    break
+                tree[k] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -92,19 +88,25 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
+        # ids of matches as packed numbers: those seen lately, and those seen before them
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit numbers."""
         pieces, seen = self.find(text), self.seen
         if len(seen) > REMEMBERED:
-            seen.clear()
-        extra = {}
+            self.older, self.seen = seen, {}
+            seen = self.seen
+        extra, older = {}, self.older
         for p in set(pieces).difference(seen):
-            ids = merge(p.encode("utf-8", "surrogatepass"), self.ranks, self.longest)
+            if (ids := older.get(p)) is None:
+                found = merge(p.encode("utf-8"), self.ranks, self.longest)
+                ids = pack(f"<{len(found)}i", *found)
             (seen if len(p) <= LONGEST else extra)[p] = ids
         if extra:
-            return list(chain.from_iterable(seen[p] if p in seen else extra[p] for p in pieces))
-        return list(chain.from_iterable(map(seen.__getitem__, pieces)))
+            return b"".join([seen[p] if p in seen else extra[p] for p in pieces])
+        return b"".join(map(seen.__getitem__, pieces))
 
 
 def _path(name: str) -> str:
@@ -115,11 +117,11 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids array<int> for every row of `docs`.
+def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """doc_id, text, ids array<int> for every row of `docs`.
 
-    Null and empty texts have no ids; repeated rows each get a row; other columns are ignored; an empty table gives an
-    empty result. `vocabulary`: a rank file of public_tokenizers, or a path that every executor can read.
+    Null and empty texts have no ids (and text ''); repeated rows each get a row; other columns are ignored; an empty
+    table gives an empty result. `vocabulary`: a rank file of public_tokenizers, or a path that every executor can read.
     """
 
     def run(batches):
@@ -127,18 +129,25 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None =
 
         made = worker_store(f"bpe:{vocabulary}:{pattern}", lambda: Encoder(_path(vocabulary), pattern or public_tokenizers.PATTERN))
         for batch in batches:
-            keys, flat, ends, chars, first = batch.column(0), [], [0], 0, 0
+            flat, ends, chars, first = [], [0], 0, 0
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
-                flat.append(pa.array(made.encode(text), pa.int32()))
-                ends.append(ends[-1] + len(flat[-1]))
+                flat.append(made.encode(text))
+                ends.append(ends[-1] + len(flat[-1]) // 4)
                 chars += len(text)
-                if chars >= HAND_ON or k == len(keys) - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(flat))
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, k + 1 - first), ids], ["doc_id", "ids"])
+                if chars >= HAND_ON or k == batch.num_rows - 1:
+                    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                    rows = batch.slice(first, k + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], ["doc_id", "text", "ids"])
                     flat, ends, chars, first = [], [0], 0, k + 1
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids array<int> for every row of `docs`; see encode_texts."""
+    return encode_texts(docs, vocabulary, pattern).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -52,18 +52,16 @@ def unescape(text: str) -> str:
 
 def turn_tokens(encode, role: str, text: str, first: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids and loss mask of one turn; the first turn of a conversation begins with <s>."""
-    body = encode(escape(text))
+    body = np.frombuffer(encode(escape(text)), "<i4")
     opening, closing = MARKS.get(role, OTHER)
-    segments = [[RESERVED["<s>"]]] if first else []
-    segments.append([RESERVED[opening]])
+    lead = [RESERVED["<s>"]] * first + [RESERVED[opening]]
     if role not in MARKS:
-        segments += [encode(escape(role)), [RESERVED["[/ROLE]"]]]
-    lead = sum(map(len, segments))
-    ids = np.array([x for s in segments for x in s] + body + [RESERVED[closing]], np.int32)
+        lead += [*np.frombuffer(encode(escape(role)), "<i4").tolist(), RESERVED["[/ROLE]"]]
+    ids = np.concatenate((lead, body, [RESERVED[closing]])).astype(np.int32)
     marks = np.zeros(len(ids) + 1, np.int8)
     if role == "assistant":
-        marks[lead] += 1
-        marks[lead + len(body)] -= 1
+        marks[len(lead)] += 1
+        marks[len(lead) + len(body)] -= 1
     return ids, np.cumsum(marks)[:-1].astype(np.int8)
 
 
