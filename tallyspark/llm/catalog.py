@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash, syncmers, token_files, toxicity
 from tallyspark.llm.common import table
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": _over_documents(token_files.query),
         "op9_suffix_dedup": _over_documents(repeats.query),
         "op10_pii": _over_documents(pii.query),
+        "pipeline": corpus_pipeline.run,
     }
 
 

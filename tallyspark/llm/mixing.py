@@ -17,6 +17,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 LEVEL_BITS = 12
 LEVELS = 3
+SALTS = 32
 
 
 def size_of(text: Column) -> Column:
@@ -87,13 +88,41 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     sizes = materialise(slim, "mix-sizes")
     targets = materialise(source_targets(sizes), "mix-targets")
+    rows = _with_epochs(sizes, _per_source(sizes, targets))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def _per_source(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for each source and salt: a source that holds a third of all rows is joined in SALTS parts."""
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     x = thresholds(sizes, targets).select(F.col("source").alias("x_source"), "passes", "threshold")
-    per_source = t.join(x, t["t_source"].eqNullSafe(x["x_source"]), "left")
-    rows = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["t_source"]), "left")
+    joined = t.join(x, t["t_source"].eqNullSafe(x["x_source"]), "left").drop("x_source")
+    return joined.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_epochs(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    salted = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
+    met = salted.join(per_source, salted["source"].eqNullSafe(per_source["t_source"]) & (salted["salt"] == per_source["t_salt"]), "left")
     epochs = F.coalesce(F.col("passes"), F.lit(0)) + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    capped = F.least(epochs, F.lit(MOST_EPOCHS)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", capped.alias("epochs"), (capped * F.col("size")).alias("taken"))
+    return met.withColumn("epochs", F.least(epochs, F.lit(MOST_EPOCHS)).cast("long"))
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that the mix takes, with their own columns, as often as it takes them.
+
+    Epochs depend on source and id hash alone: the mix is joined by one row for each source, never by document.
+    """
+    slim = docs.select(
+        F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"), hash_of(F.col("doc_id")).alias("h")
+    )
+    sizes = materialise(slim, "mix-sizes")
+    targets = materialise(source_targets(sizes), "mix-targets")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = docs.select(own, F.col("source").cast("string").alias("source"), hash_of(F.col("doc_id")).alias("h"), (size_of(F.col("text").cast("string")) > 0).alias("any"))
+    taken = _with_epochs(whole, _per_source(sizes, targets))
+    # a document without words adds nothing to any target: it stays once
+    times = F.when(F.col("any"), F.col("epochs")).otherwise(1).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
