@@ -1,7 +1,7 @@
 """Headline queries at one scale, as one JSON line.
 
-Each query is run to completion into the no-op sink; the second of two runs is reported, so that JVM start-up and
-code generation do not hide the work.
+Each query is run to completion into the no-op sink; the median of three runs is reported, so that JVM start-up, code
+generation and other load do not hide the work.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from statistics import median
 
 from tallyspark import catalog
 from tallyspark.session import local_session
@@ -40,10 +41,12 @@ def main() -> None:
     registered = catalog.load()
     seconds: dict[str, float] = {}
     for name in HEADLINE:
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.time()
             registered[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.time() - start, 3)
+            runs.append(time.time() - start)
+        seconds[name] = round(median(runs), 3)
     print(
         json.dumps(
             {
