@@ -30,7 +30,7 @@ LENGTH, K = 50, 25
 WINDOWS = LENGTH - K + 1
 NAME_BITS = 44
 #: Bytes of text in a chunk and behind a bucket of names, bytes of contexts in a bucket.
-CHUNK, NAME_BUCKET, CONTEXT_BUCKET = 8 << 20, 16 << 20, 1 << 20
+CHUNK, NAME_BUCKET, CONTEXT_BUCKET = 16 << 20, 16 << 20, 1 << 20
 PIECE = 1 << 16
 #: Stands for a null id: after all others.
 NO_ID = np.iinfo(np.int64).max
@@ -74,25 +74,27 @@ class Chunk:
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         data = np.frombuffer(body, np.uint8)
-        total = len(data) - LENGTH + 1
-        if total < 1:
-            self.run_start, self.run_size, self.run_name = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
-        else:
-            names = np.concatenate([_names_of_piece(data[k : k + PIECE + LENGTH - 1]) for k in range(0, total, PIECE)])
-            for end in self.ends[:-1].tolist():
-                names[max(0, end - LENGTH + 1) : end] = _NO_NAME  # windows over the end of a document
-            start = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
-            size = np.diff(np.append(start, total))
-            name = names[start]
-            good = name != _NO_NAME
-            start, size, name = start[good], size[good], name[good]
-            parts = -(-size // WINDOWS)  # a text that repeats itself can have longer runs of one name
-            within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            self.run_start = np.repeat(start, parts) + within * WINDOWS
-            self.run_size = np.minimum(np.repeat(size, parts) - within * WINDOWS, WINDOWS)
-            self.run_name = np.repeat(name, parts)
+        total = max(0, len(data) - LENGTH + 1)
+        empty = np.empty(0, np.int64)
+        found = [(empty, empty, empty.astype(np.uint64)), *(self._runs(data, k, min(total, k + PIECE)) for k in range(0, total, PIECE))]
+        self.run_start, self.run_size, self.run_name = map(np.concatenate, zip(*found))
         self.run_doc = np.searchsorted(self.starts, self.run_start, "right") - 1
 
+    def _runs(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, size and name of the runs among the windows that start in lo..hi; a run may be cut anywhere."""
+        names = _names_of_piece(data[lo : hi + LENGTH - 1])
+        first, last = np.searchsorted(self.ends, (lo, hi + LENGTH))
+        for end in self.ends[first:last].tolist():
+            names[max(0, end - LENGTH + 1 - lo) : max(0, end - lo)] = _NO_NAME  # windows over the end of a document
+        start = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
+        size = np.diff(np.append(start, hi - lo))
+        name = names[start]
+        good = name != _NO_NAME
+        start, size, name = start[good], size[good], name[good]
+        parts = -(-size // WINDOWS)  # a text that repeats itself can have longer runs of one name
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.repeat(start, parts) + within * WINDOWS + lo, np.minimum(np.repeat(size, parts) - within * WINDOWS, WINDOWS), np.repeat(name, parts)
+
     def distinct_names(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted names, and whether two documents of this chunk have each."""
         order = np.argsort(self.run_name, kind="stable")
@@ -113,7 +115,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
 
         def packed():
@@ -226,7 +228,9 @@ class Contexts:
 
 def _contexts(name_buckets: int, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
+        import zstandard
+
+        packer, out = zstandard.ZstdCompressor(level=3), []
         replies = right.to_pylist()
         for row in left.to_pylist():
             c = Contexts(_read_chunk(row), replies, name_buckets, buckets)
@@ -236,7 +240,10 @@ def _contexts(name_buckets: int, buckets: int):
                 own = c.order[lo:hi]
                 bodies = [c.bodies[k] for k in own.tolist()]
                 sizes = np.array(list(map(len, bodies)), np.uint8)
-                out.append((int(at[lo]), row["chunk"], c.least_id[own].tobytes(), sizes.tobytes(), c.name[own].tobytes(), b"".join(bodies)))
+                # contexts of a bucket are in the order of their documents, so the ids rise in small steps
+                steps = np.diff(c.least_id[own], prepend=np.int64(0)).tobytes()
+                packed = packer.compress(steps), packer.compress(sizes.tobytes()), c.name[own].tobytes(), packer.compress(b"".join(bodies))
+                out.append((int(at[lo]), row["chunk"], *packed))
         columns = list(zip(*out)) if out else [[]] * 6
         kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["bucket", "chunk", "ids", "sizes", "names", "body"])
@@ -270,15 +277,18 @@ def window_classes(bodies: list[bytes], least_id: np.ndarray) -> np.ndarray:
 
 def _verdicts(group: pa.Table) -> pa.Table:
     """For each chunk of a bucket, in the order it sent them: a bit for each window of a context, set if a smaller id has it."""
+    import zstandard
+
+    opened = zstandard.ZstdDecompressor().decompress
     rows = group.to_pylist()
     seen: dict[bytes, int] = {}
     entry, ids, names = [], [], []
     for r in rows:
-        ends = np.cumsum(np.frombuffer(r["sizes"], np.uint8), dtype=np.int64)
+        ends = np.cumsum(np.frombuffer(opened(r["sizes"]), np.uint8), dtype=np.int64)
         starts = np.concatenate(([0], ends[:-1]))
-        body = r["body"]
+        body = opened(r["body"])
         entry += [seen.setdefault(body[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())]
-        ids.append(np.frombuffer(r["ids"], np.int64))
+        ids.append(np.cumsum(np.frombuffer(opened(r["ids"]), np.int64)))
         names.append(np.frombuffer(r["names"], np.uint32))
     entry, ids, names = np.array(entry, np.int64), np.concatenate(ids), np.concatenate(names)
     bodies = list(seen)
@@ -305,7 +315,7 @@ def _verdicts(group: pa.Table) -> pa.Table:
     masks = np.add.reduceat(bits, edges).astype(np.uint32)
     out, at = [], 0
     for r in rows:
-        size = len(r["sizes"])
+        size = len(r["names"]) // 4
         out.append((r["chunk"], 1, r["bucket"], 0, masks[at : at + size].tobytes()))
         at += size
     return _reply(out)
