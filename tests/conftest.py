@@ -23,3 +23,8 @@ def inputs(spark):
     from tallyspark.plans.fixtures import Inputs
 
     return Inputs(spark, SF_SMALL)
+
+
+@pytest.fixture(scope="session")
+def sf_small():
+    return SF_SMALL
