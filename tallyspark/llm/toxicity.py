@@ -74,12 +74,15 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 def tell_tale(rows: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket: z of its presence in rows above the lowest grade, and the rows that have it."""
-    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-    high = (grades > 0).astype(float)
-    with_word = np.bincount(flat, minlength=BUCKETS).astype(float)
-    share = high.mean()
-    z = (np.bincount(flat, high[owner], minlength=BUCKETS) - with_word * share) / np.sqrt(np.maximum(with_word * share * (1 - share), 1e-9))
-    return z, with_word
+    with_word, with_high = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k in range(0, len(rows), 500):  # a part at a time: the sample's features are many numbers
+        part, high = rows[k : k + 500], grades[k : k + 500] > 0
+        with_word += np.bincount(np.concatenate(part), minlength=BUCKETS)
+        toxic = [r for r, h in zip(part, high) if h]
+        if toxic:
+            with_high += np.bincount(np.concatenate(toxic), minlength=BUCKETS)
+    share = (grades > 0).mean()
+    return (with_high - with_word * share) / np.sqrt(np.maximum(with_word * share * (1 - share), 1e-9)), with_word
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
@@ -89,12 +92,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         return Model({}, (40.0,))
     z, with_word = tell_tale(rows, grades)
     kept = np.flatnonzero((np.abs(z) >= LEAST_Z) & (with_word >= LEAST_ROWS))
-    flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), list(map(len, rows)))
     share = (grades > 0).mean()
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    use = place[flat] >= 0
-    word, owner = place[flat[use]], owner[use]
+    own = [(x := place[r])[x >= 0] for r in rows]
+    word, owner = np.concatenate(own), np.repeat(np.arange(len(rows)), list(map(len, own)))
     n, k = len(rows), len(kept)
     # thresholds: the first, then the logs of the steps to the next
     start = -np.log(max(share, 1e-6) / max(1 - share, 1e-6))
