@@ -18,9 +18,11 @@ from tallyspark.llm.common import texts, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 350_000, 64
-#: Characters of text after which ids are handed on.
-HAND_ON = 4_000_000
+REMEMBERED, LONGEST = 200_000, 64
+#: Ids after which a part of a batch is handed on.
+HAND_ON = 1_000_000
+#: Children of a node of the segment tree.
+FAN = 16
 _NONE = 1 << 62
 
 
@@ -37,41 +39,41 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     if n < 2:
         return [ranks[piece[i : i + 1]] for i in range(n)]
     get = ranks.get
-    leaves = 1 << (n - 1).bit_length()
-    shift, low = leaves.bit_length(), leaves - 1
-    # a leaf is the rank and the place of the pair that starts at its byte, as one number
-    tree = [_NONE] * (2 * leaves)
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[leaves + i] = r << shift | i
-    for k in range(leaves - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+    shift = n.bit_length()
+    low = (1 << shift) - 1
+    # a leaf is the rank and the place of the pair that starts at its byte, as one number; a node the least of FAN below it
+    leaves = [_NONE if (r := get(piece[i : i + 2])) is None else r << shift | i for i in range(n - 1)]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top_level, inner = levels[-1], levels[1:]
     end = list(range(1, n + 1))  # of the live token that starts at a byte
-    before = list(range(-1, n - 1))  # start of the live token before it
-    while (top := tree[1]) != _NONE:
+    before = list(range(-1, n))  # start of the live token before it
+    while (top := min(top_level)) != _NONE:
         i = top & low
         gone = end[i]
         end[i] = stop = end[gone]
-        changed = [(gone, _NONE)]
-        if stop < n:
-            before[stop] = i
-        for j, e in ((i, end[stop] if stop < n else 0), (before[i], stop)):
-            if j >= 0:
-                r = get(piece[j:e]) if 0 < e - j <= longest else None
-                changed.append((j, _NONE if r is None else r << shift | j))
-        for j, value in changed:
-            k = leaves + j
-            tree[k] = value
-            while k > 1:
-                other = tree[k ^ 1]
-                k >>= 1
-                if other < value:
-                    value = other
-                if tree[k] == value:
-                    break
-                tree[k] = value
+        before[stop] = i
+        # at most three leaves change: the pair that ended here, the new one here, the one that ends here
+        if gone < n - 1:
+            leaves[gone] = _NONE
+        if stop < n and end[stop] - i <= longest and (r := get(piece[i : end[stop]])) is not None:
+            leaves[i] = r << shift | i
+        else:
+            leaves[i] = _NONE
+        j = before[i]
+        if j >= 0:
+            r = get(piece[j:stop]) if stop - j <= longest else None
+            leaves[j] = _NONE if r is None else r << shift | j
+        if inner:
+            touched, below = {gone, i, max(j, 0)}, leaves
+            for level in inner:
+                touched = {k // FAN for k in touched}
+                for k in touched:
+                    if k < len(level):
+                        level[k] = min(below[k * FAN : k * FAN + FAN])
+                below = level
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -117,11 +119,11 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """doc_id, text, ids array<int> for every row of `docs`.
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """doc_id, ids array<int> for every row of `docs`.
 
-    Null and empty texts have no ids (and text ''); repeated rows each get a row; other columns are ignored; an empty
-    table gives an empty result. `vocabulary`: a rank file of public_tokenizers, or a path that every executor can read.
+    Null and empty texts have no ids; repeated rows each get a row; other columns are ignored; an empty table gives an
+    empty result. `vocabulary`: a rank file of public_tokenizers, or a path that every executor can read.
     """
 
     def run(batches):
@@ -129,25 +131,17 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | N
 
         made = worker_store(f"bpe:{vocabulary}:{pattern}", lambda: Encoder(_path(vocabulary), pattern or public_tokenizers.PATTERN))
         for batch in batches:
-            flat, ends, chars, first = [], [0], 0, 0
+            keys, flat, ends, first = batch.column(0), [], [0], 0
             for k, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                flat.append(made.encode(text))
+                flat.append(made.encode(text.as_py()))
                 ends.append(ends[-1] + len(flat[-1]) // 4)
-                chars += len(text)
-                if chars >= HAND_ON or k == batch.num_rows - 1:
+                if ends[-1] >= HAND_ON or k == len(keys) - 1:
                     values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-                    rows = batch.slice(first, k + 1 - first)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], ["doc_id", "text", "ids"])
-                    flat, ends, chars, first = [], [0], 0, k + 1
-
-    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, k + 1 - first), ids], ["doc_id", "ids"])
+                    flat, ends, first = [], [0], k + 1
 
-
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids array<int> for every row of `docs`; see encode_texts."""
-    return encode_texts(docs, vocabulary, pattern).select("doc_id", "ids")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -159,9 +153,14 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         tokens = worker_store(f"bpe-tokens:{vocabulary}", lambda: {i: b for b, i in read_ranks(_path(vocabulary)).items()})
         at = names.index("ids")
         for batch in batches:
-            ids = batch.column(at)
-            out = [b"".join(map(tokens.__getitem__, x.values.to_pylist())) if x.is_valid else None for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "bytes"])
+            out, held, first = [], 0, 0
+            for k, ids in enumerate(batch.column(at)):
+                out.append(b"".join(map(tokens.__getitem__, ids.values.to_pylist())) if ids.is_valid else None)
+                held += len(ids) if ids.is_valid else 0
+                if held >= HAND_ON or k == batch.num_rows - 1:
+                    rows = batch.slice(first, k + 1 - first)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], [*names, "bytes"])
+                    out, held, first = [], 0, k + 1
 
     return encoded.mapInArrow(run, schema)
 

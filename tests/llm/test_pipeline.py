@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -43,7 +44,8 @@ def test_stages_and_run(spark, sf_small, tmp_path, small):
     assert Counter(r["doc_id"] for r in before[4]) == Counter({i: n for i, n in taken.items() if n})
     ref = reference()
     for r in before[5]:
-        assert r["ids"] == ref.encode_ordinary(masked[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["decoded"]
+        assert r["ids"] == ref.encode_ordinary(masked[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+        assert r["decoded_sha256"] == hashlib.sha256(masked[r["doc_id"]].encode()).hexdigest()
     assert Counter(r["doc_id"] for r in before[5]) == Counter(r["doc_id"] for r in before[4])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((str(r["doc_id"]), r["ids"]) for r in whole.collect()) == sorted((str(r["doc_id"]), r["ids"]) for r in before[5])
