@@ -165,8 +165,9 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     counted = materialise(rows.join(winners.withColumnRenamed("doc_id", "w"), "row_hash").filter(F.col("doc_id").eqNullSafe(F.col("w")))
                           .groupBy("row_hash", "doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own)
-    once = whole.join(counted.filter("n = 1").select("row_hash"), "row_hash", "left_semi").select("row.*")
-    repeated = whole.join(counted.filter("n > 1").select("row_hash"), "row_hash", "left_semi").select("row.*").dropDuplicates()
+    # kept rows grow with the input: a merge join at every size
+    once = whole.join(counted.filter("n = 1").select("row_hash").hint("merge"), "row_hash", "left_semi").select("row.*")
+    repeated = whole.join(counted.filter("n > 1").select("row_hash").hint("merge"), "row_hash", "left_semi").select("row.*").dropDuplicates()
     return once.unionByName(repeated)
 
 
