@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 16_384, 65_536
 #: Compressed bytes and documents in a block.
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 1000
 #: Words whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 350_000, 64
+MARKS = b".,!?;:"
 
 
 class WordEncoder:
@@ -39,19 +41,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # ids of words as packed numbers: those seen lately, and those seen before them
         self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _by_tokenizer(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words of letters alone go in as one text, if each of them is one word of the tokenizer too."""
+        texts_ = [w.decode("utf-8") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        letters = [k for k, t in enumerate(texts_) if t.isalpha()]
+        rest = [k for k, t in enumerate(texts_) if not t.isalpha()]
+        if letters:
+            found = self.tokenizer.encode(" ".join([texts_[k] for k in letters]), add_special_tokens=False)
+            of = np.array(found.word_ids, np.int64)
+            if len(of) and of[-1] + 1 == len(letters):
+                ids = np.array(found.ids, "<u4").tobytes()
+                edges = (4 * np.searchsorted(of, np.arange(len(letters) + 1))).tolist()
+                for k, lo, hi in zip(letters, edges, edges[1:]):
+                    out[k] = ids[lo:hi]
+            else:
+                rest += letters
+        for k, e in zip(rest, self.tokenizer.encode_batch([texts_[k] for k in rest], add_special_tokens=False)):
+            ids = e.ids
+            out[k] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Ids of words not in `into`; marks behind a letter or digit are a word of their own to the tokenizer."""
+        older, parts = self.older, {}
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                into[w] = ids
+                continue
+            stem = w.rstrip(MARKS)
+            parts[w] = (stem, w[len(stem) :]) if stem and stem[-1:].isalnum() and len(stem) < len(w) else (w, b"")
+        need = list({x for pair in parts.values() for x in pair if x}.difference(into))
+        fresh = {x: ids for x in need if (ids := older.get(x)) is not None}
+        need = [x for x in need if x not in fresh]
+        for k in range(0, len(need), 1000):
+            fresh.update(zip(need[k : k + 1000], self._by_tokenizer(need[k : k + 1000])))
+        into.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
+        fresh[b""] = b""
+        for w, (stem, mark) in parts.items():
+            into[w] = (fresh.get(stem) or into[stem]) + (fresh.get(mark) or into.get(mark, b""))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        words, seen = text.encode("utf-8").split(), self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        new = list(set(words).difference(seen))
-        extra = {}
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)):
-                (seen if len(w) <= LONGEST else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
+        data = text.encode("utf-8")
+        # the vocabulary is lower case; special tokens are looked for before that
+        words = (data if b"<|" in data else data.lower()).split()
+        if len(self.seen) > REMEMBERED:
+            self.older, self.seen = self.seen, {}
+        seen = self.seen
+        new = set(words).difference(seen)
+        if not new:
+            return b"".join(map(seen.__getitem__, words))
+        long = [w for w in new if len(w) > LONGEST]
+        self._learn([w for w in new if len(w) <= LONGEST], seen)
+        if long:
+            extra = dict(zip(long, self._by_tokenizer(long)))
             return b"".join([seen[w] if w in seen else extra[w] for w in words])
         return b"".join(map(seen.__getitem__, words))
 
@@ -71,7 +119,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY) -> bytes:
     """A dictionary from the SAMPLE documents of smallest hash; empty if there is too little to learn from."""
     import zstandard
 
-    sample = texts(docs).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    hashed = texts(docs).select(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    # SAMPLE pairs of numbers at most; their texts are fetched by them
+    chosen = hashed.select("a", "b").distinct().orderBy("a", "b").limit(SAMPLE)
+    sample = hashed.join(F.broadcast(chosen), ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b")
     encoder = _encoder(vocabulary)
     parts = [encoder.encode(r["text"])[:SAMPLE_BYTES] for r in sample.collect()]
     try:
@@ -100,7 +151,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
         import zstandard
 
         encoder, shared = _encoder(vocabulary), _codec(dictionary)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=shared)
+        packer = zstandard.ZstdCompressor(level=1, dict_data=shared)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + end for t in batch.column(1)]
