@@ -10,7 +10,10 @@
    class, with a smallest doc_id.
 4. The verdicts go back to the chunks, which remove the bytes.
 
-A passage in a third of all documents is one context in each chunk, however many documents repeat it.
+The interior of a passage in a third of all documents is one context in each chunk, however many documents repeat it.
+Windows at its edges, and common strings of K to LENGTH - 1 bytes, are another context in each document: names of more
+than CROWDED contexts are taken apart, each chunk sends their distinct windows to the bucket of the window's own hash.
+A bucket of these holds a window once for each chunk at most.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ NAME_BITS = 44
 #: Bytes of text in a chunk and behind a bucket of names, bytes of contexts in a bucket.
 CHUNK, NAME_BUCKET, CONTEXT_BUCKET = 16 << 20, 16 << 20, 1 << 20
 PIECE = 1 << 16
+#: Contexts, counted once in each chunk, that one name may bring to a bucket.
+CROWDED = 8192
 #: Stands for a null id: after all others.
 NO_ID = np.iinfo(np.int64).max
 _NO_NAME = np.uint64(1) << np.uint64(63)
@@ -103,6 +108,17 @@ class Chunk:
         last = np.append(first[1:], len(name)) - 1
         return name[first], doc[first] != doc[last] if len(name) else np.empty(0, bool)
 
+    def contexts_per_name(self) -> np.ndarray:
+        """For each distinct name: how many distinct contexts it has."""
+        at, runs = np.unique(self.run_name, return_inverse=True, return_counts=True)[1:]
+        rows = np.flatnonzero(runs[at] > 1)
+        start = self.run_start[rows]
+        body, seen = self.body, {}
+        for k, s, e in zip(at[rows].tolist(), start.tolist(), (start + self.run_size[rows] + LENGTH - 1).tolist()):
+            seen[body[s:e]] = k
+        counts = np.bincount(np.fromiter(seen.values(), np.int64, len(seen)), minlength=len(runs))
+        return np.where(runs > 1, counts, 1)
+
 
 def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names * np.uint64(buckets)) >> np.uint64(NAME_BITS)).astype(np.int64)
@@ -146,12 +162,17 @@ def _read_chunk(row: dict) -> Chunk:
 
 
 def _names(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For each chunk and bucket: its sorted distinct names, as steps, and which of them two of its documents have."""
+    """For each chunk and bucket: its sorted distinct names, as steps, which of them two of its documents have, and how many contexts each has."""
 
     def run(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                names, twice = _read_chunk(row).distinct_names()
+                chunk = _read_chunk(row)
+                names, twice = chunk.distinct_names()
+                contexts = chunk.contexts_per_name().astype(np.uint32)
                 at = bucket_of(names, buckets)
                 edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
                 out = []
@@ -159,58 +180,116 @@ def _names(chunks: DataFrame, buckets: int) -> DataFrame:
                     steps = np.diff(names[lo:hi], prepend=np.uint64(0))
                     small = steps[1:].astype(np.uint32) if (steps[1:] >> np.uint64(32) == 0).all() else steps[1:]
                     out.append({"bucket": int(at[lo]), "chunk": row["chunk"], "first": int(steps[0]), "steps": small.tobytes(),
-                                "n": hi - lo, "twice": np.packbits(twice[lo:hi]).tobytes()})
+                                "n": hi - lo, "twice": np.packbits(twice[lo:hi]).tobytes(), "contexts": packer.compress(contexts[lo:hi].tobytes())})
                 if out:
                     yield pa.RecordBatch.from_pylist(out)
 
-    return chunks.mapInArrow(run, "bucket long, chunk long, first long, steps binary, n long, twice binary")
+    return chunks.mapInArrow(run, "bucket long, chunk long, first long, steps binary, n long, twice binary, contexts binary")
 
 
-REPLY = "chunk long, kind int, bucket long, shared long, payload binary"
+#: kind 0: names (shared, crowded: their contexts), 1: contexts, 2: windows of crowded names.
+REPLY = "chunk long, kind int, bucket long, shared long, crowded long, payload binary"
 
 
 def _reply(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[]] * 5
-    kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "kind", "bucket", "shared", "payload"])
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["chunk", "kind", "bucket", "shared", "crowded", "payload"])
 
 
-def _shared_names(group: pa.Table) -> pa.Table:
-    """For each chunk of a bucket: which of its names two documents have."""
-    rows = group.to_pylist()
-    names = []
-    for r in rows:
-        steps = np.frombuffer(r["steps"], np.uint32 if len(r["steps"]) == 4 * (r["n"] - 1) else np.uint64)
-        names.append(np.cumsum(np.concatenate(([np.uint64(r["first"])], steps.astype(np.uint64))), dtype=np.uint64))
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]) for r in rows])
-    every = np.concatenate(names)
-    order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    count = np.diff(np.append(first, len(ordered)))
-    good = (count > 1) | (np.maximum.reduceat(twice[order], first) > 0)
-    shared = np.empty(len(every), np.uint8)
-    shared[order] = np.repeat(good, count)
-    out, at = [], 0
-    for r in rows:
-        mine = shared[at : at + r["n"]]
-        at += r["n"]
-        out.append((r["chunk"], 0, r["bucket"], int(mine.sum()), np.packbits(mine).tobytes()))
-    return _reply(out)
+def _shared_names(crowded: int):
+    """For each chunk of a bucket: which of its names two documents have, apart from and among those of more than `crowded` contexts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        opened = zstandard.ZstdDecompressor().decompress
+        rows = group.to_pylist()
+        names = []
+        for r in rows:
+            steps = np.frombuffer(r["steps"], np.uint32 if len(r["steps"]) == 4 * (r["n"] - 1) else np.uint64)
+            names.append(np.cumsum(np.concatenate(([np.uint64(r["first"])], steps.astype(np.uint64))), dtype=np.uint64))
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]) for r in rows])
+        contexts = np.concatenate([np.frombuffer(opened(r["contexts"]), np.uint32) for r in rows]).astype(np.int64)
+        every = np.concatenate(names)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        count = np.diff(np.append(first, len(ordered)))
+        good = (count > 1) | (np.maximum.reduceat(twice[order], first) > 0)
+        many = np.add.reduceat(contexts[order], first) > crowded
+        shared, apart = np.empty(len(every), bool), np.empty(len(every), bool)
+        shared[order] = np.repeat(good & ~many, count)
+        apart[order] = np.repeat(good & many, count)
+        out, at = [], 0
+        for r in rows:
+            own = slice(at, at + r["n"])
+            at += r["n"]
+            payload = np.packbits(shared[own]).tobytes() + (np.packbits(apart[own]).tobytes() if apart[own].any() else b"")
+            out.append((r["chunk"], 0, r["bucket"], int(contexts[own][shared[own]].sum()), int(contexts[own][apart[own]].sum()), payload))
+        return _reply(out)
+
+    return run
+
+
+class Windows:
+    """Distinct windows of some runs of a chunk in the order of their buckets; for each window of the runs which it is."""
+
+    def __init__(self, chunk: Chunk, runs: np.ndarray, buckets: int):
+        size = chunk.run_size[runs]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.start = np.repeat(chunk.run_start[runs], size) + within
+        self.doc = np.repeat(chunk.run_doc[runs], size)
+        self.which = np.empty(len(self.start), np.int64)
+        self.bucket = np.empty(0, np.int64)
+        self.first, self.least_id = self.bucket, self.bucket
+        if not len(self.start):
+            return
+        words = np.ndarray(len(chunk.body) - 7, np.uint64, chunk.body, strides=(1,))
+        offsets = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+        own = np.zeros(len(self.start), np.uint64)
+        for k in offsets:
+            own = _joined(own, words[self.start + k])
+        own *= _A
+
+        def differ(order: np.ndarray) -> np.ndarray:
+            place = self.start[order]
+            new = np.zeros(len(place), bool)
+            for k in offsets:
+                w = words[place + k]
+                new[1:] |= w[1:] != w[:-1]
+            new[0] = True
+            return new
+
+        order = np.argsort(own, kind="stable")
+        new = differ(order)
+        if (new[1:] & (own[order][1:] == own[order][:-1])).any():  # two windows of one hash: their bytes decide
+            order = np.lexsort([*(words[self.start + k] for k in offsets), own])
+            new = differ(order)
+        self.which[order] = np.cumsum(new) - 1
+        first = order[new]  # the order is stable, and documents are in the order of their ids
+        self.first, self.least_id = self.start[first], chunk.ids[self.doc[first]]
+        self.bucket = bucket_of(own[first] >> np.uint64(64 - NAME_BITS), buckets)
 
 
 class Contexts:
-    """Distinct contexts of a chunk in the order of their buckets; for each shared run the context that it is."""
+    """Distinct contexts of a chunk in the order of their buckets; for each shared run the context that it is. windows: those of crowded names."""
 
-    def __init__(self, chunk: Chunk, replies: list[dict], name_buckets: int, buckets: int):
+    def __init__(self, chunk: Chunk, replies: list[dict], name_buckets: int, buckets: int, window_buckets: int):
         names, _ = chunk.distinct_names()
-        shared = np.zeros(len(names), bool)
+        shared, crowded = np.zeros(len(names), bool), np.zeros(len(names), bool)
         at = bucket_of(names, name_buckets)
         for r in replies:
             if r["kind"] == 0:
                 lo, hi = np.searchsorted(at, (r["bucket"], r["bucket"] + 1))
-                shared[lo:hi] = np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=hi - lo)
-        runs = np.flatnonzero(shared[np.searchsorted(names, chunk.run_name)]) if len(names) else np.empty(0, np.int64)
+                bits = np.frombuffer(r["payload"], np.uint8)
+                half = (hi - lo + 7) // 8
+                shared[lo:hi] = np.unpackbits(bits[:half], count=hi - lo)
+                if len(bits) > half:
+                    crowded[lo:hi] = np.unpackbits(bits[half:], count=hi - lo)
+        name_of_run = np.searchsorted(names, chunk.run_name)
+        runs = np.flatnonzero(shared[name_of_run]) if len(names) else np.empty(0, np.int64)
+        self.windows = Windows(chunk, np.flatnonzero(crowded[name_of_run]) if len(names) else runs, window_buckets)
         self.start, self.size, self.doc = chunk.run_start[runs], chunk.run_size[runs], chunk.run_doc[runs]
         seen: dict[bytes, int] = {}
         body = chunk.body
@@ -226,14 +305,15 @@ class Contexts:
         self.order = np.argsort(self.bucket, kind="stable")
 
 
-def _contexts(name_buckets: int, buckets: int):
+def _contexts(name_buckets: int, buckets: int, window_buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
         packer, out = zstandard.ZstdCompressor(level=3), []
         replies = right.to_pylist()
         for row in left.to_pylist():
-            c = Contexts(_read_chunk(row), replies, name_buckets, buckets)
+            chunk = _read_chunk(row)
+            c = Contexts(chunk, replies, name_buckets, buckets, window_buckets)
             at = c.bucket[c.order]
             edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
             for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
@@ -244,6 +324,12 @@ def _contexts(name_buckets: int, buckets: int):
                 steps = np.diff(c.least_id[own], prepend=np.int64(0)).tobytes()
                 packed = packer.compress(steps), packer.compress(sizes.tobytes()), c.name[own].tobytes(), packer.compress(b"".join(bodies))
                 out.append((int(at[lo]), row["chunk"], *packed))
+            w = c.windows
+            edges = np.flatnonzero(np.concatenate(([True], w.bucket[1:] != w.bucket[:-1]))) if len(w.bucket) else np.empty(0, np.int64)
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(w.bucket)]):
+                body = b"".join([chunk.body[s : s + LENGTH] for s in w.first[lo:hi].tolist()])
+                steps = np.diff(w.least_id[lo:hi], prepend=np.int64(0)).tobytes()
+                out.append((buckets + int(w.bucket[lo]), row["chunk"], packer.compress(steps), None, None, packer.compress(body)))
         columns = list(zip(*out)) if out else [[]] * 6
         kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
         return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], ["bucket", "chunk", "ids", "sizes", "names", "body"])
@@ -276,11 +362,18 @@ def window_classes(bodies: list[bytes], least_id: np.ndarray) -> np.ndarray:
 
 
 def _verdicts(group: pa.Table) -> pa.Table:
-    """For each chunk of a bucket, in the order it sent them: a bit for each window of a context, set if a smaller id has it."""
+    """For each chunk of a bucket, in the order it sent them: a bit for each window of a context (a byte for each single window), set if a smaller id has it."""
     import zstandard
 
     opened = zstandard.ZstdDecompressor().decompress
     rows = group.to_pylist()
+    if rows and rows[0]["names"] is None:
+        ids = [np.cumsum(np.frombuffer(opened(r["ids"]), np.int64)) for r in rows]
+        text = b"".join(opened(r["body"]) for r in rows)
+        every = np.concatenate(ids)
+        later = window_classes([text[k : k + LENGTH] for k in range(0, len(text), LENGTH)], every) < every
+        parts = np.split(later, np.cumsum(list(map(len, ids)))[:-1])
+        return _reply([(r["chunk"], 2, r["bucket"], 0, 0, p.tobytes()) for r, p in zip(rows, parts)])
     seen: dict[bytes, int] = {}
     entry, ids, names = [], [], []
     for r in rows:
@@ -316,18 +409,18 @@ def _verdicts(group: pa.Table) -> pa.Table:
     out, at = [], 0
     for r in rows:
         size = len(r["names"]) // 4
-        out.append((r["chunk"], 1, r["bucket"], 0, masks[at : at + size].tobytes()))
+        out.append((r["chunk"], 1, r["bucket"], 0, 0, masks[at : at + size].tobytes()))
         at += size
     return _reply(out)
 
 
-def _removed(name_buckets: int, buckets: int):
+def _removed(name_buckets: int, buckets: int, window_buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         replies = sorted(right.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         for row in left.to_pylist():
             chunk = _read_chunk(row)
-            c = Contexts(chunk, replies, name_buckets, buckets)
+            c = Contexts(chunk, replies, name_buckets, buckets, window_buckets)
             masks = np.zeros(len(c.bodies), np.uint32)
             payload = [np.frombuffer(r["payload"], np.uint32) for r in replies if r["kind"] == 1]
             if payload:
@@ -338,6 +431,11 @@ def _removed(name_buckets: int, buckets: int):
             for k in range(WINDOWS):
                 hit = (mask >> np.uint32(k) & np.uint32(1)).astype(bool) & (c.size > k)
                 repeated[c.start[hit] + k] = 1
+            w = c.windows
+            if len(w.first):
+                verdict = np.concatenate([np.frombuffer(r["payload"], bool) for r in replies if r["kind"] == 2])
+                hit = (chunk.ids[w.doc] > w.least_id[w.which]) | verdict[w.which]
+                repeated[w.start[hit]] = 1
             total = np.cumsum(repeated[:-1], dtype=np.int32)
             gone = total > 0
             gone[LENGTH:] = total[LENGTH:] > total[:-LENGTH]
@@ -368,17 +466,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chunks = materialise(_chunks(docs), "repeat-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     name_buckets = max(1, total // NAME_BUCKET)
-    asked = _names(chunks, name_buckets).groupBy("bucket").applyInArrow(_shared_names, REPLY)
+    asked = _names(chunks, name_buckets).groupBy("bucket").applyInArrow(_shared_names(CROWDED), REPLY)
     shared = materialise(asked, "repeat-names")
-    sent = shared.agg(F.sum("shared")).first()[0] or 0
-    buckets = max(1, sent * (LENGTH + WINDOWS // 2) // CONTEXT_BUCKET)
+    sent, single = shared.agg(F.sum("shared"), F.sum("crowded")).first()
+    buckets = max(1, (sent or 0) * (LENGTH + WINDOWS // 2) // CONTEXT_BUCKET)
+    sizes = name_buckets, buckets, max(1, (single or 0) * (WINDOWS // 2) * LENGTH // CONTEXT_BUCKET)
     contexts = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        _contexts(name_buckets, buckets), "bucket long, chunk long, ids binary, sizes binary, names binary, body binary"
+        _contexts(*sizes), "bucket long, chunk long, ids binary, sizes binary, names binary, body binary"
     )
     verdicts = materialise(contexts.groupBy("bucket").applyInArrow(_verdicts, REPLY), "repeat-verdicts")
     replies = shared.unionByName(verdicts)
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _removed(name_buckets, buckets), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+        _removed(*sizes), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )
 
 

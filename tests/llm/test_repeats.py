@@ -69,3 +69,32 @@ def test_odd_documents(spark):
 
 def test_oracle(spark, sf_small):
     check_oracle(spark, sf_small, "op9_suffix_dedup")
+
+
+def test_a_common_phrase_is_dealt_to_many_groups(spark, monkeypatch):
+    kept = {}
+    write = repeats.materialise
+    monkeypatch.setattr(repeats, "materialise", lambda df, name: kept.setdefault(name, write(df, name)))
+    for name, value in (("CHUNK", 20_000), ("NAME_BUCKET", 80_000), ("CONTEXT_BUCKET", 4000), ("CROWDED", 40)):
+        monkeypatch.setattr(repeats, name, value, raising=False)
+    r = random.Random(5)
+    noise = lambda n: "".join(map(chr, r.choices(range(33, 127), k=n)))
+    phrase, passage = noise(30), noise(90)
+    data = [(i, noise(70) + phrase + noise(70) + (passage if i % 3 == 0 else "")) for i in range(900)]
+    data += [(1000 + i, noise(9) + data[i][1][55:120]) for i in range(0, 900, 9)]  # windows with the phrase that do repeat
+    data += [(None, data[7][1]), (3, data[4][1])]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, repeats.query(frame).collect()), key=str) == brute(data)
+    held = {}
+    for x in kept["repeat-verdicts"].collect():  # four bytes for a context, one for a single window
+        held[x["bucket"]] = held.get(x["bucket"], 0) + len(x["payload"]) // (4 if x["kind"] == 1 else 1)
+    assert max(held.values()) < 200
+
+
+@pytest.mark.parametrize("crowded", [0, 2])
+def test_planted_passages_under_crowded_names(spark, monkeypatch, crowded):
+    for name, value in (("CHUNK", 3000), ("NAME_BUCKET", 12_000), ("CONTEXT_BUCKET", 3000), ("CROWDED", crowded)):
+        monkeypatch.setattr(repeats, name, value)
+    data = planted(3)
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, repeats.query(frame).collect()), key=str) == brute(data)
