@@ -34,8 +34,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.\x20(-])(?:\x20|\()?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_TAIL = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by its country (the registry of ISO 13616).
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 "
+    "NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+_LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}(?:\)[\x20./-]?|[\x20./-])(?:[0-9]{2,4}[\x20./-]){0,3}[0-9]{2,8}(?![0-9])")
+#: Where the last group makes a number too long: short groups alone.
+_SHORT_GROUPS = re.compile(r"\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9])")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -86,15 +95,28 @@ def phones(text: str):
 
 
 def ibans(text: str):
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield m.span()
+    """By the length of the country; for other countries the longest end at which the check holds."""
+    done = 0
+    for head in _IBAN_HEAD.finditer(text):
+        start = head.start()
+        if start < done or not (tail := _IBAN_TAIL.match(text, head.end())):
+            continue
+        ends = [*range(start + 1, start + 5), *(k + 1 for k in range(tail.start(), tail.end()) if text[k] != " ")]
+        code = text[start : tail.end()].replace(" ", "")
+        known = IBAN_LENGTHS.get(head[0][:2])
+        for n in [known] if known else range(len(code), 14, -1):
+            if n <= len(code) and not re.match("[A-Za-z0-9]", text[ends[n - 1] : ends[n - 1] + 1]) and mod97(code[:n]):
+                done = ends[n - 1]
+                yield start, done
+                break
 
 
 def local_phones(text: str):
     for m in _LOCAL_PHONE.finditer(text):
-        if 7 <= len(_DIGITS.sub("", m[0])) <= 13:
-            yield m.start() + (m[0][0] == " "), m.end()
+        for n in (m, _SHORT_GROUPS.match(text, m.start())):
+            if n and 7 <= len(_DIGITS.sub("", n[0])) <= 13:
+                yield n.span()
+                break
 
 
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans, local_phones)))

@@ -48,6 +48,27 @@ def test_added_kinds_and_scores():
     assert low < high <= 1
 
 
+def test_ordinary_ways_of_writing():
+    for text, kind, span in (
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("DE89370400440532013000 EUR 500", "iban", "DE89370400440532013000"),
+        ("GB82WEST12345698765432 BIC DEUTDEFF", "iban", "GB82WEST12345698765432"),
+        ("ID AB12 DE89370400440532013000", "iban", "DE89370400440532013000"),
+        ("call (555) 123-4567", "local_phone", "(555) 123-4567"),
+        ("call (555)123-4567 now", "local_phone", "(555)123-4567"),
+        ("call 1 (555) 123-4567", "local_phone", "(555) 123-4567"),
+        ("phone: (030) 123 4567", "local_phone", "(030) 123 4567"),
+        ("tel: 030 123 4567", "local_phone", "030 123 4567"),
+        ("Tel. 030/12345678", "local_phone", "030/12345678"),
+        ("mobile: 0171 2345678, or", "local_phone", "0171 2345678"),
+        ("tel 01 23 45 67 89", "local_phone", "01 23 45 67 89"),
+        ("tel:030 123 4567 12345", "local_phone", "030 123 4567"),
+    ):
+        assert [(k, text[s:e]) for s, e, k, _ in pii.find(text)] == [(kind, span)], text
+    for text in ("IBAN DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", "DE893704004405320130001", "call 12 345", "tel 4111 1111 1111 1112"):
+        assert pii.find(text) == [], text
+
+
 def test_masking():
     text = "mail a@b.de or +49 30 1234567"
     assert pii.masked(text, pii.find(text)) == "mail [EMAIL] or [PHONE]"
