@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers (DataFrame functions only).
 
-A text is a row of units: its words, long ones cut every UNIT characters. A window of K units is an anchor if the
+A text is a row of units: its words, long ones cut every UNIT characters. Runs of more than K * UNIT characters without
+white space (Chinese, base64) are first cut by content: before each character at which the hash of GRAM characters is
+less than those at the NEAR characters on either side. Shorter runs hold one window of K units at most. A window of K units is an anchor if the
 smallest hash of its inner substrings (S = 1 unit) lies at one of its two ends. Whether a window is an anchor depends on
-nothing outside it, so a passage keeps its anchors wherever it stands, and at least one lies in any K units and K - 2
+nothing outside it, so a passage keeps its anchors wherever it stands (in a long run: from its first cut on), and at least one lies in any K units and K - 2
 more. The fingerprint lists the distinct anchors in the order of the text.
 """
 
@@ -15,10 +17,31 @@ from tallyspark.llm.common import let, texts
 from tallyspark.session import materialise
 
 UNIT, K = 16, 4
+GRAM, NEAR = 4, 4
 _LOW = (1 << 32) - 1
 
 
+def _cut(run: Column) -> Column:
+    """A run with a space at each of its cuts; none where the text is of one character."""
+
+    def of_grams(c, h):
+        def mark(x, i):
+            around = [F.get(h, i + k) for k in range(-NEAR, NEAR + 1) if k]
+            return F.when((i >= NEAR) & (i + NEAR < F.size(h)) & (F.get(h, i) < F.least(*around)), F.concat(F.lit(" "), x)).otherwise(x)
+
+        return F.array_join(F.transform(c, mark), "")
+
+    def of_characters(c):
+        grams = F.transform(F.slice(c, F.lit(1), F.size(c) - (GRAM - 1)), lambda x, i: F.xxhash64(x, *(F.get(c, i + k) for k in range(1, GRAM))))
+        return let(grams, lambda h: of_grams(c, h))
+
+    return let(F.split(run, ""), of_characters)
+
+
 def unit_hashes(text: Column) -> Column:
+    runs = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > K * UNIT, _cut(r)).otherwise(r)), " ")
+    text = F.when(text.rlike(rf"[^\x20\x09-\x0D]{{{K * UNIT + 1}}}"), cut).otherwise(text)
     units = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
     return F.transform(units, lambda u: F.xxhash64(u))
 

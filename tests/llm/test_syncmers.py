@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 
@@ -78,3 +79,19 @@ def test_shared_anchors_stand_at_one_shift(spark):
     pairs = spark.createDataFrame([(1, passage, 2, "some words before it " + passage)], "left_id long, left_text string, right_id long, right_text string")
     best = syncmers.shared_anchors(pairs).orderBy(F.desc("anchors")).first()
     assert best["shift"] == 4 and best["anchors"] == len(plain_anchors(passage))
+
+
+def test_passage_without_spaces_keeps_its_anchors(spark):
+    r = random.Random(3)
+    for letters in ([chr(k) for k in range(0x4E00, 0x5200)], list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), ["\U0001f600", "é", "a", "語"]):
+        def noise(n):
+            return "".join(r.choices(letters, k=n))
+
+        before, passage, behind = noise(50), noise(600), noise(50)
+        texts = [before + passage + behind] + [before + noise(k) + passage + behind for k in range(1, 16)] + [passage]
+        # one more character in the middle
+        texts.append(before + passage[:300] + noise(1) + passage[300:] + behind)
+        frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        got = {x["i"]: set(x["h"]) for x in frame.select("i", syncmers.anchor_hashes(F.col("text")).alias("h")).collect()}
+        assert len(got[0]) > 20
+        assert all(len(got[0] & got[i]) > 0.75 * len(got[0]) for i in got)
