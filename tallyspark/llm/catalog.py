@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyspark.llm import bpe, chat, mixing, pii, quality, repeats, simhash, syncmers, token_files, toxicity
+from tallyspark.llm import alignment, bpe, chat, language, mixing, pii, quality, repeats, simhash, syncmers, token_files, toxicity, whitening
 from tallyspark.llm.common import table
 
 
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": _over_documents(token_files.query),
         "op9_suffix_dedup": _over_documents(repeats.query),
         "op10_pii": _over_documents(pii.query),
+        "op11_whitening": lambda spark, sf_dir: whitening.query(table(spark, sf_dir, "embeddings")),
+        "op12_token_alignment": _over_documents(alignment.query),
+        "op13_language": _over_documents(language.query),
         "pipeline": corpus_pipeline.run,
     }
 
