@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces that a worker remembers, and pieces that are encoded in one call.
 REMEMBERED, TOGETHER = 300_000, 2_000
 #: Pieces of documents, repeats included, after which a block ends, and code points of them.
-BLOCK_PIECES, BLOCK_CHARACTERS = 700_000, 4_000_000
+BLOCK_PIECES, BLOCK_CHARACTERS = 1_000_000, 6_000_000
 #: Shards of pairs, and parts that one step of the tree joins.
 SHARDS, FAN = 64, 64
 #: Keys of a shard's function: slots for each key at each level.
 GAMMA = 2
+#: Marks behind a word.
+MARKS = ".,!?;:"
 _MARK = "▁"
 
 
@@ -107,6 +110,12 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(begin, size)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, rising."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 # ---- both tokenizers -----------------------------------------------------------------------------------------------
 
 
@@ -124,7 +133,11 @@ class Tokenizers:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(_path(first))
@@ -134,11 +147,21 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
         for entry, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode("utf-8")
+        # where merges go by rising id, the ranks alone give the same ids; tested against the vocabulary's own library
+        with open(_path(first), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        merged = set(ids)
+        ranks = {b: i for i, b in enumerate(self.a_bytes) if len(b) == 1 or i in merged}
+        self.by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ids == sorted(ids) else None
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode("utf-8"))
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # marks that no piece joins to a letter before them, as the first vocabulary's pattern never does: a token begins there
+        joined = {y for i in range(self.b.get_piece_size()) for x, y in pairwise(self.b.id_to_piece(i)) if x.isalpha()}
+        self.marks = "".join(m for m in MARKS if m not in joined)
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of a stretch that stands where both end a token. The second tokenizer puts a space before every text."""
@@ -176,12 +199,14 @@ def whole(piece: str) -> str:
     return piece if piece[0] in " \n" else f" {piece}"
 
 
-def pieces_of(text: str, known: dict[str, int]) -> list[str]:
-    """The pieces of a space and the text. Pieces that aren't plain keep their space, so no two stretches share a name."""
+def pieces_of(text: str, known: dict[str, int]) -> tuple[list[str], set[str]]:
+    """The pieces of a space and the text, and those not known. Pieces that aren't plain keep their space, so no two stretches share a name."""
     out = text.replace("\n", " \n").split(" ")
-    if all(p in known or plain(p) for p in set(out)):
-        return out
-    return [c[1:] if c[0] == " " and plain(c[1:]) and c[1] != "\n" else c for c in _CUT.split(f" {text}")]
+    new = set(out).difference(known)
+    if all(map(plain, new)):
+        return out, new
+    out = [c[1:] if c[0] == " " and plain(c[1:]) and c[1] != "\n" else c for c in _CUT.split(f" {text}")]
+    return out, set(out).difference(known)
 
 
 class Pieces:
@@ -195,48 +220,81 @@ class Pieces:
         self.slots: dict[str, int] = {}
         # ids as packed numbers; None: the bytes of some token sequence differ from the text
         self.ids: list[tuple[bytes, bytes] | None] = []
+        self.marks: dict[str, tuple[bytes, bytes]] = {}
 
     def _learn(self, new: list[str]) -> None:
+        """Ids of pieces not known yet. A word with marks behind it has the word's ids, then those of the marks."""
+        marks, slots, behind = self.tokenizers.marks, self.slots, {}
+        need = []
+        for p in new:
+            if p[-1] in marks and p[0] != " " and (stem := p.rstrip(marks)) and stem[-1].isalpha():
+                behind[p] = stem
+                if stem not in slots:
+                    need.append(stem)
+            else:
+                need.append(p)
+        need = list(dict.fromkeys(need))
+        for k in range(0, len(need), TOGETHER):
+            group = need[k : k + TOGETHER]
+            for p, ids in zip(group, self._encoded(group)):
+                slots[p] = len(self.ids)
+                self.ids.append(ids)
+        for p, stem in behind.items():
+            ids, after = self.ids[slots[stem]], self._mark_ids(p[len(stem) :])
+            slots[p] = len(self.ids)
+            self.ids.append(ids and (ids[0] + after[0], ids[1] + after[1]))
+
+    def _mark_ids(self, run: str) -> tuple[bytes, bytes]:
+        """Ids of marks behind a letter."""
+        if run not in self.marks:
+            with_x, x = self.tokenizers.encode(f" x{run}"), self.tokenizers.encode(" x")
+            found = tuple(np.array(w[len(o) :], "<i4").tobytes() for w, o in zip(with_x, x))
+            if len(run) > 8:  # long runs are rare and not remembered
+                return found
+            self.marks[run] = found
+        return self.marks[run]
+
+    def _encoded(self, group: list[str]) -> list[tuple[bytes, bytes] | None]:
         t = self.tokenizers
-        for k in range(0, len(new), TOGETHER):
-            group = new[k : k + TOGETHER]
-            joined = [p for p in group if p[0] != " " and _MARK not in p]
-            found = self._together([whole(p) for p in joined]) if joined else []
-            if found is None:
-                joined, found = [], []
-            out = dict(zip(joined, found))
-            for p in group:
-                if p not in out:
-                    text = whole(p)
-                    a, b = t.encode(text)
-                    out[p] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if t.agrees(text, a, b) else None
-            for p in group:
-                self.slots[p] = len(self.ids)
-                self.ids.append(out[p])
-
-    def _together(self, stretches: list[str]) -> list[tuple[bytes, bytes]] | None:
-        """Ids of plain pieces, encoded one behind the other; None if the ends of their tokens don't tell them apart."""
+        stretches = list(map(whole, group))
+        # plain pieces are encoded one behind the other
+        joined = [k for k, p in enumerate(group) if p[0] != " " and _MARK not in p]
+        out: list = [None] * len(group)
+        left = range(len(group))
+        found = self._cut_apart([stretches[k] for k in joined])
+        if found is not None:
+            for k, ids in zip(joined, found):
+                out[k] = ids
+            left = sorted(set(left).difference(joined))
+        for k in left:
+            a, b = t.encode(stretches[k])
+            if t.agrees(stretches[k], a, b):
+                out[k] = np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()
+        return out
+
+    def _cut_apart(self, stretches: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """Ids of plain pieces by both tokenizers; None if bytes differ or the ends of tokens don't tell the pieces apart."""
         t = self.tokenizers
         text = " x" + "".join(stretches)
-        ids = t.encode(text)
-        if not t.agrees(text, *ids):
+        a = t.by_rank.encode_ordinary(text) if t.by_rank else t.a.encode(text, add_special_tokens=False).ids
+        b = t.b.encode(text[1:])
+        if not t.agrees(text, a, b):
             return None
         ends = np.cumsum([2, *(len(s.encode("utf-8")) for s in stretches)])
         out = []
-        for own, size in zip(ids, (t.a_size, t.b_size)):
-            own = np.array(own, np.int64)
+        for ids, size in ((a, t.a_size), (b, t.b_size)):
+            own = np.array(ids, "<i4")
             token_ends = np.cumsum(size[own])
             at = np.searchsorted(token_ends, ends)
             if (token_ends[at] != ends).any():
                 return None
-            data, cut = own.astype("<i4").tobytes(), (4 * (at + 1)).tolist()
+            data, cut = own.tobytes(), (4 * (at + 1)).tolist()
             out.append([data[x:y] for x, y in zip(cut, cut[1:])])
         return list(zip(*out))
 
     def numbers(self, text: str) -> list[int]:
         """Slots of the pieces of a space and the text."""
-        found = pieces_of(text, self.slots)
-        new = set(found).difference(self.slots)
+        found, new = pieces_of(text, self.slots)
         if new:
             self._learn(sorted(new))
         return list(map(self.slots.__getitem__, found))
@@ -265,32 +323,47 @@ def align(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray,
     count = len(a_ends)
     stop_a, stop_b = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     start_a, start_b = stop_a - a_size[a], stop_b - b_size[b]
-    common = np.intersect1d(stop_a, stop_b, assume_unique=True)
+    common = stop_a[stop_b[np.minimum(np.searchsorted(stop_b, stop_a), len(stop_b) - 1)] == stop_a] if len(stop_b) else stop_b
     group_a, group_b = np.searchsorted(common, stop_a), np.searchsorted(common, stop_b)
     low, high = np.searchsorted(stop_b, start_a, "right"), np.searchsorted(start_b, stop_a, "left")
     links = high - low
     codes = np.repeat(a.astype(np.int64) << 32, links) | b[ragged(low, links)].astype(np.int64)
-    pairs, link_pair = np.unique(codes, return_inverse=True)
+    pairs = distinct(codes)
+    link_pair = np.searchsorted(pairs, codes)
     link_begin = np.concatenate(([0], np.concatenate(([0], np.cumsum(links)))[a_ends]))
     n_a, n_b = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
     piece = np.repeat(np.arange(count), np.diff(link_begin))
-    own = np.unique(piece * max(len(pairs), 1) + link_pair)
+    own = distinct(piece * max(len(pairs), 1) + link_pair)
     own_begin = np.searchsorted(own // max(len(pairs), 1), np.arange(count + 1))
     # pieces end where groups end
     group_end = np.concatenate(([0], group_a + 1))[a_ends]
     group_begin = np.concatenate(([0], group_end))
 
     def group_texts() -> list[str]:
-        left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        edge_a = np.searchsorted(group_a, np.arange(len(common) + 1)).tolist()
-        edge_b = np.searchsorted(group_b, np.arange(len(common) + 1)).tolist()
-        each = [f"{','.join(left[w:x])}|{','.join(right[y:z])}" for w, x, y, z in zip(edge_a, edge_a[1:], edge_b, edge_b[1:])]
-        begin = group_begin.tolist()
-        return [";".join(each[x:y]) for x, y in zip(begin, begin[1:])]
+        # the ids of a group's first tokens stand before those of its second ones; each carries the sign that follows it
+        edge_a, edge_b = (np.searchsorted(g, np.arange(len(common) + 1)) for g in (group_a, group_b))
+        last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + edge_b[group_a]] = 3 * a.astype(np.int64) + last_a
+        order[np.arange(len(b)) + edge_a[group_b + 1]] = 3 * b.astype(np.int64) + 2 * last_b
+        signs, size = _signed_ids(max(len(a_size), len(b_size)))
+        text = "".join(map(signs.__getitem__, order.tolist()))
+        ends = np.concatenate(([0], np.cumsum(size[order])))[np.concatenate(([0], a_ends + b_ends))].tolist()
+        return [text[x:y] for x, y in zip(ends, ends[1:])]
 
     return Aligned(pairs, link_pair, link_begin, n_a, n_b, np.diff(group_begin), own % max(len(pairs), 1), own_begin, group_texts)
 
 
+def _signed_ids(n: int) -> tuple[list[str], np.ndarray]:
+    """Each id below n with a comma, a bar and a semicolon behind it, and the lengths of these."""
+
+    def make():
+        signs = [f"{i}{sign}" for i in range(n) for sign in ",|;"]
+        return signs, np.array(list(map(len, signs)))
+
+    return worker_store(f"signed-ids:{n}", make)
+
+
 def _shard(pairs: np.ndarray) -> np.ndarray:
     """All pairs of a first id are in one shard."""
     return ((pairs >> 32) * 0x9E3779B1 >> 16) % SHARDS
@@ -327,12 +400,12 @@ def blocks(docs: DataFrame, first: str = BYTE_VOCABULARY, second: str = PIECE_VO
 
         def finished() -> pa.RecordBatch:
             sizes = np.array(list(map(len, documents)), np.int64)
-            flat = np.concatenate([np.array(d, np.int64) for d in documents])
+            flat = np.concatenate(documents)
             seen = np.zeros(len(pieces.ids), bool)
             seen[flat] = True
-            distinct = np.flatnonzero(seen)
+            used = np.flatnonzero(seen)
             place = np.cumsum(seen) - 1
-            found = [pieces.ids[k] for k in distinct.tolist()]
+            found = [pieces.ids[k] for k in used.tolist()]
             usable = np.array([x is not None for x in found], np.int32)
             a, b = ([x[side] if x else b"" for x in found] for side in (0, 1))
             ends = [np.cumsum([len(x) // 4 for x in side], dtype=np.int64) for side in (a, b)]
@@ -342,7 +415,7 @@ def blocks(docs: DataFrame, first: str = BYTE_VOCABULARY, second: str = PIECE_VO
             counts, mark = np.zeros(len(made.pairs), np.int64), np.zeros(len(made.pairs), bool)
             begin = 0
             for end in document_ends.tolist():
-                own = np.unique(numbers[begin:end])
+                own = distinct(numbers[begin:end])
                 begin = end
                 if good[own].all():
                     linked = made.own_pairs[ragged(made.own_begin[own], made.own_begin[own + 1] - made.own_begin[own])]
@@ -358,7 +431,7 @@ def blocks(docs: DataFrame, first: str = BYTE_VOCABULARY, second: str = PIECE_VO
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 ids.append(doc_id)
-                documents.append(pieces.numbers(text) if text else [])
+                documents.append(np.array(pieces.numbers(text) if text else [], np.int32))
                 held += len(documents[-1])
                 characters += len(text)
                 if held >= BLOCK_PIECES or characters >= BLOCK_CHARACTERS or len(pieces.slots) > REMEMBERED:
@@ -395,11 +468,11 @@ def count_pairs(written: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     own = written.filter("shard >= 0").select("block", "shard", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("part"), "pairs", "counts")
 
     def keys(table: pa.Table) -> list[dict]:
-        found = np.unique(np.frombuffer(b"".join(table["pairs"].to_pylist()), np.int64))
+        found = distinct(np.frombuffer(b"".join(table["pairs"].to_pylist()), np.int64))
         return [{"shard": table["shard"][0].as_py(), "part": table["part"][0].as_py(), "pairs": found.tobytes()}]
 
     kind, schema = "shard int, part int, pairs binary", pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("pairs", pa.binary())])
-    distinct = _tree(own.select("shard", "part", "pairs"), groups, keys, kind, schema)
+    gathered = _tree(own.select("shard", "part", "pairs"), groups, keys, kind, schema)
 
     def functions(batches):
         for batch in batches:
@@ -412,7 +485,7 @@ def count_pairs(written: DataFrame) -> tuple[DataFrame, DataFrame, int]:
                 out.append({"shard": r["shard"], "function": function.to_bytes(), "keys": stored.tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("shard", pa.int32()), ("function", pa.binary()), ("keys", pa.binary())]))
 
-    hashed = materialise(distinct.mapInArrow(functions, "shard int, function binary, keys binary"), "pair-functions")
+    hashed = materialise(gathered.mapInArrow(functions, "shard int, function binary, keys binary"), "pair-functions")
 
     def in_parts(table: DataFrame) -> DataFrame:
         return table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
@@ -517,7 +590,7 @@ def aligned(docs: DataFrame, first: str = BYTE_VOCABULARY, second: str = PIECE_V
                 own = numbers[begin:end]
                 begin = end
                 if len(own) and good[own].all():
-                    digest = hashlib.sha256(";".join(map(group_texts.__getitem__, own.tolist())).encode()).hexdigest()
+                    digest = hashlib.sha256("".join(map(group_texts.__getitem__, own.tolist()))[:-1].encode()).hexdigest()
                     out.append((doc_id, *figures[own].sum(0).tolist(), digest))
                 else:
                     out.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
