@@ -11,7 +11,7 @@ from tallyspark import constants as K
 
 
 def normalise_header(name: str) -> str:
-    return re.sub(r"\s+", " ", str(name)).strip().lower()
+    return re.sub(r"\s+", " ", str(name).lstrip("\ufeff")).strip().lower()
 
 
 def _first(columns: list[str], test) -> str | None:
