@@ -233,7 +233,7 @@ def s22(i):
     return i.documents.select("doc_id", F.md5(tx.remove_control_characters(noisy)).alias("h"))
 
 
-@query("s23_rules_from_replies", """WITH o AS (SELECT client_id, chunk_no, unnest(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\}')) AS obj, generate_subscripts(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\}'), 1) AS p FROM model_reply)
+@query("s23_rules_from_replies", """WITH o AS (SELECT client_id, chunk_no, unnest(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*"|\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\})*\\}')) AS obj, generate_subscripts(regexp_extract_all(reply, '\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*"|\\{(?:[^{}"]|"(?:[^"\\\\]|\\\\.)*")*\\})*\\}'), 1) AS p FROM model_reply)
 SELECT client_id, chunk_no, CAST(p - 1 AS INT) AS reply_pos, obj ->> 'rule_id' AS rule_id, obj ->> 'account_id' AS account_id, obj ->> 'account_name' AS account_name,
   obj ->> 'category_type' AS category_type, obj ->> '$.trigger_payee_contains[0]' AS first_trigger FROM o WHERE obj ->> 'rule_id' IS NOT NULL AND obj ->> 'account_name' IS NOT NULL""")
 def s23(i):

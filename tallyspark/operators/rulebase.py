@@ -14,6 +14,7 @@ RULE_JSON = (
     "rule_id string, trigger_payee_contains array<string>, account_id string, account_name string, category_type string, "
     "logic string, vendor_code string, ach_vendor_only boolean"
 )
+RULE_STRUCT = ", ".join(c.replace(" ", ": ") for c in RULE_JSON.split(", "))
 RULE_COLUMNS = [c.split()[0] for c in RULE_JSON.split(", ")]
 
 
@@ -34,17 +35,29 @@ def loan_fields(texts: DataFrame, column: str) -> DataFrame:
     )
 
 
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_FLAT = rf'\{{(?:[^{{}}"]|{_STRING})*+\}}'
+#: A complete object: braces stand inside strings or in objects one level down.
+_OBJECT = rf'(\{{(?:[^{{}}"]|{_STRING}|{_FLAT})*+\}})'
+
+
 def rules_from_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Rules of stored model replies.
 
-    Rule objects are flat, so every complete object is one `{...}` run in which braces stand inside strings only. This
-    reads whole and cut-off arrays alike; objects without rule ID or account name are left out.
+    What lies between the first and the last square bracket is read as an array of objects, whatever those hold besides.
+    Where it isn't one (cut-off replies), every complete object is read on its own. Objects without rule ID or account name
+    are left out; `reply_pos` counts the array's elements, or the complete objects.
     """
     keep = [c for c in replies.columns if c != column]
-    objects = F.regexp_extract_all(F.col(column), F.lit(r'(\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\})'), 1)
-    rows = replies.select(*keep, F.posexplode(objects).alias("reply_pos", "o"))
-    parsed = rows.select(*keep, "reply_pos", F.from_json("o", RULE_JSON).alias("r")).select(*keep, "reply_pos", "r.*")
-    return parsed.filter(F.col("rule_id").isNotNull() & F.col("account_name").isNotNull())
+    text = F.col(column)
+    array = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    # a probe of its own: a reader for the fields alone could stop at the first object of a broken array
+    whole = F.get_json_object(F.concat(F.lit('{"a":'), array, F.lit("}")), "$.a").isNotNull() & (array != "")
+    parsed = F.from_json(F.when(whole, array), f"array<struct<{RULE_STRUCT}>>")
+    objects = F.regexp_extract_all(text, F.lit(_OBJECT), 1)
+    recovered = F.transform(objects, lambda o: F.from_json(o, RULE_JSON))
+    rows = replies.select(*keep, F.posexplode(F.coalesce(parsed, recovered)).alias("reply_pos", "r")).select(*keep, "reply_pos", "r.*")
+    return rows.filter(F.col("rule_id").isNotNull() & F.col("account_name").isNotNull())
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:

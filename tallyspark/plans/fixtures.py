@@ -341,7 +341,7 @@ SELECT client_id, chunk_no, CASE CAST(client_id % 3 AS INT)
 FROM (SELECT client_id, CAST(floor(rule_pos / 8) AS INT) AS chunk_no,
     concat(min(CASE WHEN rule_pos % 8 = 0 THEN obj END), ', ', coalesce(min(CASE WHEN rule_pos % 8 = 3 THEN obj END), min(obj))) AS body
   FROM (SELECT client_id, rule_pos, concat(chr(123), '"rule_id": "', rule_id, '", "trigger_payee_contains": ["', trigger_payee_contains[{first}], '"], "account_id": "',
-      account_id, '", "account_name": "', account_name, '", "category_type": "', category_type, '", "logic": "use ', chr(123), 'code', chr(125), '"', chr(125)) AS obj FROM {rules}) o
+      account_id, '", "account_name": "', account_name, '", "category_type": "', category_type, '", "logic": "use ', chr(123), 'code', chr(125), '"', CASE WHEN rule_pos % 3 = 0 THEN concat(', "meta": ', chr(123), '"k": "', chr(125), '"', chr(125)) ELSE '' END, chr(125)) AS obj FROM {rules}) o
   GROUP BY client_id, CAST(floor(rule_pos / 8) AS INT)) b"""
 
 VIEWS["doc_page"] = """
