@@ -50,7 +50,8 @@ PAYEES = "payee_source AS (SELECT memo AS description FROM query_vectors)," + PA
 
 NAMES = f"""{PAYEES},
 named AS (SELECT qq.*, payee AS sname FROM (SELECT client_id, txn_id, memo FROM query_vectors WHERE NOT is_check) qq JOIN payees ON d = trim(memo) WHERE payees.payee <> ''),
-nexact AS (SELECT n.client_id, txn_id, pcat AS category, pname AS h_name FROM named n JOIN payrank p ON n.client_id = p.client_id AND p.k = lower(trim(sname))),
+nexact AS (SELECT n.client_id, n.txn_id, h.category, h.name AS h_name FROM named n JOIN ledger_vectors h ON n.client_id = h.client_id AND lower(trim(h.name)) = lower(trim(sname)) AND h.vec_id <> n.txn_id
+  WHERE trim(h.name) <> '' AND trim(h.category) <> '' QUALIFY row_number() OVER (PARTITION BY n.client_id, n.txn_id ORDER BY coalesce(h.date, DATE '0001-01-01') DESC, h.vec_id) = 1),
 nm AS (SELECT t.*, h.category, h.name AS h_name, coalesce(h.date, DATE '0001-01-01') AS dd
   FROM ntop t JOIN named USING (client_id, txn_id) JOIN ledger_vectors h USING (client_id, vec_id) WHERE (t.client_id, txn_id) NOT IN (SELECT (client_id, txn_id) FROM nexact)),
 nbest AS (SELECT client_id, txn_id, true AS exact, category, CAST(1 AS DOUBLE) AS score, h_name FROM nexact UNION ALL

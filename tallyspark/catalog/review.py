@@ -48,15 +48,6 @@ def t10(i):
     return ingest.batches(i.bank_txn, ["client_id"], "row_pos", 10).select("row_pos", "client_id", "batch_num", "batch_total")
 
 
-@query("t11_chunk_size", """SELECT client_id, records, CASE WHEN records <= 1000 THEN records WHEN records <= 5000 THEN 1500 WHEN records <= 10000 THEN 2000 WHEN records <= 20000 THEN 2500 ELSE 3000 END AS chunk
-FROM (SELECT client_id, count(*) AS records FROM gl_raw WHERE trim(coalesce(memo, '')) <> '' GROUP BY client_id UNION ALL SELECT -1, count(*) FROM gl_raw WHERE trim(coalesce(memo, '')) <> '') r""")
-def t11(i):
-    counts = health.record_count(i.gl_raw.select("client_id", "memo"), ["client_id"])
-    total = counts.agg(F.lit(-1).alias("client_id"), F.sum("records").alias("records"))
-    both = counts.select("client_id", "records").unionByName(total)
-    return both.withColumn("chunk", ingest.chunk_size(C("records")))
-
-
 @query("t12_recent_events", "SELECT user_id, event_type, event_id FROM web_event QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY created_at DESC, event_id DESC) <= 3")
 def t12(i):
     return review.latest_per_key(i.web_event, ["user_id", "event_type"], [C("created_at").desc(), C("event_id").desc()], 3).select("user_id", "event_type", "event_id")

@@ -170,7 +170,6 @@ REGISTER_INSPECTION_HEADERS = {
 }
 GL_RANGE_HEADERS = ["date", "transaction date", "posting date", "post date", "trans date", "doc date"]
 COA_CATEGORY_COLUMNS = ["account", "account name", "name", "category", "type", "description"]
-COA_MATCH_COLUMNS = ["account name", "account", "name", "category"]
 MISSING_WORDS = ["", "nan", "none", "null"]
 
 # --- dates -------------------------------------------------------------------------------------
@@ -307,7 +306,6 @@ LEGACY_CSV_COLUMNS = [
 ]
 EXTRACTION_COLUMNS = ["date", "post_date", "description", "credit", "debit", "bank"]
 CONTROL_CHARACTERS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-CHUNK_SIZES = [(1000, None), (5000, 1500), (10000, 2000), (20000, 2500), (None, 3000)]
 
 # --- statement text ----------------------------------------------------------------------------
 MONEY_PATTERN = r"-?\$?\d[\d,]*\.\d{2}"
@@ -323,7 +321,6 @@ SECTION_PATTERNS = {
     "checks": r"(?i)^\s*Checks\s+paid\s*$",
 }
 INLINE_ROW_PATTERN = r"^\s*(\d{2}/\d{2})(?:\s+(\d{2}/\d{2}))?\s+([0-9]{1,3}(?:,[0-9]{3})*\.\d{2})\s*(.*)$"
-TRAILING_AMOUNT_ROW_PATTERN = r"^(\d{2}/\d{2})\s+(.+?)\s+(-?\$?[\d,]+\.\d{2})$"
 GENERIC_ROW_PATTERN = r"^(\d{2}/\d{2}|[A-Za-z]{3}\s+\d{1,2})\s+(.+?)\s+(-?\$?[\d,]+\.\d{2})$"
 DATE_LINE_PATTERN = r"^\s*(\d{2}/\d{2})\s*$"
 AMOUNT_LINE_PATTERN = r"^\$?([0-9]{1,3}(?:,[0-9]{3})*\.\d{2})\s*$"

@@ -203,17 +203,6 @@ def batches(rows: DataFrame, keys: list[str], position: str, size: int) -> DataF
     ).drop("n", "bucket", "offset", "total")
 
 
-def chunk_size(count: Column) -> Column:
-    """Rows per chunk by record count; small inputs stay whole."""
-    out = None
-    for limit, size in K.CHUNK_SIZES:
-        value = count if size is None else F.lit(size).cast("bigint")
-        if limit is None:
-            return out.otherwise(value)
-        out = F.when(count <= limit, value) if out is None else out.when(count <= limit, value)
-    return out
-
-
 def coa_rows(raw: DataFrame) -> DataFrame:
     """Chart of accounts: all columns as trimmed text, missing as empty text."""
     return raw.select(*[F.coalesce(tx.strip(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in raw.columns])

@@ -76,7 +76,7 @@ def organiser_list(categories: DataFrame, subcategories: DataFrame) -> DataFrame
 
 
 def newest_by_name(history: DataFrame) -> DataFrame:
-    """client_id, name_key, category, name of the newest history row per (client, name), case-insensitive, over all rows.
+    """client_id, name_key, category, name, entry_id of the newest history row per (client, name), case-insensitive, over all rows.
 
     The maximum combines map-side, so a payee with a third of the history stays cheap.
     """
@@ -86,13 +86,13 @@ def newest_by_name(history: DataFrame) -> DataFrame:
     )
     # missing dates last, ties by smallest entry id
     order = F.struct(F.coalesce("date", F.lit("0001-01-01").cast("date")), -F.col("entry_id"))
-    newest = h.groupBy("client_id", "name_key").agg(F.max_by(F.struct("category", "name"), order).alias("n"))
-    return newest.select("client_id", "name_key", "n.category", "n.name")
+    newest = h.groupBy("client_id", "name_key").agg(F.max_by(F.struct("category", "name", "entry_id"), order).alias("n"))
+    return newest.select("client_id", "name_key", "n.category", "n.name", "n.entry_id")
 
 
 def category_by_name(names: DataFrame, history: DataFrame) -> DataFrame:
     """Rows of `names` with the category of the newest history row of that name."""
-    newest = newest_by_name(history).drop("name")
+    newest = newest_by_name(history).drop("name", "entry_id")
     return names.withColumn("name_key", F.lower(tx.strip(F.col("name")))).join(newest, ["client_id", "name_key"], "left").drop("name_key")
 
 

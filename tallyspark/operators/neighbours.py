@@ -168,12 +168,23 @@ def best_candidate(c: DataFrame) -> DataFrame:
 
 def name_search(queries: DataFrame, history: DataFrame, name: str = "name", k: int = 50, exclude_self: bool = False,
                 vector: str = "name_embedding") -> DataFrame:
-    """Category by name: the exact name over all history rows, else high scores among the neighbours of the name's vector; the newest wins."""
+    """Category by name: the exact name over all history rows, else high scores among the neighbours of the name's vector; the newest wins.
+
+    With `exclude_self` a query's own row (entry of its id) answers neither: the next row of that name does, and a name that
+    no other row has goes on to its neighbours.
+    """
     key = F.lower(tx.strip(F.col(name)))
     named = queries.filter(F.coalesce(name, F.lit("")) != "").withColumn("embedding", F.col(vector)).withColumn("name_key", key)
-    newest = ledger.newest_by_name(history.withColumnRenamed("vec_id", "entry_id")).withColumnRenamed("name", "h_name")
-    exact = named.select("client_id", F.col("txn_id").alias("query_id"), "name_key").join(newest, ["client_id", "name_key"])
-    named = named.join(newest.select("client_id", "name_key"), ["client_id", "name_key"], "left_anti")
+    rows = history.withColumnRenamed("vec_id", "entry_id")
+    newest = ledger.newest_by_name(rows).withColumn("place", F.lit(0))
+    if exclude_self:  # the next one stands in where the newest is the query itself
+        others = rows.join(newest.select("client_id", "entry_id"), ["client_id", "entry_id"], "left_anti")
+        newest = newest.unionByName(ledger.newest_by_name(others).withColumn("place", F.lit(1)))
+    met = named.select("client_id", F.col("txn_id").alias("query_id"), "name_key").join(newest.withColumnRenamed("name", "h_name"), ["client_id", "name_key"])
+    if exclude_self:
+        met = met.filter("query_id <> entry_id")
+    exact = met.groupBy("client_id", "query_id").agg(F.min_by(F.struct("category", "h_name"), "place").alias("e")).select("client_id", "query_id", "e.*")
+    named = named.join(exact.select("client_id", F.col("query_id").alias("txn_id")), ["client_id", "txn_id"], "left_anti")
     ranked = top_k(named, history, k, exclude_self=exclude_self)
     h = history.select("client_id", F.col("vec_id").alias("entry_id"), F.col("name").alias("h_name"), "category", "date")
     usable = ranked.filter(F.col("score") >= K.HIGH_SCORE).join(h, ["client_id", "entry_id"])

@@ -147,10 +147,6 @@ def inline_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def _is_total(c: Column) -> Column:
-    return c.rlike(K.TOTAL_PATTERN)
-
-
 def _row_groups(lines: DataFrame, starts: Column, stops: Column | None = None, sectioned: bool = True) -> DataFrame:
     """Body lines with `section`, `account`, `starts`, `breaks` and the running row number `row_no`.
 

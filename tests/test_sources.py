@@ -137,3 +137,64 @@ def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
     assert tried == [0, 1, 1, 2]
     rows = spark.read.parquet(path)
     assert rows.count() == 300 and rows.select("k").distinct().count() == 300
+
+
+HEADERS = [("Date,Description,Debit,Credit", "2024-05-01,SALARY,,100.00"), ("Description,Date,Credit,Debit", "RENT,2024-05-02,,70.00"), ("Remark,Credit,Debit,Date,Description", "x,,5.00,2024-05-03,FEE")]
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    for k, (head, row) in enumerate(HEADERS):
+        (tmp_path / f"{'abc'[k]} {{{k}}} 50%.csv").write_text(f"{head}\n{row}\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = sorted((r["date"], r["description"], str(r["credit"]), str(r["debit"])) for r in readers.read_tabular(spark, f"{tmp_path}/*.csv").collect())
+    assert rows == [("2024-05-01", "SALARY", "100.00", "None"), ("2024-05-02", "RENT", "None", "70.00"), ("2024-05-03", "FEE", "None", "5.00")]
+    apart = [readers.read_tabular(spark, f"{tmp_path}/{name}*.csv").drop("row_pos") for name in "abc"]
+    assert sorted((r["date"], r["description"], str(r["credit"]), str(r["debit"])) for part in apart for r in part.collect()) == rows
+    whole = readers.read_delimited(spark, str(tmp_path))
+    assert set(whole.columns) == {"Date", "Description", "Debit", "Credit", "Remark", "file_name", "row_pos"} and whole.count() == 3
+
+
+def test_file_without_a_needed_column_is_named(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Description,Amount\n2024-05-01,x,1\n")
+    (tmp_path / "bad one.csv").write_text("Date,Amount\n2024-05-01,1\n")
+    with pytest.raises(ValueError, match="bad one.csv.*description"):
+        readers.read_bank_csv(spark, str(tmp_path))
+    (tmp_path / "bad one.csv").write_text("Check No,Memo\n1,x\n")
+    (tmp_path / "a.csv").write_text("Check No,Payee\n1,x\n")
+    with pytest.raises(ValueError, match="bad one.csv.*payee"):
+        readers.read_register(spark, str(tmp_path))
+
+
+def test_each_ledger_file_has_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Date,Memo,Amount\n2024-01-05,Café,5\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("Memo,Date,Amount\nCrème,2024-01-06,6\n".encode("utf-8"))
+    assert {r["memo"] for r in readers.read_ledger(spark, str(tmp_path)).collect()} == {"Café", "Crème"}
+
+
+def test_rules_with_nested_objects(spark):
+    from tallyspark.operators import rulebase
+
+    rule = '{"rule_id":"%s","account_name":"x","trigger_payee_contains":["T"]%s}'
+    nested = ',"meta":{"k":{"deep":[1,2]}}'
+    replies = [
+        (1, "```json\n[" + rule % ("a", nested) + "," + rule % ("b", "") + "]\n```"), (2, "[" + rule % ("c", ',"m":{"k":"}"}') + ", " + rule % ("d", "") + ', {"rule_id": "cut'),
+        (3, "nothing"), (4, None), (5, '[{"rule_id":"e"}, 7, ' + rule % ("f", "") + "]"), (6, rule % ("g", "")),
+    ]
+    rows = rulebase.rules_from_replies(spark.createDataFrame(replies, "n int, reply string")).collect()
+    assert sorted((r["n"], r["reply_pos"], r["rule_id"]) for r in rows) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (2, 1, "d"), (5, 1, "f"), (6, 0, "g")]
+    assert all(r["trigger_payee_contains"] == ["T"] for r in rows)
+
+
+def test_name_search_never_answers_with_the_own_row(spark):
+    import datetime as dt
+
+    from tallyspark.operators import neighbours
+
+    day = dt.date(2024, 1, 1)
+    vector = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.95, 0.05]]
+    history = spark.createDataFrame([(1, k + 1, vector[k], n, c, day + dt.timedelta(d)) for k, (n, c, d) in enumerate([("Acme", "new", 9), ("acme ", "old", 1), ("Lone", "own", 5), ("Other", "near", 3)])],
+                                    "client_id int, vec_id long, embedding array<double>, name string, category string, date date")
+    queries = spark.createDataFrame([(1, 1, "ACME", vector[0]), (1, 2, "acme", vector[1]), (1, 3, "Lone", vector[0])], "client_id int, txn_id long, search string, name_embedding array<double>")
+    got = {r["query_id"]: (r["match_type"], r["category"]) for r in neighbours.name_search(queries, history, "search", 3, exclude_self=True).collect()}
+    assert got == {1: ("exact", "old"), 2: ("exact", "new"), 3: ("similar", "new")}
+    assert {r["query_id"]: r["category"] for r in neighbours.name_search(queries, history, "search", 3).collect()} == {1: "new", 2: "new", 3: "own"}
