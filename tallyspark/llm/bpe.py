@@ -8,12 +8,14 @@ pair below it, so each merge reads the root and makes three logarithmic point up
 from __future__ import annotations
 
 import base64
+from hashlib import sha256
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tallyspark.llm.alignment import MARKS, plain
 from tallyspark.llm.common import texts, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -82,33 +84,90 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class Encoder:
-    """Ranks, pattern and the ids of matches seen so far in one worker process."""
+    """Ranks, pattern and the ids of what was seen lately in one worker process.
 
-    def __init__(self, path: str, pattern: str):
+    The usual pattern ends a match before a single space or line break between other characters. Texts in which all white
+    space is of that kind are cut there, and pieces are remembered with their ids; other texts, and other patterns, go match
+    by match.
+    """
+
+    def __init__(self, path: str, pattern: str, cut: bool = False):
         import regex
 
         self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
         self.find = regex.compile(pattern).findall
+        self.cut = cut
         # ids of matches as packed numbers: those seen lately, and those seen before them
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # the same for pieces; a piece's space is left out, a text's first piece has one
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+
+    def _match(self, match: str) -> bytes:
+        if (ids := self.seen.get(match)) is None:
+            if (ids := self.older.get(match)) is None:
+                found = merge(match.encode("utf-8"), self.ranks, self.longest)
+                ids = pack(f"<{len(found)}i", *found)
+            if len(match) <= LONGEST:
+                if len(self.seen) > REMEMBERED:
+                    self.older, self.seen = self.seen, {}
+                self.seen[match] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece: letters alone are one match, marks behind them are another."""
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha() and max(stem) < "\u0250":
+            return self._match(f" {stem}") + (self._match(piece[len(stem) :]) if len(stem) < len(piece) else b"")
+        return b"".join(map(self._match, self.find(piece[1:] if piece[0] == " " else piece if piece[0] == "\n" else f" {piece}")))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, all of them remembered; None if it can't be cut."""
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = f" {out[0]}"
+        known = self.pieces
+        new = set(out).difference(known)
+        if new:
+            first = out[0] if out[0] in new else None
+            if first and len(first) > 1 and first[-1].isspace() or not all(map(plain, new.difference([first]))):
+                return None
+            if len(known) > REMEMBERED:
+                self.older_pieces, self.pieces = known, {}
+                known, new = self.pieces, set(out)
+            older = self.older_pieces
+            for p in new:
+                known[p] = ids if (ids := older.get(p)) is not None else self._piece(p)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
-        pieces, seen = self.find(text), self.seen
-        if len(seen) > REMEMBERED:
-            self.older, self.seen = seen, {}
-            seen = self.seen
-        extra, older = {}, self.older
-        for p in set(pieces).difference(seen):
-            if (ids := older.get(p)) is None:
-                found = merge(p.encode("utf-8"), self.ranks, self.longest)
-                ids = pack(f"<{len(found)}i", *found)
-            (seen if len(p) <= LONGEST else extra)[p] = ids
-        if extra:
-            return b"".join([seen[p] if p in seen else extra[p] for p in pieces])
-        return b"".join(map(seen.__getitem__, pieces))
+        if self.cut and (pieces := self._pieces(text)):
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self._match, self.find(text)))
+
+
+def _encoder(vocabulary: str, pattern: str | None) -> Encoder:
+    def make():
+        import public_tokenizers
+
+        return Encoder(_path(vocabulary), pattern or public_tokenizers.PATTERN, pattern is None)
+
+    return worker_store(f"bpe:{vocabulary}:{pattern}", make)
+
+
+def _tokens(vocabulary: str) -> tuple[list[bytes], list[bytes]]:
+    """The bytes of each id, and the id in decimal with a comma behind it."""
+
+    def make():
+        ranks = read_ranks(_path(vocabulary))
+        out = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            out[i] = token
+        return out, [b"%d," % i for i in range(len(out))]
+
+    return worker_store(f"bpe-tokens:{vocabulary}", make)
 
 
 def _path(name: str) -> str:
@@ -127,9 +186,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None =
     """
 
     def run(batches):
-        import public_tokenizers
-
-        made = worker_store(f"bpe:{vocabulary}:{pattern}", lambda: Encoder(_path(vocabulary), pattern or public_tokenizers.PATTERN))
+        made = _encoder(vocabulary, pattern)
         for batch in batches:
             keys, flat, ends, first = batch.column(0), [], [0], 0
             for k, text in enumerate(batch.column(1)):
@@ -150,12 +207,12 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", bytes binary"
 
     def run(batches):
-        tokens = worker_store(f"bpe-tokens:{vocabulary}", lambda: {i: b for b, i in read_ranks(_path(vocabulary)).items()})
+        tokens, _ = _tokens(vocabulary)
         at = names.index("ids")
         for batch in batches:
             out, held, first = [], 0, 0
             for k, ids in enumerate(batch.column(at)):
-                out.append(b"".join(map(tokens.__getitem__, ids.values.to_pylist())) if ids.is_valid else None)
+                out.append(b"".join(map(tokens.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else None)
                 held += len(ids) if ids.is_valid else 0
                 if held >= HAND_ON or k == batch.num_rows - 1:
                     rows = batch.slice(first, k + 1 - first)
@@ -165,10 +222,27 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of what the ids decode to) for every row of `docs`.
+
+    Encodes and decodes as `encode` and `decode` do, with their treatment of rows, but hands on digests alone.
+    """
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches):
+        made, (tokens, decimals) = _encoder(vocabulary, pattern), _tokens(vocabulary)
+        for batch in batches:
+            sizes, coded, decoded = [], [], []
+            for text in batch.column(1):
+                ids = np.frombuffer(made.encode(text.as_py()), "<i4").tolist()
+                sizes.append(len(ids))
+                coded.append(sha256(b"".join(map(decimals.__getitem__, ids))[:-1]).hexdigest())
+                decoded.append(sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, kind)
+
+
 def query(docs: DataFrame) -> DataFrame:
-    done = decode(encode(docs))
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
-    )
+    return round_trip(docs)

@@ -23,6 +23,24 @@ def test_merge_equals_library():
             assert np.frombuffer(own.encode(text), "<i4").tolist() == ref.encode_ordinary(text)
 
 
+def test_cut_texts_equal_library():
+    ref, own, r = reference(), bpe.Encoder(P.path(bpe.VOCABULARY), P.PATTERN, cut=True), random.Random(2)
+    odd = ["", " ", "\n", "a", " a", "a ", "a  b", "a\nb", "\na", "a\n", "a \nb", "a\n b", "\n\na\n\nb", "a\tb c", "a\x1c b", "don't we'll 12 345", "x\u00a0 y", "\x85a b", "a b\u2003c d"]
+    for text in odd + ["".join(r.choice(x) for _ in range(r.choice((1, 2, 3, 5, 9, 60)))) for x in ("ab ", "a \n", "the 's1.,\n\t ", "é 東 \n", "x \x1c\x85\u3000") for _ in range(300)]:
+        want = ref.encode_ordinary(text)
+        assert np.frombuffer(own.encode(text), "<i4").tolist() == want
+
+
+def test_round_trip_equals_encode_and_decode(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark)
+    done = bpe.decode(bpe.encode(docs)).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("a"), F.sha2("bytes", 256).alias("b")
+    )
+    assert sorted(map(str, map(tuple, done.collect()))) == sorted(map(str, map(tuple, bpe.round_trip(docs).collect())))
+
+
 def test_query_on_whole_table(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     check(bpe.query(docs), docs)
