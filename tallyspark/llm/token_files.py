@@ -14,6 +14,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +23,15 @@ from tallyspark.session import materialise, shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-#: The dictionary: documents in the sample, bytes of a document's ids that count, bytes of the dictionary.
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 16_384, 65_536
+#: The dictionary: documents in the sample, bytes of a document's ids in it, in so many stretches, and bytes of the dictionary.
+SAMPLE, SAMPLE_BYTES, WINDOWS, DICTIONARY_BYTES = 500, 16_384, 8, 65_536
 #: Compressed bytes and documents in a block.
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 1000
 #: Words whose ids a worker remembers, and the longest that it remembers.
 REMEMBERED, LONGEST = 350_000, 64
 MARKS = b".,!?;:"
+#: Texts whose new words are encoded in one call, and bytes of them.
+TOGETHER, TOGETHER_BYTES = 50, 4_000_000
 
 
 class WordEncoder:
@@ -38,70 +41,77 @@ class WordEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model without the steps that leave lower-case words of letters as they are
+        self.of_letters = Tokenizer.from_file(path)
+        self.of_letters.normalizer = normalizers.Sequence([])
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for entry, i in vocabulary.items() if entry.endswith("</w>")]] = True
         # ids of words as packed numbers: those seen lately, and those seen before them
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def _by_tokenizer(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Words of letters alone go in as one text, if each of them is one word of the tokenizer too."""
+        """Ids of each word. Plain lower-case letters go in as one text."""
         texts_ = [w.decode("utf-8") for w in words]
         out: list[bytes] = [b""] * len(words)
-        letters = [k for k, t in enumerate(texts_) if t.isalpha()]
-        rest = [k for k, t in enumerate(texts_) if not t.isalpha()]
+        letters = [k for k, t in enumerate(texts_) if t.isalpha() and (t.isascii() or t.islower() and max(t) < "\u0250")]
         if letters:
-            found = self.tokenizer.encode(" ".join([texts_[k] for k in letters]), add_special_tokens=False)
-            of = np.array(found.word_ids, np.int64)
-            if len(of) and of[-1] + 1 == len(letters):
-                ids = np.array(found.ids, "<u4").tobytes()
-                edges = (4 * np.searchsorted(of, np.arange(len(letters) + 1))).tolist()
+            ids = np.array(self.of_letters.encode_batch_fast([" ".join([texts_[k] for k in letters])], add_special_tokens=False)[0].ids, "<u4")
+            edges = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+            if len(edges) == len(letters) + 1 and edges[-1] == 4 * len(ids):
+                data = ids.tobytes()
                 for k, lo, hi in zip(letters, edges, edges[1:]):
-                    out[k] = ids[lo:hi]
+                    out[k] = data[lo:hi]
             else:
-                rest += letters
-        for k, e in zip(rest, self.tokenizer.encode_batch([texts_[k] for k in rest], add_special_tokens=False)):
-            ids = e.ids
-            out[k] = pack(f"<{len(ids)}I", *ids)
+                letters = []
+        done = set(letters)
+        rest = [k for k in range(len(words)) if k not in done]
+        if rest:
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts_[k] for k in rest], add_special_tokens=False)):
+                ids = e.ids
+                out[k] = pack(f"<{len(ids)}I", *ids)
         return out
 
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         """Ids of words not in `into`; marks behind a letter or digit are a word of their own to the tokenizer."""
-        older, parts = self.older, {}
+        older, behind, need = self.older, [], []
         for w in words:
             if (ids := older.get(w)) is not None:
                 into[w] = ids
-                continue
-            stem = w.rstrip(MARKS)
-            parts[w] = (stem, w[len(stem) :]) if stem and stem[-1:].isalnum() and len(stem) < len(w) else (w, b"")
-        need = list({x for pair in parts.values() for x in pair if x}.difference(into))
-        fresh = {x: ids for x in need if (ids := older.get(x)) is not None}
-        need = [x for x in need if x not in fresh]
+            elif w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem[-1:].isalnum():
+                mark = w[len(stem) :]
+                behind.append((w, stem, mark))
+                need += (stem, mark)
+            else:
+                need.append(w)
+        fresh = {x: ids for x in set(need) if (ids := into.get(x) or older.get(x)) is not None}
+        need = sorted(set(need).difference(fresh))
         for k in range(0, len(need), 1000):
             fresh.update(zip(need[k : k + 1000], self._by_tokenizer(need[k : k + 1000])))
-        into.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
-        fresh[b""] = b""
-        for w, (stem, mark) in parts.items():
-            into[w] = (fresh.get(stem) or into[stem]) + (fresh.get(mark) or into.get(mark, b""))
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers."""
-        data = text.encode("utf-8")
+        into.update(fresh)
+        for w, stem, mark in behind:
+            into[w] = fresh[stem] + fresh[mark]
+
+    def encode(self, texts_: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
         # the vocabulary is lower case; special tokens are looked for before that
-        words = (data if b"<|" in data else data.lower()).split()
+        words = [(data if b"<|" in data else data.lower()).split() for data in (t.encode("utf-8") for t in texts_)]
         if len(self.seen) > REMEMBERED:
             self.older, self.seen = self.seen, {}
         seen = self.seen
-        new = set(words).difference(seen)
-        if not new:
-            return b"".join(map(seen.__getitem__, words))
-        long = [w for w in new if len(w) > LONGEST]
-        self._learn([w for w in new if len(w) <= LONGEST], seen)
-        if long:
-            extra = dict(zip(long, self._by_tokenizer(long)))
-            return b"".join([seen[w] if w in seen else extra[w] for w in words])
-        return b"".join(map(seen.__getitem__, words))
+        new = set().union(*words).difference(seen)
+        if new:
+            long = [w for w in new if len(w) > LONGEST]
+            self._learn([w for w in new if len(w) <= LONGEST], seen)
+            if long:
+                extra = dict(zip(long, self._by_tokenizer(long)))
+                return [b"".join([seen[w] if w in seen else extra[w] for w in own]) for own in words]
+        return [b"".join(map(seen.__getitem__, own)) for own in words]
 
 
 def _encoder(vocabulary: str) -> WordEncoder:
@@ -116,17 +126,39 @@ def _encoder(vocabulary: str) -> WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY) -> bytes:
-    """A dictionary from the SAMPLE documents of smallest hash; empty if there is too little to learn from."""
+    """A dictionary from a bounded sample of documents; empty if there is too little to learn from.
+
+    At most SAMPLE documents, about as many of each source and language (where `docs` has such columns) as there is room
+    for, by hash. They are encoded whole, in tasks; each gives WINDOWS stretches of ids, evenly spread from its beginning to
+    its end.
+    """
     import zstandard
 
-    hashed = texts(docs).select(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    # SAMPLE pairs of numbers at most; their texts are fetched by them
-    chosen = hashed.select("a", "b").distinct().orderBy("a", "b").limit(SAMPLE)
-    sample = hashed.join(F.broadcast(chosen), ["a", "b"]).dropDuplicates(["a", "b"]).orderBy("a", "b")
-    encoder = _encoder(vocabulary)
-    parts = [encoder.encode(r["text"])[:SAMPLE_BYTES] for r in sample.collect()]
+    strata = [F.col(c).cast("string").alias(f"by_{c}") for c in ("source", "lang") if c in docs.columns]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *strata)
+    names = [c for c in rows.columns if c.startswith("by_")]
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    groups = max(counts.count(), 1)
+    counts = counts.select(F.xxhash64(*names).alias("stratum") if names else F.lit(0).cast("long").alias("stratum"), "n")
+    stratum = F.xxhash64(*names) if names else F.lit(0).cast("long")
+    # a row's place among those of its stratum, as a share of the room for it
+    rank = F.col("h").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / float(1 << 40) * F.col("n") * float(groups / SAMPLE)
+    chosen = rows.withColumn("stratum", stratum).join(counts, "stratum").withColumn("rank", rank).filter("rank < 1").select("rank", "h", "text")
+
+    def run(batches):
+        encoder = _encoder(vocabulary)
+        size = SAMPLE_BYTES // WINDOWS // 4 * 4
+        for batch in batches:
+            parts = []
+            for text in batch.column(2):
+                ids = encoder.encode([text.as_py()])[0]
+                free = max(len(ids) - WINDOWS * size, 0) // 4 / max(WINDOWS - 1, 1)
+                parts.append(b"".join(ids[(at := k * size + 4 * int(k * free)) : at + size] for k in range(WINDOWS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], ["rank", "h", "part"])
+
+    sample = chosen.mapInArrow(run, "rank double, h long, part binary").orderBy("rank", "h", "part").limit(SAMPLE).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [p for p in parts if p]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["part"]) for r in sample if r["part"]]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -140,7 +172,9 @@ def _codec(dictionary: bytes):
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
     """Writes the ids of every row of `docs`, with END behind each document, below `path`.
 
-    Rows go by doc_id (null last), then text; null and empty texts have END alone; other columns are ignored.
+    Rows go by doc_id (null last), rows of one id by the hash of their compressed ids; null and empty texts have END alone;
+    a text of any length is one frame; repeated rows each have theirs; an empty table gives a dictionary and no blocks; other
+    columns than source and lang, which spread the dictionary's sample, are ignored.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, vocabulary)
@@ -154,9 +188,16 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
         packer = zstandard.ZstdCompressor(level=1, dict_data=shared)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids = [encoder.encode(t.as_py()) + end for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "frame", "n"])
+            first, held = 0, 0
+            for k, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+                held += size
+                if k + 1 - first < TOGETHER and held < TOGETHER_BYTES and k + 1 < batch.num_rows:
+                    continue
+                part = batch.slice(first, k + 1 - first)
+                ids = [x + end for x in encoder.encode(part.column(1).to_pylist())]
+                columns = [part.column(0), pa.array([packer.compress(x) for x in ids], pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "frame", "n"])
+                first, held = k + 1, 0
 
     def block(batches):
         from pyspark import TaskContext

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -26,7 +27,25 @@ def by_start(got):
 def test_words_equal_whole_texts():
     t, own = Tokenizer.from_file(P.path(token_files.VOCABULARY)), token_files._encoder(token_files.VOCABULARY)
     for text in ("It's  THE end x ΟΔΟΣ ΟΔΟΣ. é ́a", "<|endoftext|> a<|startoftext|>b don't 12 3.5\r\n\x85z\x1cq", "", "東京 😀😀 ｱ", "a" * 500):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_random_texts_equal_library():
+    r = random.Random(4)
+    t, own = Tokenizer.from_file(P.path(token_files.VOCABULARY)), token_files._encoder(token_files.VOCABULARY)
+    alphabets = ("ab,. ", "straße É éa ß.", "x1 'st!?;: ", "ΣΟΔσς ,", "東京 a.\n\t", "İi̇ı ", "µſ ŉ a", "ǅǆ ")
+    texts = ["".join(r.choice(a) for _ in range(r.choice((1, 3, 8, 40)))) for a in alphabets for _ in range(150)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_dictionary_sees_ends_of_texts_and_small_strata(spark):
+    data = [(i, "start " * 3000 + f"ending{i % 7} " * 3000, "en", "big", None) for i in range(60)] + [(100 + i, f"rareword{i % 3} " * 4000, "de", "small", None) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, lang, source) for i, t, lang, source, _ in data], "doc_id long, text string, lang string, source string")
+    dictionary = token_files.train_dictionary(docs)
+    t = Tokenizer.from_file(P.path(token_files.VOCABULARY))
+    for words in (["start"], [f"ending{i}" for i in range(7)], [f"rareword{i}" for i in range(3)]):
+        assert any(np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() in dictionary for w in words)
 
 
 def test_whole_tables(spark, sf_small):
