@@ -181,9 +181,12 @@ def sample(rows: DataFrame, size: int = SAMPLE) -> list[tuple[str, np.ndarray, n
     """(lang, buckets, counts) of at most `size` rows (doc_id, text, lang), about as many of each language, by hash."""
     held = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     languages = held.count()
-    share = (F.xxhash64("doc_id", "lang").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / float(1 << 40)).alias("share")
-    rank = F.col("share") * F.col("n") * float(languages / size)
-    chosen = rows.select("doc_id", "lang", "text", share).join(held, "lang").withColumn("rank", rank).filter("rank < 1")
+    h = F.xxhash64("doc_id", "lang").alias("h")
+    share = F.col("h").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / float(1 << 40)
+    # ids and languages alone are joined and sorted
+    ranked = rows.select(h, "lang").join(held, "lang").select("h", (share * F.col("n") * float(languages / size)).alias("rank")).filter("rank < 1")
+    first = ranked.groupBy("h").agg(F.min("rank").alias("rank")).orderBy("rank", "h").limit(size)
+    chosen = rows.select(h, "lang", "text").join(F.broadcast(first), "h")  # `size` pairs of numbers at most
 
     def run(batches):
         for batch in batches:

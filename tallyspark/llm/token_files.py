@@ -139,11 +139,12 @@ def train_dictionary(docs: DataFrame, vocabulary: str = VOCABULARY) -> bytes:
     names = [c for c in rows.columns if c.startswith("by_")]
     counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     groups = max(counts.count(), 1)
-    counts = counts.select(F.xxhash64(*names).alias("stratum") if names else F.lit(0).cast("long").alias("stratum"), "n")
-    stratum = F.xxhash64(*names) if names else F.lit(0).cast("long")
-    # a row's place among those of its stratum, as a share of the room for it
+    stratum = (F.xxhash64(*names) if names else F.lit(0).cast("long")).alias("stratum")
+    # a row's place among those of its stratum, as a share of the room for it; hashes alone are joined and sorted
     rank = F.col("h").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / float(1 << 40) * F.col("n") * float(groups / SAMPLE)
-    chosen = rows.withColumn("stratum", stratum).join(counts, "stratum").withColumn("rank", rank).filter("rank < 1").select("rank", "h", "text")
+    ranked = rows.select("h", stratum).join(counts.select(stratum, "n"), "stratum").select("h", rank.alias("rank")).filter("rank < 1")
+    first = ranked.groupBy("h").agg(F.min("rank").alias("rank")).orderBy("rank", "h").limit(SAMPLE)
+    chosen = rows.select("h", "text").join(F.broadcast(first), "h").select("rank", "h", "text")  # SAMPLE pairs of numbers at most
 
     def run(batches):
         encoder = _encoder(vocabulary)
