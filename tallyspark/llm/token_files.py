@@ -55,47 +55,54 @@ class WordEncoder:
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _of_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of plain lower-case letters, encoded as one text."""
+        ids = np.array(self.of_letters.encode_batch_fast([b" ".join(words).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        edges = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
+        if len(edges) != len(words) + 1 or edges[-1] != 4 * len(ids):
+            return self._by_tokenizer(words)
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip(edges, edges[1:])]
+
     def _by_tokenizer(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Plain lower-case letters go in as one text."""
-        texts_ = [w.decode("utf-8") for w in words]
-        out: list[bytes] = [b""] * len(words)
-        letters = [k for k, t in enumerate(texts_) if t.isalpha() and (t.isascii() or t.islower() and max(t) < "\u0250")]
-        if letters:
-            ids = np.array(self.of_letters.encode_batch_fast([" ".join([texts_[k] for k in letters])], add_special_tokens=False)[0].ids, "<u4")
-            edges = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
-            if len(edges) == len(letters) + 1 and edges[-1] == 4 * len(ids):
-                data = ids.tobytes()
-                for k, lo, hi in zip(letters, edges, edges[1:]):
-                    out[k] = data[lo:hi]
-            else:
-                letters = []
-        done = set(letters)
-        rest = [k for k in range(len(words)) if k not in done]
-        if rest:
-            for k, e in zip(rest, self.tokenizer.encode_batch_fast([texts_[k] for k in rest], add_special_tokens=False)):
-                ids = e.ids
-                out[k] = pack(f"<{len(ids)}I", *ids)
-        return out
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return [pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def _learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         """Ids of words not in `into`; marks behind a letter or digit are a word of their own to the tokenizer."""
-        older, behind, need = self.older, [], []
+        older, letters, rest, behind, asked = self.older.get, [], [], [], set()
+
+        def ask(w: bytes) -> None:
+            if w.isalpha():
+                letters.append(w)
+            elif w.isascii() or not (t := w.decode("utf-8")).isalpha() or not t.islower() or max(t) >= "\u0250":
+                rest.append(w)
+            else:
+                letters.append(w)
+
         for w in words:
-            if (ids := older.get(w)) is not None:
+            if (ids := older(w)) is not None:
                 into[w] = ids
+            elif w.isalpha():  # of bytes: ASCII letters
+                letters.append(w)
             elif w[-1] in MARKS and (stem := w.rstrip(MARKS)) and stem[-1:].isalnum():
-                mark = w[len(stem) :]
-                behind.append((w, stem, mark))
-                need += (stem, mark)
+                behind.append((w, stem, w[len(stem) :]))
             else:
-                need.append(w)
-        fresh = {x: ids for x in set(need) if (ids := into.get(x) or older.get(x)) is not None}
-        need = sorted(set(need).difference(fresh))
-        for k in range(0, len(need), 1000):
-            fresh.update(zip(need[k : k + 1000], self._by_tokenizer(need[k : k + 1000])))
-        into.update(fresh)
+                ask(w)
+        asked.update(letters, rest)
+        for _, *parts in behind:
+            for x in parts:
+                if x not in into and x not in asked:
+                    asked.add(x)
+                    if (ids := older(x)) is not None:
+                        into[x] = ids
+                    else:
+                        ask(x)
+        for found, encode in ((letters, self._of_letters), (rest, self._by_tokenizer)):
+            for k in range(0, len(found), 2000):
+                into.update(zip(part := found[k : k + 2000], encode(part)))
         for w, stem, mark in behind:
-            into[w] = fresh[stem] + fresh[mark]
+            into[w] = into[stem] + into[mark]
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
