@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers (DataFrame functions only).
 
-A text is a row of units: its words, long ones cut every UNIT characters. Runs of more than K * UNIT characters without
-white space (Chinese, base64) are first cut by content: before each character at which the hash of GRAM characters is
-less than those at the NEAR characters on either side. Shorter runs hold one window of K units at most. A window of K units is an anchor if the
+A text is a row of units: its words. Runs of more than UNIT characters without white space (long words, Chinese, base64) are
+cut by content, whatever their length: before each character at which the hash of GRAM characters is less than those at the
+NEAR characters on either side. What is still longer than UNIT is cut every UNIT characters from its cut. A window of K units is an anchor if the
 smallest hash of its inner substrings (S = 1 unit) lies at one of its two ends. Whether a window is an anchor depends on
 nothing outside it, so a passage keeps its anchors wherever it stands (in a long run: from its first cut on), and at least one lies in any K units and K - 2
 more. The fingerprint lists the distinct anchors in the order of the text.
@@ -17,7 +17,8 @@ from tallyspark.llm.common import let, texts
 from tallyspark.session import materialise
 
 UNIT, K = 16, 4
-GRAM, NEAR = 4, 4
+#: Characters of a hash that may cut a run, and how many neighbours on either side it must be less than: a cut for every five characters or so.
+GRAM, NEAR = 3, 2
 _LOW = (1 << 32) - 1
 
 
@@ -40,8 +41,8 @@ def _cut(run: Column) -> Column:
 
 def unit_hashes(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > K * UNIT, _cut(r)).otherwise(r)), " ")
-    text = F.when(text.rlike(rf"[^\x20\x09-\x0D]{{{K * UNIT + 1}}}"), cut).otherwise(text)
+    cut = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) > UNIT, _cut(r)).otherwise(r)), " ")
+    text = F.when(text.rlike(rf"[^\x20\x09-\x0D]{{{UNIT + 1}}}"), cut).otherwise(text)
     units = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0))
     return F.transform(units, lambda u: F.xxhash64(u))
 

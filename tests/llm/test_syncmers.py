@@ -21,8 +21,23 @@ def chained(values):
     return seed & 0xFFFFFFFF
 
 
+def plain_units(run):
+    """A run of more than 16 characters is cut where the hash of three characters is less than at two places on either side."""
+    if len(run) <= 16:
+        return [run]
+    h = []
+    for i in range(len(run) - 2):
+        seed = 42
+        for c in run[i : i + 3]:
+            seed = xxhash.xxh64_intdigest(c, seed)
+        h.append(signed(seed))
+    cuts = [i for i in range(2, len(h) - 2) if h[i] < min(h[i - 2], h[i - 1], h[i + 1], h[i + 2])]
+    parts = [run[a:b] for a, b in zip([0, *cuts], [*cuts, len(run)])]
+    return [p[k : k + 16] for p in parts for k in range(0, len(p), 16)]
+
+
 def plain_anchors(text):
-    h = [signed(xxhash.xxh64_intdigest(u, 42)) for u in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    h = [signed(xxhash.xxh64_intdigest(u, 42)) for run in re.findall(r"[^\x20\x09-\x0D]+", text) for u in plain_units(run)]
     out = []
     for i in range(len(h) - 3):
         if min(h[i], h[i + 3]) <= min(h[i + 1], h[i + 2]):
@@ -95,3 +110,21 @@ def test_passage_without_spaces_keeps_its_anchors(spark):
         got = {x["i"]: set(x["h"]) for x in frame.select("i", syncmers.anchor_hashes(F.col("text")).alias("h")).collect()}
         assert len(got[0]) > 20
         assert all(len(got[0] & got[i]) > 0.75 * len(got[0]) for i in got)
+
+
+def test_runs_of_any_length_are_cut_by_content(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    cases = []
+    for n in (20, 30, 45, 60, 64, 65, 100):
+        for k in range(40):
+            run = "".join(r.choices(letters, k=n))
+            cases.append((n, run, "".join(r.choices(letters, k=1 + k % 15)) + run))
+    hashes = [F.array_distinct(syncmers.unit_hashes(F.col(c))) for c in ("a", "b")]
+    frame = spark.createDataFrame(cases, "n int, a string, b string").select("n", *(h.alias(c) for h, c in zip(hashes, "ab")))
+    kept, units = {}, {}
+    for x in frame.collect():
+        kept[x["n"]] = kept.get(x["n"], 0) + len(set(x["a"]) & set(x["b"]))
+        units[x["n"]] = units.get(x["n"], 0) + len(x["a"])
+    # all but the first unit, and one more where the first cut lies close to the beginning
+    assert all(kept[n] >= units[n] - 2 * 40 for n in kept) and kept[20] > 0.3 * units[20] and kept[60] > 0.75 * units[60], (kept, units)
