@@ -24,9 +24,9 @@ CONTEXT_WORDS = {
     "email": ("mail", "contact", "@"),
     "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "cell", "fax"),
     "iban": ("iban", "account", "bank"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
+    "local_phone": ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_CHARS = "".join(sorted(LOCAL))
@@ -111,14 +111,39 @@ def ibans(text: str):
                 break
 
 
+#: What is no number to call: a date, two years, two times.
+_DAY, _MONTH, _YEAR, _TIME = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:1[0-9]|20)[0-9]{2}", r"(?:[01]?[0-9]|2[0-4])\.[0-5][0-9]"
+_NO_NUMBER = re.compile(
+    rf"(?:(?:{_DAY}(?P<a>[./-]){_MONTH}|{_MONTH}(?P<b>[./-]){_DAY})(?:(?P=a)|(?P=b))(?:{_YEAR}|[0-9]{{2}})|{_YEAR}(?P<c>[./-]){_MONTH}(?P=c){_DAY}"
+    rf"|{_YEAR}\x20?[/-]\x20?{_YEAR}|{_TIME}\x20?-\x20?{_TIME})(?![./-]?[0-9])"
+)
+
+
 def local_phones(text: str):
-    for m in _LOCAL_PHONE.finditer(text):
+    """Dates, spans of years and spans of times are passed over; a number may follow them."""
+    at = 0
+    while m := _LOCAL_PHONE.search(text, at):
+        if other := _NO_NUMBER.match(text, m.start()):
+            at = other.end()
+            continue
+        at = m.end()
         for n in (m, _SHORT_GROUPS.match(text, m.start())):
             if n and 7 <= len(_DIGITS.sub("", n[0])) <= 13:
                 yield n.span()
                 break
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def context(text: str, start: int) -> set[str]:
+    """Whole words in lower case that end in the characters before a span, without one that begins earlier."""
+    begin = max(0, start - NEAR)
+    while begin and begin < start and text[begin - 1].isalpha():
+        begin += 1
+    return set(_WORDS.findall(text[begin:start].lower()))
+
+
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones, ibans, local_phones)))
 #: Kinds whose spans a checksum or a range has confirmed.
 CHECKED = {"card", "iban", "ip", "email"}
@@ -134,8 +159,7 @@ def find(text: str) -> list[tuple[int, int, str, float]]:
         taken = sorted((s, e) for s, e, *_ in found) if kind not in BASE else []
         i = 0
         for start, end in FINDERS[kind](text):
-            near = text[max(0, start - NEAR) : start].lower()
-            score = min(1.0, (CONFIRMED if kind in CHECKED else PROPOSED) + CONTEXT * any(w in near for w in CONTEXT_WORDS[kind]))
+            score = min(1.0, (CONFIRMED if kind in CHECKED else PROPOSED) + CONTEXT * (not context(text, start).isdisjoint(CONTEXT_WORDS[kind])))
             if kind not in BASE:
                 while i < len(taken) and taken[i][1] <= start:
                     i += 1

@@ -69,6 +69,17 @@ def test_ordinary_ways_of_writing():
         assert pii.find(text) == [], text
 
 
+def test_dates_years_and_times_are_no_numbers():
+    for text in (
+        "Our hotel opened 12.05.2021.", "He called in 1939-1945 1200 men", "fax 12.05.2021 14:30", "call 2021-05-12", "phone 12/31/2021 10", "tel 14.30-16.00 daily",
+        "shipping 030 123 4567", "basically 030 123 4567", "call 1939-1945", "fax 05-12-2021",
+    ):
+        assert pii.find(text) == [], text
+    for text, span in (("call 12.05.2021 030 123 4567", "030 123 4567"), ("tel 01/12/45/67/89", "01/12/45/67/89"), ("telephone 555-123-4567", "555-123-4567"), ("Fax: 2012-3456", "2012-3456")):
+        assert [(k, text[s:e]) for s, e, k, _ in pii.find(text)] == [("local_phone", span)], text
+    assert pii.context("x" * 200 + "hotel 1", 206 - 0) == {"hotel"} or "tel" not in pii.context("x" * 200 + "hotel 1", 206)
+
+
 def test_masking():
     text = "mail a@b.de or +49 30 1234567"
     assert pii.masked(text, pii.find(text)) == "mail [EMAIL] or [PHONE]"
