@@ -9,12 +9,12 @@ from tallyspark.catalog import sqltext as q
 from tallyspark.catalog.base import query
 from tallyspark.catalog.cascades import FULL_CASCADE, full_cascade
 from tallyspark.catalog.extract import ADDRESS_SQL, DEVICE_SQL
-from tallyspark.catalog.summaries import RATES
+from tallyspark.catalog.summaries import RATES, WARNING_SQL
 from tallyspark.catalog.normalise import BANK_CSV_SQL, N5_SQL, N6_SQL, gl_sql
 from tallyspark.functions import codes, dates, web
 from tallyspark.operators import health, ingest
-from tallyspark.session import shared_folder
-from tallyspark.sources import readers, resolve, writers
+from tallyspark.session import materialise, shared_folder
+from tallyspark.sources import readers, resolve, runs, writers
 from tallyspark.streaming import jobs
 
 C = F.col
@@ -256,6 +256,34 @@ def io13(i):
     )
 
 
+@query("io13_run_store", f"""WITH {WARNING_SQL}
+SELECT client_id, 'run-' || CAST(client_id AS VARCHAR) AS run_id, total, matched, unmatched, ama_rate, array_to_string(warnings, '|') AS warnings, CAST(client_id % 3 AS BIGINT) AS retries,
+  coalesce((SELECT string_agg(code || 'x' || CAST(n AS VARCHAR) || ':' || coalesce(samples, ''), ',' ORDER BY code) FROM unknown u WHERE u.client_id = warn0.client_id), '') AS codes,
+  total AS stored, true AS is_dated FROM (SELECT r.*, warnings FROM r JOIN warn USING (client_id)) warn0""")
+def io13_store(i):
+    path, retries = shared_folder(i.spark, "run-store"), (C("client_id") % 3).cast("bigint")
+    rows = materialise(full_cascade(i).withColumn("run_id", F.concat(F.lit("run-"), C("client_id").cast("string"))), "run-rows")
+    made = runs.run_rows(rows, retries)
+    # stored twice: the second commit replaces the first, a third attempt without a commit is never seen
+    runs.store(rows.limit(0), made.withColumn("total", F.lit(0).cast("bigint")), path)
+    runs.store(rows, made, path)
+    rows.limit(1).write.parquet(f"{path}/transactions/attempt=a-lost")
+    stored = runs.read_transactions(i.spark, path).groupBy("run_id").agg(F.count("*").alias("stored"))
+    codes_text = F.array_join(F.transform("unknown_vendor_codes", lambda u: F.concat(u["code"], F.lit("x"), u["n"].cast("string"), F.lit(":"), F.array_join(u["samples"], "|"))), ",")
+    return runs.read_runs(i.spark, path).join(stored, "run_id").select(
+        "client_id", "run_id", "total", "matched", "unmatched", "ama_rate", F.array_join("warnings", "|").alias("warnings"), C("rate_limit_retries_used").alias("retries"),
+        codes_text.alias("codes"), "stored", C("created_at").isNotNull().alias("is_dated"),
+    )
+
+
+@query("io14_batch_records", "SELECT bank, account_number, count(*) AS n, true AS numbered FROM bank_txn GROUP BY ALL")
+def io14_records(i):
+    account = ("bank", "account_number")
+    records = jobs.batch_records(jobs.transaction_stream(i.spark, i.sf_dir, 3), i.spark, account)
+    whole = (F.max("total_batches") == F.count("*")) & (F.max("batch_num") == F.count("*")) & (F.min("batch_num") == 1)
+    return records.groupBy(*account).agg(F.sum("transaction_count").alias("n"), whole.alias("numbered"))
+
+
 @query("io14_batch_sink", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM web_event")
 def io14(i):
     out = jobs.batch_sink(jobs.event_stream(i.spark, i.sf_dir), i.spark)

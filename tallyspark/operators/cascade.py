@@ -48,7 +48,9 @@ def decide_texts(txns: DataFrame, rules: DataFrame, register: DataFrame | None,
         owners = entries.select("client_id", F.lit(True).alias("has_register")).distinct()
         t = (
             t.withColumn("check_number", codes.check_number(F.col("description")))
-            .join(entries.withColumn("entry_found", F.lit(True)), ["client_id", "check_number"], "left")
+            .withColumn("_number", rule_ops.spread_key(F.col("check_number"), F.col("description")))
+            .join(entries.withColumnRenamed("check_number", "_number").withColumn("entry_found", F.lit(True)), ["client_id", "_number"], "left")
+            .drop("_number")
             .join(owners, "client_id", "left")
             .withColumn("has_register", F.coalesce("has_register", F.lit(False)))
         )

@@ -194,7 +194,14 @@ def match_vendor_code(texts: DataFrame, rules: DataFrame, description: str = "de
     coded = texts.withColumn("ach_payment", codes.is_ach_payment(F.col(description))).withColumn(
         "code", codes.ach_vendor_code(F.col(description))
     )
-    return coded.join(vendor_map(rules), ["client_id", "code"], "left")
+    # most texts have no code: a key of their own spreads them, and no rule has it
+    keyed = coded.withColumn("_code", spread_key(F.col("code"), F.col(description)))
+    return keyed.join(vendor_map(rules).withColumnRenamed("code", "_code"), ["client_id", "_code"], "left").drop("_code")
+
+
+def spread_key(key: Column, text: Column) -> Column:
+    """The key, or for rows without one a stand-in by their text, so that they don't all go to one task of a join."""
+    return F.coalesce(key, F.concat(F.lit("none-"), F.pmod(F.xxhash64(text), F.lit(4096)).cast("string")))
 
 
 def vendor_reason(ach_payment: Column, code: Column, vendor_rule: Column) -> Column:

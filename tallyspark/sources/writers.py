@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark import constants as K
@@ -80,7 +80,24 @@ def append_table(rows: DataFrame, path: str, partition: str) -> None:
     rows.write.mode("append").partitionBy(partition).parquet(path)
 
 
-def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    """One batch with its number and row count, replacing an earlier attempt of the same batch."""
-    counted = rows.withColumn("batch_num", F.lit(batch_id).cast("bigint"))
-    counted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(rows: DataFrame, batch_id: int, path: str, account: tuple[str, ...] = ()) -> None:
+    """One batch with its number, replacing an earlier attempt of the same batch.
+
+    With `account`, the batch's row count per account key is written beside it (see `batch_records`).
+    """
+    spark, own = rows.sparkSession, f"{path}/batch={batch_id}"
+    rows.withColumn("batch_num", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(own)
+    if account:  # from the written rows: nothing is computed twice
+        counts = spark.read.parquet(own).groupBy(*account).agg(F.count("*").alias("transaction_count"))
+        counts.withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}-index/batch={batch_id}")
+
+
+def batch_records(spark: SparkSession, path: str, account: tuple[str, ...]) -> DataFrame:
+    """A record for each account key and batch: number in the account's order, number of its batches, rows, time."""
+    index = spark.read.parquet(f"{path}-index").withColumn("batch", F.col("batch").cast("bigint"))
+    # an account's batches, at most one row a batch
+    order = Window.partitionBy(*account)
+    return index.select(
+        *account, F.col("batch").alias("stream_batch"), F.row_number().over(order.orderBy("batch")).cast("bigint").alias("batch_num"),
+        F.count("*").over(order).alias("total_batches"), "transaction_count", "created_at",
+    )

@@ -69,6 +69,12 @@ def batch_sink(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(run_batches(stream, spark, writers.write_batch, "batches"))
 
 
+def batch_records(stream: DataFrame, spark: SparkSession, account: tuple[str, ...], path: str | None = None) -> DataFrame:
+    """Stream rows saved batch by batch; the records of the batches (account key, number, total, rows) once all input is read."""
+    path = run_batches(stream, spark, lambda rows, number, own: writers.write_batch(rows, number, own, account), "batches", path)
+    return writers.batch_records(spark, path, account)
+
+
 def enrich_events(events: DataFrame) -> DataFrame:
     """Event rows with device, browser, system and client address, and the defaults of the event log."""
     device = web.device_info(F.col("user_agent"))
