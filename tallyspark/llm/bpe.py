@@ -19,8 +19,8 @@ from tallyspark.llm.alignment import MARKS, plain
 from tallyspark.llm.common import texts, worker_store
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Matches whose ids a worker remembers, and the longest that it remembers.
-REMEMBERED, LONGEST = 200_000, 64
+#: Matches, and pieces of texts, whose ids a worker remembers in each of two generations, and the longest match that it remembers.
+REMEMBERED, LONGEST = 100_000, 64
 #: Ids after which a part of a batch is handed on.
 HAND_ON = 1_000_000
 #: Children of a node of the segment tree.
