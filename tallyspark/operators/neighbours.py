@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,82 +9,9 @@ from pyspark.sql import Window as W
 from tallyspark import constants as K
 from tallyspark.functions import payee, text as tx
 from tallyspark.operators import ledger
+from tallyspark.operators.nearest import top_k
 from tallyspark.session import materialise
 
-QUERY_BLOCK = 1024
-CORPUS_BLOCK = 8192
-
-
-def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks per client from a count: a client with a third of all rows gets as many blocks as it needs."""
-    return rows.groupBy("client_id").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-
-
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; a zero vector becomes NaN and is dropped with its scores."""
-    m = np.stack(vectors.to_numpy()).astype(np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-
-
-def _top_k_of_block(k: int, exclude_self: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["client_id", "query_id", "entry_id", "score"])
-        # scores are ranked on six decimals so that ties do not depend on summation order
-        scores = np.round(_unit_rows(left["v"]) @ _unit_rows(right["v"]).T, 6)
-        ids = right["id"].to_numpy()
-        scores[np.isnan(scores)] = -np.inf
-        if exclude_self:
-            scores[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        n = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :n]
-        top = np.take_along_axis(scores, order, axis=1)
-        out = pd.DataFrame(
-            {
-                "client_id": np.repeat(left["client_id"].to_numpy(), n), "query_id": np.repeat(left["id"].to_numpy(), n),
-                "entry_id": ids[order].ravel(), "score": top.ravel(),
-            }
-        )
-        return out[np.isfinite(out["score"])]
-
-    return run
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "txn_id", entry_id: str = "vec_id",
-          vector: str = "embedding", exclude_self: bool = False, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
-    """Exact top-k cosine neighbours with client filter: (client_id, query_id, entry_id, score, rank).
-
-    Queries and corpus are cut into bounded blocks per client; every pair of blocks is one matrix product in
-    one task and gives at most k rows per query, which are then ranked across blocks. No task ever holds a
-    whole client and pairs below the block top-k are never written.
-    """
-
-    def prepared(df: DataFrame, key: str) -> DataFrame:
-        return df.select("client_id", F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-
-    q, c = prepared(queries, query_id), prepared(corpus, entry_id)
-    q_counts, c_counts = _block_counts(q, query_block, "q_blocks"), _block_counts(c, corpus_block, "c_blocks")
-    blocks = q_counts.join(c_counts, "client_id")
-    own = F.pmod(F.xxhash64("id"), F.col("own")).cast("int")
-
-    def spread(side: DataFrame, own_blocks: str, other_blocks: str, own_name: str, other_name: str) -> DataFrame:
-        counted = blocks.select("client_id", F.col(own_blocks).alias("own"), F.col(other_blocks).alias("other"))
-        # a side is repeated once per block of the other side; fresh aliases keep the two sides apart
-        rows = side.join(counted, "client_id").select(
-            "client_id", "id", "v", own.alias(own_name), F.explode(F.sequence(F.lit(0), F.col("other") - 1)).alias(other_name)
-        )
-        return rows.select(*[F.col(x).alias(x) for x in ["client_id", "qb", "cb", "id", "v"]])
-
-    left, right = spread(q, "q_blocks", "c_blocks", "qb", "cb"), spread(c, "c_blocks", "q_blocks", "cb", "qb")
-    pairs = left.groupBy("client_id", "qb", "cb").cogroup(right.groupBy("client_id", "qb", "cb"))
-    client_type = queries.schema["client_id"].dataType.simpleString()
-    found = pairs.applyInPandas(
-        _top_k_of_block(k, exclude_self), f"client_id {client_type}, query_id bigint, entry_id bigint, score double"
-    )
-    rank = F.row_number().over(W.partitionBy("client_id", "query_id").orderBy(F.col("score").desc(), "entry_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
 
 def candidates(queries: DataFrame, history: DataFrame, k: int = 50, exclude_self: bool = False) -> DataFrame:
     """Neighbours with the facts of both sides: query memo and amount, entry memo, name, category, date, amount."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyspark.operators import cascade, ingest, loans, neighbours, review, rulebase, rules, statements, summary
+from tallyspark.operators import cascade, ingest, loans, nearest, neighbours, review, rulebase, rules, statements, summary
 from tallyspark.plans.fixtures import Inputs
 
 
@@ -96,7 +96,7 @@ def test_rule_predicate_against_brute_force(spark):
         assert got[t] == want, t
 
 
-@pytest.mark.parametrize("blocks", [(7, 5), (1000, 1000)])
+@pytest.mark.parametrize("blocks", [(7, 5, 4), (1000, 1000, 1000), (1000, 3, 9)])
 def test_neighbours_against_brute_force(spark, blocks):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(90, 6)).round(3)
@@ -104,7 +104,7 @@ def test_neighbours_against_brute_force(spark, blocks):
     rows = [(client[k], k, [float(x) for x in vectors[k]]) for k in range(90)] + [(0, 900, [0.0] * 6)]
     df = spark.createDataFrame(rows, "client_id int, vec_id long, embedding array<double>")
     q = df.withColumnRenamed("vec_id", "txn_id")
-    got = neighbours.top_k(q, df, 4, exclude_self=True, query_block=blocks[0], corpus_block=blocks[1])
+    got = neighbours.top_k(q, df, 4, exclude_self=True, query_block=blocks[0], corpus_block=blocks[1], cell_rows=blocks[2])
     found = {(r.query_id, r["rank"]): (r.entry_id, r.score) for r in got.collect()}
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     expected = {}
@@ -115,6 +115,49 @@ def test_neighbours_against_brute_force(spark, blocks):
     assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in expected.items()}
 
 
+def clustered(n, seed=5):
+    """Vectors around 40 directions; every fourth one is a copy of the first, so that many scores tie."""
+    rng = np.random.default_rng(seed)
+    around = rng.normal(size=(40, 12))
+    v = around[np.arange(n) % 40] + 0.05 * rng.normal(size=(n, 12))
+    v[::4] = v[0]
+    return v.astype(np.float32).astype(np.float64)
+
+
+def test_neighbours_prune_cells_and_keep_ties(spark):
+    pairs = {}
+    for n in (600, 1200, 2400):
+        v = clustered(n)
+        rows = spark.createDataFrame([(1, k, [float(x) for x in v[k]]) for k in range(n)], "client_id int, vec_id long, embedding array<float>")
+        asked = rows.withColumnRenamed("vec_id", "txn_id")
+        found, visits = nearest.search(asked, rows, 5, exclude_self=True, query_block=500, corpus_block=500, cell_rows=10)
+        pairs[n] = visits.agg({"rows": "sum"}).collect()[0][0]
+        assert visits.groupBy("id", "cell").count().filter("count > 1").count() == 0
+        if n == 600:
+            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            scores = np.round(unit @ unit.T, 6)
+            got = {}
+            for r in found.orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append((r.entry_id, r.score))
+            for a in range(n):
+                order = [b for b in np.lexsort((np.arange(n), -scores[a])) if b != a][:5]
+                assert [e for e, _ in got[a]] == order, a
+    # a client of twice the rows visits clearly less than four times the pairs, copies (a quarter of its rows) included
+    assert pairs[2400] < 3 * pairs[1200] < 9 * pairs[600], pairs
+    assert pairs[2400] < 0.2 * 2400**2, pairs
+
+
+def test_neighbours_of_unusable_vectors_and_empty_tables(spark):
+    schema = "client_id int, vec_id long, embedding array<double>"
+    rows = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 0.0]), (1, 3, None), (1, 4, [None, 1.0]), (1, 5, [float("nan"), 1.0]), (1, 6, [1.0, 1.0]), (2, 7, [1.0, 0.0])], schema)
+    asked = rows.withColumnRenamed("vec_id", "txn_id")
+    got = {(r.query_id, r.entry_id) for r in neighbours.top_k(asked, rows, 3, exclude_self=True).collect()}
+    assert got == {(1, 6), (6, 1)}
+    none = spark.createDataFrame([], schema)
+    assert neighbours.top_k(asked, none, 3).count() == 0
+    assert neighbours.top_k(none.withColumnRenamed("vec_id", "txn_id"), rows, 3).count() == 0
+
+
 def brute_absorb(groups):
     groups, kept = [dict(g, t=set(g["t"])) for g in groups], []
     done = set()
