@@ -59,12 +59,12 @@ def _cells_to_visit(need: int):
 
     def run(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or cells.empty:
-            return pd.DataFrame(columns=["client_id", "id", "v", "cell"])
+            return pd.DataFrame(columns=["client_id", "id", "v", "cell", "least"])
         cells = cells.sort_values("cell")
         unit, middle = _unit_rows(queries["v"]), _unit_rows(cells["v"])
         low, high, held, names = (cells[c].to_numpy() for c in ("low", "high", "rows", "cell"))
         first = "least" not in queries
-        least = None if first else queries["least"].fillna(-np.inf).to_numpy()
+        least = np.full(len(queries), -np.inf) if first else queries["least"].fillna(-np.inf).to_numpy()
         seen = None if first else queries["seen"].to_numpy()
         at_query, at_cell = [], []
         for s in _slices(len(unit), len(names)):
@@ -83,7 +83,7 @@ def _cells_to_visit(need: int):
             at_cell.append(c)
         q, c = np.concatenate(at_query), np.concatenate(at_cell)
         rows = queries.iloc[q]
-        return pd.DataFrame({"client_id": rows["client_id"].to_numpy(), "id": rows["id"].to_numpy(), "v": rows["v"].to_numpy(), "cell": names[c]})
+        return pd.DataFrame({"client_id": rows["client_id"].to_numpy(), "id": rows["id"].to_numpy(), "v": rows["v"].to_numpy(), "cell": names[c], "least": least[q]})
 
     return run
 
@@ -93,6 +93,7 @@ def _best_of_part(k: int, exclude_self: bool):
         if left.empty or right.empty:
             return pd.DataFrame(columns=["client_id", "query_id", "entry_id", "score"])
         right = right.sort_values("id", kind="stable")
+        # entries below the score that a query has k times already are not written
         unit, other, ids = _unit_rows(left["v"]), _unit_rows(right["v"]), right["id"].to_numpy()
         own, n = left["id"].to_numpy(), min(k, len(right))
         found = []
@@ -100,6 +101,7 @@ def _best_of_part(k: int, exclude_self: bool):
             scores = np.round(unit[s] @ other.T, 6)
             if exclude_self:
                 scores[own[s][:, None] == ids[None, :]] = -np.inf
+            scores[scores < left["least"].to_numpy()[s][:, None]] = -np.inf
             # only the entries at or above the k-th score are sorted; they stand in the order of their ids
             kth = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
             q, e = np.nonzero((scores >= kth) & np.isfinite(scores))
@@ -185,14 +187,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "txn_i
 
     def visits(asking: DataFrame) -> DataFrame:
         found = _cogroup(*_dealt(asking, cells, query_block), ["client_id", "block"], _cells_to_visit(need),
-                         f"client_id {client}, id bigint, v {q_type}, cell bigint")
+                         f"client_id {client}, id bigint, v {q_type}, cell bigint, least double")
         return materialise(found, "visits")
 
     def scored(visited: DataFrame) -> DataFrame:
         counts = visited.groupBy("client_id", "cell").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks"))
         sizes = counts.join(facts.select("client_id", "cell", F.ceil(F.col("rows") / F.lit(corpus_block)).cast("int").alias("parts")), ["client_id", "cell"])
         at = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        left = visited.join(sizes, ["client_id", "cell"]).select("client_id", "cell", "id", "v", at[0].alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        left = visited.join(sizes, ["client_id", "cell"]).select("client_id", "cell", "id", "v", "least", at[0].alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         right = dealt.join(sizes, ["client_id", "cell"]).select("client_id", "cell", "id", "v", at[1].alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         return _cogroup(left, right, ["client_id", "cell", "block", "part"], _best_of_part(k, exclude_self),
                         f"client_id {client}, query_id bigint, entry_id bigint, score double")
@@ -205,7 +207,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "txn_i
         return visited.select("client_id", "id", "cell").join(facts.select("client_id", "cell", "rows"), ["client_id", "cell"]).select("client_id", "id", "cell", "rows")
 
     if alone:
-        first = q.join(middle.select("client_id", "cell"), "client_id")
+        first = q.join(middle.select("client_id", "cell"), "client_id").withColumn("least", F.lit(float("-inf")))
         return ranked(scored(first)), with_rows(first)
     first = visits(q)
     several = cells.groupBy("client_id").agg(F.count("*").alias("cells"))
