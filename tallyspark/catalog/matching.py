@@ -89,6 +89,32 @@ def j2(i):
     )
 
 
+PART_SQL = FIRST_SQL.replace("FROM rules)", "FROM part_rules)").replace("FROM bank_txn)", "FROM part_text)")
+
+
+def part_texts(i):
+    return i.part_text.select("client_id", "description", F.coalesce("payee_name", F.lit("")).alias("payee_name")).distinct()
+
+
+@query("j1_first_match_indexed", f"""WITH {PART_SQL}
+SELECT t.client_id, t.description, t.payee_name, rule_id, account_name, trigger
+FROM texts t LEFT JOIN first_hit h ON t.client_id = h.client_id AND t.description = h.description AND t.payee_name = h.payee_name""")
+def j1_indexed(i):
+    """First match where a client has as many rules as goods, by the index of grams."""
+    return rules.first_rule(part_texts(i), i.part_rules, TEXT_KEYS, indexed=True).select(
+        *TEXT_KEYS, "rule.rule_id", "rule.account_name", "rule.trigger"
+    )
+
+
+@query("j2_all_matches_indexed", f"""WITH {PART_SQL}
+SELECT client_id, description, payee_name, string_agg(rule_id, ',' ORDER BY rule_pos) AS rule_ids, count(*) AS n
+FROM (SELECT DISTINCT client_id, description, payee_name, rule_pos, rule_id FROM hits) d GROUP BY ALL""")
+def j2_indexed(i):
+    return rules.all_rules(part_texts(i), i.part_rules, TEXT_KEYS, indexed=True).select(
+        *TEXT_KEYS, F.array_join("rules.rule_id", ",").alias("rule_ids"), F.size("rules").cast("bigint").alias("n")
+    )
+
+
 VENDOR_SQL = f"""
 vendor_codes AS (SELECT client_id AS v_client, trim(vendor_code) AS v_code, 1 AS via, rule_pos, rule_id, account_name, account_id, category_type FROM rules WHERE trim(coalesce(vendor_code, '')) <> ''
   UNION ALL SELECT client_id, unnest(regexp_extract_all(upper(tr), '\\b(\\d{{4}})\\b', 1)), 2, rule_pos, rule_id, account_name, account_id, category_type

@@ -7,6 +7,11 @@ distinct texts and never materialises text-trigger pairs that do not match.
 Both sides carry a salt: triggers (the small side) are repeated per salt, texts are spread by hash. A client
 that holds a third of all texts is thereby spread over `salts` tasks when Spark does not broadcast the triggers;
 whether it does is left to the size statistics (`spark.sql.autoBroadcastJoinThreshold`, AQE).
+
+For clients with thousands of triggers, `indexed=True` gives the same rows by an index of grams (`candidates`): a text
+meets only the triggers that share a key with it, found by an equi join on (client, salt, key) and verified by the
+predicate. Every form of the predicate forces a gram of the trigger into the text, so the index loses no pair. Keys travel
+with a hash of their text, not with the text.
 """
 
 from __future__ import annotations
@@ -58,12 +63,12 @@ def with_salt(texts: DataFrame, salts: DataFrame, column: str) -> DataFrame:
     return counted.withColumn("salt", F.pmod(F.xxhash64(column), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
 
 
-def trigger_table(rules: DataFrame, salts: DataFrame) -> DataFrame:
-    """Triggers prepared for the text predicate, repeated per salt of their client."""
+def trigger_table(rules: DataFrame) -> DataFrame:
+    """Triggers prepared for the text predicate."""
     flagged = with_generic_flags(rules)
     t = F.upper(tx.strip(F.col("trigger")))
     rows = flagged.select(
-        "client_id", "rule_pos", *RULE_FIELDS,
+        F.col("client_id").alias("t_client"), "rule_pos", *RULE_FIELDS,
         F.coalesce("ach_vendor_only", F.lit(False)).alias("t_ach_only"),
         (F.col("generic_only") & ~F.col("client_all_generic")).alias("t_dropped_when_coded"),
         F.posexplode("trigger_payee_contains").alias("trigger_pos", "trigger"),
@@ -76,14 +81,106 @@ def trigger_table(rules: DataFrame, salts: DataFrame) -> DataFrame:
         .withColumn("t_words", words)
         .withColumn("t_w1", F.get("t_words", F.lit(0)))
         .withColumn("t_w2", F.get("t_words", F.lit(1)))
-        .join(salts, "client_id")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("salts")
-        .withColumnRenamed("client_id", "t_client")
-        .withColumnRenamed("salt", "t_salt")
     )
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """Distinct runs of n characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def trigger_keys(triggers: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Keys per (t_client, t_text); a text that the trigger matches has at least one of them (see `text_keys`).
+
+    - Two or more long words: each form of the predicate but "text inside trigger" needs words before the last one
+      in the text without spaces: all of them when the trigger is found as a whole, the first one when the text
+      begins with it or the trigger has two, and all but a fifth of the words by the 0.8 rule. So the rarest gram
+      of one word more than may be missing is enough, the first word among them if it has five letters.
+    - Otherwise a gram of the trigger without spaces, from five characters on without its last one.
+    - A trigger of one or two characters is its own key.
+    - For a text inside a trigger, every run of four characters: the text has its first four as a key.
+
+    `frequency` has the texts of a client that hold a gram (t_client, gram, texts); grams without a row are in none.
+    """
+    size, flat = F.size("t_words"), F.col("t_flat")
+
+    def form(text: Column, at: Column, needed: Column) -> Column:
+        return F.struct(text.alias("text"), at.alias("at"), needed.alias("needed"))
+
+    before_last = F.transform(
+        F.slice("t_words", F.lit(1), F.greatest(size - 1, F.lit(0))),
+        lambda w, k: form(w, k, (k == 0) & (F.length(w) >= 5)),
+    )
+    whole = F.when(F.length(flat) >= 5, F.col("t_cut")).otherwise(flat)
+    forms = F.when(size >= 2, before_last).otherwise(F.array(form(whole, F.lit(0), F.lit(True))))
+    distinct = triggers.select("t_client", "t_text", "t_flat", "t_cut", "t_words").distinct()
+    parts = distinct.select(
+        "t_client", "t_text", F.when(size >= 2, F.floor(size / 5) + 1).otherwise(1).cast("int").alias("wanted"),
+        F.explode_outer(forms).alias("form"),
+    )
+    # one gram per form, then the rarest of the forms that are needed
+    rare = (
+        parts.select("t_client", "t_text", "wanted", "form.at", "form.needed", F.explode_outer(grams(F.col("form.text"))).alias("gram"))
+        .join(frequency, ["t_client", "gram"], "left")
+        .groupBy("t_client", "t_text", "wanted", "at", "needed")
+        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("g"))
+        .groupBy("t_client", "t_text", "wanted")
+        .agg(F.sort_array(F.collect_list(F.struct((~F.col("needed")).alias("later"), "g.texts", "g.gram"))).alias("g"))
+        .select("t_client", "t_text", F.explode_outer(F.array_distinct(F.slice("g.gram", F.lit(1), F.col("wanted")))).alias("key"))
+    )
+    own = distinct.filter(F.length(flat) < 3).select("t_client", "t_text", flat.alias("key"))
+    around = distinct.filter(F.length(flat) >= 4).select("t_client", "t_text", F.explode_outer(grams(flat, 4)).alias("key"))
+    return rare.unionByName(own).unionByName(around)
+
+
+def text_keys(flat: Column, longest: Column, short: Column) -> Column:
+    """Keys of a text without spaces: its grams; single characters and pairs where the client has triggers as short;
+    the first four characters where the client has a trigger as long as the text."""
+    none = F.array().cast("array<string>")
+    return F.concat(
+        grams(flat),
+        F.when(short, F.concat(grams(flat, 1), grams(flat, 2))).otherwise(none),
+        F.when(F.length(flat).between(F.lit(4), longest), F.array(F.left(flat, F.lit(4)))).otherwise(none),
+    )
+
+
+def candidates(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Triggers by the texts that share a key with them: trigger columns, `t_key` (the text's `s_key`).
+
+    `texts` has client_id, s_flat and s_key. A pair that shares two keys comes twice.
+    """
+    # filters by the cleaned text or on a generator's input would be pushed below `distinct` and repeat the cleaning for
+    # every row: empty texts stay as one row without keys, and the generators are outer ones
+    key = F.when(F.col("s_flat") != "", F.col("s_key"))
+    texts = texts.filter("client_id IS NOT NULL").select("client_id", key.alias("s_key"), "s_flat").distinct()
+    held = triggers.groupBy(F.col("t_client").alias("client_id")).agg(
+        F.max(F.length("t_flat")).alias("longest"), F.bool_or(F.length("t_flat") < 3).alias("short")
+    )
+    per_client = texts.groupBy("client_id").agg(
+        F.ceil(F.count(F.lit(1)) / per).cast("int").alias("salts"), F.min(F.nullif(F.length("s_flat"), F.lit(0))).alias("shortest")
+    )
+    clients = held.join(per_client, "client_id")
+    frequency = (
+        texts.join(held.select("client_id"), "client_id", "left_semi")
+        .select(F.col("client_id").alias("t_client"), F.explode_outer(grams(F.col("s_flat"))).alias("gram"))
+        .groupBy("t_client", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    )
+    keyed = texts.join(clients, "client_id").select(
+        "client_id", "s_key", F.pmod("s_key", F.col("salts")).cast("int").alias("salt"),
+        F.explode_outer(text_keys(F.col("s_flat"), F.col("longest"), F.col("short"))).alias("key"),
+    )
+    around = F.length("key") == 4
+    rows = (
+        trigger_keys(triggers, frequency)
+        .join(per_client.withColumnRenamed("client_id", "t_client"), "t_client")
+        # a text can only lie inside a trigger that is as long
+        .filter(~around | (F.length(F.replace("t_text", F.lit(" "), F.lit(""))) >= F.col("shortest")))
+        .select("t_client", "t_text", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    )
+    pairs = keyed.withColumnRenamed("client_id", "t_client").join(rows, ["t_client", "salt", "key"])
+    return pairs.select("t_client", "t_text", F.col("s_key").alias("t_key")).join(triggers, ["t_client", "t_text"])
+
+
 def search_columns(description: Column, payee: Column) -> dict[str, Column]:
     """Search text of a row: cleaned description, description, payee (absent payee is empty)."""
     d, p = F.coalesce(description, F.lit("")), F.coalesce(payee, F.lit(""))
@@ -124,16 +221,31 @@ def rule_struct() -> Column:
     return F.struct("rule_pos", *RULE_FIELDS)
 
 
-def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per: int = TEXTS_PER_SALT) -> DataFrame:
+def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per: int = TEXTS_PER_SALT, indexed: bool = False) -> DataFrame:
     """Searches (client_id, search columns, optional `coded_unknown`) joined to the triggers they match.
 
-    The result keeps a `salt` column, which is a function of the search text and may be used in grouping.
+    The result keeps a `salt` column, which is a function of the search and may be used in grouping. With the index a
+    pair can come twice.
     """
     if "coded_unknown" not in searches.columns:
         searches = searches.withColumn("coded_unknown", F.lit(False))
     # derived from the finished text column, so the cleaning patterns run once per text
-    salts = client_salts(searches, per)
-    searches = with_salt(searches.select("*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat")), salts, "s_text")
+    searches = searches.select("*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat"))
+    triggers = trigger_table(rules)
+    if indexed:
+        # an empty text matches nothing; its other columns spread it
+        plain = [f.name for f in searches.schema if f.dataType.typeName() in ("string", "integer", "long")]
+        key = F.when(F.col("s_text") == "", F.xxhash64(*plain)).otherwise(F.xxhash64("s_text"))
+        searches = searches.withColumn("salt", key)
+        triggers = candidates(searches.withColumnRenamed("salt", "s_key"), triggers, per).withColumnRenamed("t_key", "t_salt")
+    else:
+        salts = client_salts(searches, per)
+        searches = with_salt(searches, salts, "s_text")
+        triggers = (
+            triggers.join(salts.withColumnRenamed("client_id", "t_client"), "t_client")
+            .withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            .drop("salts")
+        )
     condition = (
         (F.col("client_id") == F.col("t_client"))
         & (F.col("salt") == F.col("t_salt"))
@@ -141,15 +253,15 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per
         & ~(F.col("coded_unknown") & F.col("t_dropped_when_coded"))
         & matches()
     )
-    return searches.join(trigger_table(rules, salts), condition, how)
+    return searches.join(triggers, condition, how)
 
 
 def first_rule(texts: DataFrame, rules: DataFrame, keys: list[str], description: str = "description",
-               payee: str | None = "payee_name") -> DataFrame:
+               payee: str | None = "payee_name", indexed: bool = False) -> DataFrame:
     """First matching rule and trigger per distinct text; texts without a match keep null."""
     payee_col = F.col(payee) if payee else F.lit(None).cast("string")
     searches = texts.select("*", *[c.alias(n) for n, c in search_columns(F.col(description), payee_col).items()])
-    hits = join_triggers(searches, rules, "left")
+    hits = join_triggers(searches, rules, "left", indexed=indexed)
     best = F.min_by(
         F.struct(*RULE_FIELDS, F.col("rule_pos"), tx.strip(F.col("trigger")).alias("trigger")),
         F.when(F.col("rule_pos").isNotNull(), F.struct("rule_pos", "trigger_pos")),
@@ -158,11 +270,11 @@ def first_rule(texts: DataFrame, rules: DataFrame, keys: list[str], description:
 
 
 def all_rules(texts: DataFrame, rules: DataFrame, keys: list[str], description: str = "description",
-              payee: str | None = "payee_name") -> DataFrame:
+              payee: str | None = "payee_name", indexed: bool = False) -> DataFrame:
     """All matching rules per distinct text, once each, in rule order."""
     payee_col = F.col(payee) if payee else F.lit(None).cast("string")
     searches = texts.select("*", *[c.alias(n) for n, c in search_columns(F.col(description), payee_col).items()])
-    hits = join_triggers(searches, rules)
+    hits = join_triggers(searches, rules, indexed=indexed)
     return (
         hits.groupBy(*keys, "salt")
         .agg(F.array_sort(F.collect_set(rule_struct())).alias("rules"))

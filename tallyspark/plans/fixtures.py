@@ -144,6 +144,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM {lineitem}) l
   JOIN {part} ON l_partkey = p_partkey"""
 
+# a rule for every part and texts that name parts: triggers of a client grow with the data
+VIEWS["part_rules"] = """
+SELECT CAST(p_partkey % 25 AS INT) AS client_id, CAST(p_partkey AS INT) AS rule_pos, concat('P', CAST(p_partkey AS STRING)) AS rule_id,
+  split(concat(p_name, ' lot ', CAST(p_partkey AS STRING), ';', p_brand, ' ', CAST(p_partkey AS STRING)), ';') AS trigger_payee_contains,
+  CAST(p_partkey AS STRING) AS account_id, concat('Goods ', CAST(p_partkey AS STRING)) AS account_name, p_type AS category_type,
+  '' AS logic, CAST(NULL AS STRING) AS vendor_code, p_partkey % 9 = 0 AS ach_vendor_only
+FROM {part}"""
+VIEWS["part_text"] = """
+SELECT CAST(p_partkey % 25 AS INT) AS client_id,
+  CASE CAST(l_linenumber % 4 AS INT)
+    WHEN 0 THEN concat('Invoice ', CAST(l_linenumber AS STRING), ' ', p_name, ' lot ', CAST(p_partkey AS STRING))
+    WHEN 1 THEN concat('ACH DEBIT VENDOR PAYMENT ', p_brand, CAST(p_partkey AS STRING))
+    WHEN 2 THEN concat(p_name, ' ', CAST(p_partkey AS STRING), ' LOT')
+    ELSE CAST(p_partkey AS STRING) END AS description,
+  CASE WHEN l_returnflag = 'R' THEN p_type END AS payee_name
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+
 # ledger export as text, with signs, separators and blanks
 VIEWS["gl_raw"] = f"""
 SELECT row_pos, client_id,

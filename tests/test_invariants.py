@@ -79,7 +79,8 @@ def brute_match(search: str, trigger: str) -> bool:
     return any(conditions)
 
 
-def test_rule_predicate_against_brute_force(spark):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_rule_predicate_against_brute_force(spark, indexed):
     rng = random.Random(7)
     vocabulary = ["PILOT", "TRAVEL", "OF", "DEPOT", "AB", "MARKET", "PAY", "SHOPS", "LOVES", "X"]
     texts = sorted({" ".join(rng.choices(vocabulary, k=rng.randint(1, 4))) for _ in range(120)})
@@ -90,12 +91,43 @@ def test_rule_predicate_against_brute_force(spark):
     # one client holds every text; the search text is cleaned text + text, so the cleaned part is read back
     text_df = spark.createDataFrame([(1, t) for t in texts], "client_id int, description string")
     searched = {r.description: r.s for r in text_df.select("description", rules.search_columns(F.col("description"), F.lit(None).cast("string"))["s_text"].alias("s")).collect()}
-    got = {r.description: (r.rule_id, r.trigger) for r in rules.first_rule(text_df, rule_df, ["client_id", "description"], payee=None).select("description", "rule.rule_id", "rule.trigger").collect()}
+    got = {r.description: (r.rule_id, r.trigger) for r in rules.first_rule(text_df, rule_df, ["client_id", "description"], payee=None, indexed=indexed).select("description", "rule.rule_id", "rule.trigger").collect()}
     for t in texts:
         want = next(((f"r{p}", x.strip()) for p, ts in enumerate(triggers) for x in ts if brute_match(searched[t], x)), (None, None))
         assert got[t] == want, t
 
 
+def test_index_of_grams_loses_no_pair(spark):
+    """Every pair of the predicate is a candidate, over odd spaces, short texts and triggers of one to nine words."""
+    rng = random.Random(11)
+    letters = "ABCDE"
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(60)]
+    texts = sorted({"".join(w + rng.choice(["", " ", "  "]) for w in rng.choices(words, k=rng.randint(1, 9))).strip() for _ in range(400)} | {"", "A", "ABCD"})
+    triggers = sorted({" ".join(rng.choices(words, k=rng.choice([1, 1, 2, 2, 3, 4, 5, 6, 9])))[: rng.randint(1, 40)].strip() for _ in range(150)} - {""})
+    # words of a text hidden behind a trigger with one word exchanged, and texts inside a trigger
+    long = [" ".join(rng.sample([w for w in words if len(w) > 3], 6)) for _ in range(20)]
+    texts += [" ".join(t.split()[1:]) + " X" for t in long] + [t[3:12] for t in long]
+    triggers += long
+    rows = [(1, p, f"r{p}", [t], "", f"acc{p}", "Expense", "", None, False) for p, t in enumerate(triggers)]
+    schema = "client_id int, rule_pos int, rule_id string, trigger_payee_contains array<string>, account_id string, account_name string, category_type string, logic string, vendor_code string, ach_vendor_only boolean"
+    table = rules.trigger_table(spark.createDataFrame(rows, schema))
+    frame = spark.createDataFrame([(1, k, t, t.replace(" ", "")) for k, t in enumerate(texts)], "client_id int, s_key long, s_text string, s_flat string")
+    got = {(r.t_key, r.rule_pos) for r in rules.candidates(frame, table, per=50).select("t_key", "rule_pos").collect()}
+    want = {(k, p) for k, s in enumerate(texts) for p, t in enumerate(triggers) if brute_match(s, t)}
+    assert len(want) > 1000 and want <= got
+
+
+def test_index_of_grams_verifies_few_pairs(inputs):
+    """Pairs per text stay far below the triggers of its client."""
+    texts = inputs.part_text.select("client_id", "description").distinct()
+    searched = texts.select("client_id", rules.search_columns(F.col("description"), F.lit(None).cast("string"))["s_text"].alias("s_text"))
+    frame = searched.select("client_id", F.xxhash64("s_text").alias("s_key"), F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat"))
+    table = rules.trigger_table(inputs.part_rules)
+    every = frame.join(table, F.col("client_id") == F.col("t_client")).count()
+    met = rules.candidates(frame, table).select("t_client", "t_key", "rule_pos", "trigger_pos").distinct().count()
+    assert 0 < met * 3 < every
+
+
 @pytest.mark.parametrize("blocks", [(7, 5, 4), (1000, 1000, 1000), (1000, 3, 9)])
 def test_neighbours_against_brute_force(spark, blocks):
     rng = np.random.default_rng(3)
