@@ -19,12 +19,13 @@ from tallyspark.sources import writers
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over one table of a folder; the schema comes from the table."""
-    name = f"{table}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}").schema).option("pathGlobFilter", name)
+    """File stream over one table of a folder, which is a file or a folder of files; the schema comes from the table."""
+    path = f"{sf_dir.rstrip('/')}/{table}"
+    reader = spark.readStream.schema(spark.read.parquet(f"{path}.parquet").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(sf_dir)
+    # as a pattern: a stream takes a plain path for a folder
+    return reader.parquet(f"{path}.[p]arquet")
 
 
 def split_stream(rows: DataFrame, key: str, files: int) -> DataFrame:

@@ -198,3 +198,16 @@ def test_name_search_never_answers_with_the_own_row(spark):
     got = {r["query_id"]: (r["match_type"], r["category"]) for r in neighbours.name_search(queries, history, "search", 3, exclude_self=True).collect()}
     assert got == {1: ("exact", "old"), 2: ("exact", "new"), 3: ("similar", "new")}
     assert {r["query_id"]: r["category"] for r in neighbours.name_search(queries, history, "search", 3).collect()} == {1: "new", 2: "new", 3: "own"}
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_stream_over_a_table_of_one_file_or_of_many(spark, tmp_path, files):
+    rows = spark.range(40).withColumnRenamed("id", "vec_id")
+    target = str(tmp_path / "embeddings.parquet")
+    if files:
+        rows.repartition(files).write.parquet(target)
+    else:
+        rows.toPandas().to_parquet(target)
+    spark.range(7).write.parquet(str(tmp_path / "events.parquet"))
+    got = jobs.batch_sink(jobs.table_stream(spark, str(tmp_path), "embeddings"), spark)
+    assert sorted(r["vec_id"] for r in got.collect()) == list(range(40))
