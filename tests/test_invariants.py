@@ -253,3 +253,18 @@ def test_views_keep_all_rows(spark):
     assert i.bank_txn.count() == i.orders.count() and i.gl_entry.count() == i.lineitem.count() and i.ledger_vectors.count() == i.embeddings.count()
     assert i.check_register.count() == i.part.count() and i.client_loans.count() == i.orders.count()
     assert i.web_event.count() == i.events.count() and i.query_vectors.count() == i.embeddings.count()
+
+
+def test_neighbours_blocks_follow_the_length_of_the_vectors(spark, monkeypatch):
+    n, rng = 5000, np.random.default_rng(8)
+    v = rng.normal(size=(n, 4)).round(3)
+    rows = spark.createDataFrame([(1, k, [float(x) for x in v[k]]) for k in range(n)], "client_id int, vec_id long, embedding array<double>")
+    asked = rows.withColumnRenamed("vec_id", "txn_id")
+    whole, visits = nearest.search(asked, rows, 3, exclude_self=True)
+    # short vectors fit one task's memory: each query travels once, and so does each row for a block of queries
+    assert visits.count() == n
+    for name, values in {"QUERY_VALUES": 4 * 700, "CELL_VALUES": 4 * 500, "PART_VALUES": 4 * 900}.items():
+        monkeypatch.setattr(nearest, name, values)
+    parts, visits = nearest.search(asked, rows, 3, exclude_self=True)
+    assert visits.count() > n
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
