@@ -8,10 +8,10 @@ Both sides carry a salt: triggers (the small side) are repeated per salt, texts
 that holds a third of all texts is thereby spread over `salts` tasks when Spark does not broadcast the triggers;
 whether it does is left to the size statistics (`spark.sql.autoBroadcastJoinThreshold`, AQE).
 
-For clients with thousands of triggers, `indexed=True` gives the same rows by an index of grams (`candidates`): a text
+For clients with thousands of triggers, `indexed=True` gives the same rows by an index of grams (`verified`): a text
 meets only the triggers that share a key with it, found by an equi join on (client, salt, key) and verified by the
-predicate. Every form of the predicate forces a gram of the trigger into the text, so the index loses no pair. Keys travel
-with a hash of their text, not with the text.
+predicate. Every form of the predicate forces a key of the trigger into the text, so the index loses no pair. Keys travel
+with a hash of their text, not with the text, and pairs without the columns of their rule.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import codes, text as tx
+from tallyspark.session import materialise
 
 RULE_FIELDS = [
     "rule_id", "account_id", "account_name", "category_type", "vendor_code", "trigger_payee_contains",
 ]
 #: Distinct texts of a client that meet its rules in one part.
 TEXTS_PER_SALT = 20_000
+#: A gram that more texts of a client have gives way to a longer run; the length of that.
+COMMON_GRAM, LONG_GRAM = 256, 5
 
 
 def explode_triggers(rules: DataFrame) -> DataFrame:
@@ -73,10 +76,14 @@ def trigger_table(rules: DataFrame) -> DataFrame:
         (F.col("generic_only") & ~F.col("client_all_generic")).alias("t_dropped_when_coded"),
         F.posexplode("trigger_payee_contains").alias("trigger_pos", "trigger"),
     ).filter(t != "")
+    return with_trigger_forms(rows.withColumn("t_text", t))
+
+
+def with_trigger_forms(rows: DataFrame) -> DataFrame:
+    """Rows with the forms of `t_text` that the predicate uses."""
     words = F.filter(F.split(F.col("t_text"), r"\s+"), lambda w: F.length(w) > 2)
     return (
-        rows.withColumn("t_text", t)
-        .withColumn("t_flat", F.replace(F.col("t_text"), F.lit(" "), F.lit("")))
+        rows.withColumn("t_flat", F.replace(F.col("t_text"), F.lit(" "), F.lit("")))
         .withColumn("t_cut", F.expr("left(t_flat, length(t_flat) - 1)"))
         .withColumn("t_words", words)
         .withColumn("t_w1", F.get("t_words", F.lit(0)))
@@ -89,96 +96,127 @@ def grams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def trigger_keys(triggers: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Keys per (t_client, t_text); a text that the trigger matches has at least one of them (see `text_keys`).
+def trigger_keys(triggers: DataFrame, frequency: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Keys per (t_client, t_text) and the parts that their texts are met in; a text that the trigger matches has at least one of them (see `text_keys`).
 
-    - Two or more long words: each form of the predicate but "text inside trigger" needs words before the last one
-      in the text without spaces: all of them when the trigger is found as a whole, the first one when the text
-      begins with it or the trigger has two, and all but a fifth of the words by the 0.8 rule. So the rarest gram
-      of one word more than may be missing is enough, the first word among them if it has five letters.
+    - Two or more long words: each form of the predicate but "text begins with the first word" and "text inside trigger"
+      needs all words in the text without spaces but a fifth of them by the 0.8 rule; the last one may lack its last
+      character. So the rarest gram of one word more than may be missing is enough.
     - Otherwise a gram of the trigger without spaces, from five characters on without its last one.
+    - A gram that more than `COMMON_GRAM` texts have gives way to the run of `LONG_GRAM` characters around it, where its word has them.
+    - For a text that begins with the first word (five letters or more): `^` and the first five.
     - A trigger of one or two characters is its own key.
-    - For a text inside a trigger, every run of four characters: the text has its first four as a key.
+    - For a text inside a trigger, every run of four and of eight characters: the text has its first four as a key, from eight
+      characters on its first eight.
 
     `frequency` has the texts of a client that hold a gram (t_client, gram, texts); grams without a row are in none.
     """
     size, flat = F.size("t_words"), F.col("t_flat")
-
-    def form(text: Column, at: Column, needed: Column) -> Column:
-        return F.struct(text.alias("text"), at.alias("at"), needed.alias("needed"))
-
-    before_last = F.transform(
-        F.slice("t_words", F.lit(1), F.greatest(size - 1, F.lit(0))),
-        lambda w, k: form(w, k, (k == 0) & (F.length(w) >= 5)),
+    words = F.filter(
+        F.transform("t_words", lambda w, k: F.when(k == size - 1, F.left(w, F.length(w) - 1)).otherwise(w)), lambda w: F.length(w) >= 3
     )
     whole = F.when(F.length(flat) >= 5, F.col("t_cut")).otherwise(flat)
-    forms = F.when(size >= 2, before_last).otherwise(F.array(form(whole, F.lit(0), F.lit(True))))
     distinct = triggers.select("t_client", "t_text", "t_flat", "t_cut", "t_words").distinct()
     parts = distinct.select(
         "t_client", "t_text", F.when(size >= 2, F.floor(size / 5) + 1).otherwise(1).cast("int").alias("wanted"),
-        F.explode_outer(forms).alias("form"),
+        F.posexplode_outer(F.when(size >= 2, words).otherwise(F.array(whole))).alias("at", "form"),
     )
-    # one gram per form, then the rarest of the forms that are needed
-    rare = (
-        parts.select("t_client", "t_text", "wanted", "form.at", "form.needed", F.explode_outer(grams(F.col("form.text"))).alias("gram"))
+    # one gram per form, then the rarest of the forms
+    picked = (
+        parts.select("*", F.explode_outer(grams(F.col("form"))).alias("gram"))
         .join(frequency, ["t_client", "gram"], "left")
-        .groupBy("t_client", "t_text", "wanted", "at", "needed")
+        .groupBy("t_client", "t_text", "wanted", "at", "form")
         .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("g"))
         .groupBy("t_client", "t_text", "wanted")
-        .agg(F.sort_array(F.collect_list(F.struct((~F.col("needed")).alias("later"), "g.texts", "g.gram"))).alias("g"))
-        .select("t_client", "t_text", F.explode_outer(F.array_distinct(F.slice("g.gram", F.lit(1), F.col("wanted")))).alias("key"))
+        .agg(F.sort_array(F.collect_list(F.struct("g.texts", "g.gram", "form"))).alias("g"))
+        .select("t_client", "t_text", F.explode_outer(F.slice("g", F.lit(1), F.col("wanted"))).alias("g"))
+        .select("t_client", "t_text", "g.*")
     )
+    long = (F.col("texts") > COMMON_GRAM) & (F.length("form") >= LONG_GRAM)
+    start = F.least(F.instr(F.col("form"), F.col("gram")), F.length("form") - (LONG_GRAM - 1))
+    rare = picked.select(
+        "t_client", "t_text", F.when(long, F.substring(F.col("form"), start, F.lit(LONG_GRAM))).otherwise(F.col("gram")).alias("key"),
+        F.when(long, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("texts") / per))).cast("int").alias("salts"),
+    )
+    first = F.col("t_w1")
+    begins = triggers.filter((size >= 2) & (F.length(first) >= 5)).select("t_client", "t_text", F.concat(F.lit("^"), F.left(first, F.lit(5))).alias("key"))
     own = distinct.filter(F.length(flat) < 3).select("t_client", "t_text", flat.alias("key"))
-    around = distinct.filter(F.length(flat) >= 4).select("t_client", "t_text", F.explode_outer(grams(flat, 4)).alias("key"))
-    return rare.unionByName(own).unionByName(around)
+    around = distinct.filter(F.length(flat) >= 4).select(
+        "t_client", "t_text", F.explode_outer(F.concat(grams(flat, 4), F.when(F.length(flat) >= 8, grams(flat, 8)).otherwise(F.array().cast("array<string>")))).alias("key")
+    )
+    others = begins.unionByName(own).unionByName(around).withColumn("salts", F.lit(1))
+    return rare.unionByName(others).filter("key IS NOT NULL").distinct()
 
 
-def text_keys(flat: Column, longest: Column, short: Column) -> Column:
-    """Keys of a text without spaces: its grams; single characters and pairs where the client has triggers as short;
-    the first four characters where the client has a trigger as long as the text."""
-    none = F.array().cast("array<string>")
+def text_keys(flat: Column, held: dict[str, Column]) -> Column:
+    """Keys of a text without spaces, of the kinds that triggers of its client have (`held`): grams; longer ones; the five that
+    it begins with; single characters and pairs; where a trigger is as long as the text, its first four or eight characters."""
+    none, size = F.array().cast("array<string>"), F.length(flat)
+    inside = F.when(size < 8, F.array(F.left(flat, F.lit(4)))).otherwise(F.array(F.left(flat, F.lit(8))))
     return F.concat(
-        grams(flat),
-        F.when(short, F.concat(grams(flat, 1), grams(flat, 2))).otherwise(none),
-        F.when(F.length(flat).between(F.lit(4), longest), F.array(F.left(flat, F.lit(4)))).otherwise(none),
+        F.when(held["plain"], grams(flat)).otherwise(none),
+        F.when(held["long"], grams(flat, LONG_GRAM)).otherwise(none),
+        F.when(held["begins"] & (size >= 5), F.array(F.concat(F.lit("^"), F.left(flat, F.lit(5))))).otherwise(none),
+        F.when(held["short"], F.concat(grams(flat, 1), grams(flat, 2))).otherwise(none),
+        F.when(size.between(F.lit(4), held["longest"]), inside).otherwise(none),
     )
 
 
-def candidates(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
-    """Triggers by the texts that share a key with them: trigger columns, `t_key` (the text's `s_key`).
+def candidate_pairs(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Pairs (t_client, t_text, t_key) of triggers and texts that share a key; one that shares two keys comes twice.
 
-    `texts` has client_id, s_flat and s_key. A pair that shares two keys comes twice.
+    `texts` has client_id, s_flat and s_key. Texts of a key that many texts of a client have are met in parts of about `per`.
     """
     # filters by the cleaned text or on a generator's input would be pushed below `distinct` and repeat the cleaning for
     # every row: empty texts stay as one row without keys, and the generators are outer ones
     key = F.when(F.col("s_flat") != "", F.col("s_key"))
     texts = texts.filter("client_id IS NOT NULL").select("client_id", key.alias("s_key"), "s_flat").distinct()
-    held = triggers.groupBy(F.col("t_client").alias("client_id")).agg(
-        F.max(F.length("t_flat")).alias("longest"), F.bool_or(F.length("t_flat") < 3).alias("short")
-    )
-    per_client = texts.groupBy("client_id").agg(
-        F.ceil(F.count(F.lit(1)) / per).cast("int").alias("salts"), F.min(F.nullif(F.length("s_flat"), F.lit(0))).alias("shortest")
+    size = F.length("s_flat")
+    per_client = texts.groupBy(F.col("client_id").alias("t_client")).agg(
+        F.min(F.when(size >= 4, size)).alias("shortest"), F.min(F.when(size >= 8, size)).alias("shortest_long")
     )
-    clients = held.join(per_client, "client_id")
+    # map-side combine leaves a row for each gram of a client and task
     frequency = (
-        texts.join(held.select("client_id"), "client_id", "left_semi")
+        texts.join(triggers.select(F.col("t_client").alias("client_id")).distinct(), "client_id", "left_semi")
         .select(F.col("client_id").alias("t_client"), F.explode_outer(grams(F.col("s_flat"))).alias("gram"))
         .groupBy("t_client", "gram").agg(F.count(F.lit(1)).alias("texts"))
     )
-    keyed = texts.join(clients, "client_id").select(
-        "client_id", "s_key", F.pmod("s_key", F.col("salts")).cast("int").alias("salt"),
-        F.explode_outer(text_keys(F.col("s_flat"), F.col("longest"), F.col("short"))).alias("key"),
+    kind, flat_size = F.length("key"), F.length(F.replace("t_text", F.lit(" "), F.lit("")))
+    # a text can only lie inside a trigger that is as long
+    usable = F.when(kind == 4, flat_size >= F.col("shortest")).when(kind == 8, flat_size >= F.col("shortest_long")).otherwise(True)
+    rows = trigger_keys(triggers, frequency, per).join(per_client, "t_client").filter(usable).select("t_client", "t_text", "key", "salts")
+    # written: kinds and parts of the keys are needed before the keys are met
+    rows = materialise(rows, "trigger-keys")
+    held = rows.groupBy(F.col("t_client").alias("client_id")).agg(
+        F.bool_or(kind == 3).alias("plain"), F.bool_or(kind == LONG_GRAM).alias("long"), F.bool_or(kind == 6).alias("begins"),
+        F.bool_or(kind < 3).alias("short"), F.max(F.when((kind == 4) | (kind == 8), flat_size)).alias("longest"),
+        # of the rarest grams hardly any is this frequent
+        F.map_from_entries(F.collect_set(F.when(F.col("salts") > 1, F.struct("key", "salts")))).alias("parts"),
     )
-    around = F.length("key") == 4
-    rows = (
-        trigger_keys(triggers, frequency)
-        .join(per_client.withColumnRenamed("client_id", "t_client"), "t_client")
-        # a text can only lie inside a trigger that is as long
-        .filter(~around | (F.length(F.replace("t_text", F.lit(" "), F.lit(""))) >= F.col("shortest")))
-        .select("t_client", "t_text", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    spread = F.pmod("s_key", F.coalesce(F.col("parts")[F.col("key")], F.lit(1))).cast("int")
+    keyed = (
+        texts.join(held, "client_id")
+        .select("client_id", "s_key", "parts", F.explode_outer(text_keys(F.col("s_flat"), {n: F.col(n) for n in ("plain", "long", "begins", "short", "longest")})).alias("key"))
+        .select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), "key", spread.alias("salt"))
     )
-    pairs = keyed.withColumnRenamed("client_id", "t_client").join(rows, ["t_client", "salt", "key"])
-    return pairs.select("t_client", "t_text", F.col("s_key").alias("t_key")).join(triggers, ["t_client", "t_text"])
+    rows = rows.select("t_client", "t_text", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return keyed.join(rows, ["t_client", "salt", "key"]).select("t_client", "t_text", "t_key")
+
+
+def candidates(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Triggers by the texts that share a key with them: trigger columns, `t_key` (the text's `s_key`)."""
+    return candidate_pairs(texts, triggers, per).join(triggers, ["t_client", "t_text"])
+
+
+def verified(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Triggers by the texts that they match, once each: trigger columns, `t_key`. `texts` also has s_text.
+
+    Pairs travel with the two texts alone; the other columns join those that the predicate keeps.
+    """
+    known = texts.select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), "s_text", "s_flat").distinct()
+    pairs = candidate_pairs(texts, triggers, per).join(known, ["t_client", "t_key"])
+    met = with_trigger_forms(pairs).filter(matches()).select("t_client", "t_text", "t_key").distinct()
+    return met.join(triggers, ["t_client", "t_text"])
 
 
 def search_columns(description: Column, payee: Column) -> dict[str, Column]:
@@ -224,8 +262,7 @@ def rule_struct() -> Column:
 def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per: int = TEXTS_PER_SALT, indexed: bool = False) -> DataFrame:
     """Searches (client_id, search columns, optional `coded_unknown`) joined to the triggers they match.
 
-    The result keeps a `salt` column, which is a function of the search and may be used in grouping. With the index a
-    pair can come twice.
+    The result keeps a `salt` column, which is a function of the search and may be used in grouping.
     """
     if "coded_unknown" not in searches.columns:
         searches = searches.withColumn("coded_unknown", F.lit(False))
@@ -237,7 +274,7 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per
         plain = [f.name for f in searches.schema if f.dataType.typeName() in ("string", "integer", "long")]
         key = F.when(F.col("s_text") == "", F.xxhash64(*plain)).otherwise(F.xxhash64("s_text"))
         searches = searches.withColumn("salt", key)
-        triggers = candidates(searches.withColumnRenamed("salt", "s_key"), triggers, per).withColumnRenamed("t_key", "t_salt")
+        triggers = verified(searches.withColumnRenamed("salt", "s_key"), triggers, per).withColumnRenamed("t_key", "t_salt")
     else:
         salts = client_salts(searches, per)
         searches = with_salt(searches, salts, "s_text")

@@ -117,6 +117,32 @@ def test_index_of_grams_loses_no_pair(spark):
     assert len(want) > 1000 and want <= got
 
 
+def test_index_keys_of_common_words_lose_no_pair(spark, monkeypatch):
+    """Longer runs for common grams, texts that begin with a trigger's word, and texts of a common key in parts."""
+    monkeypatch.setattr(rules, "COMMON_GRAM", 3)
+    rng = random.Random(5)
+    words = ["PAYMENT", "VENDOR", "SMALL", "BOLT", "LOT", "AB", "X"]
+    texts = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4)) + [str(rng.randint(9990, 10060))]) for _ in range(300)} | {"VENDOR", "BOLT", "LLBOLTLO", "NT 1000"})
+    triggers = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3)) + [str(rng.randint(999, 10060))]) for _ in range(80)} | {"BOLT", "AB", "PAYMENT"})
+    schema = "client_id int, rule_pos int, rule_id string, trigger_payee_contains array<string>, account_id string, account_name string, category_type string, logic string, vendor_code string, ach_vendor_only boolean"
+    table = rules.trigger_table(spark.createDataFrame([(1, p, f"r{p}", [t], "", f"acc{p}", "Expense", "", None, False) for p, t in enumerate(triggers)], schema))
+    frame = spark.createDataFrame([(1, k, t, t.replace(" ", "")) for k, t in enumerate(texts)], "client_id int, s_key long, s_text string, s_flat string")
+    got = [(r.t_key, r.rule_pos) for r in rules.verified(frame, table, per=20).select("t_key", "rule_pos").collect()]
+    want = {(k, p) for k, s in enumerate(texts) for p, t in enumerate(triggers) if brute_match(s, t)}
+    assert len(want) > 500 and sorted(got) == sorted(want)
+
+
+def test_index_of_grams_meets_hardly_more_than_matches(inputs):
+    """Texts and triggers that share a common word alone are no pair."""
+    frame = inputs.part_text.select("client_id", "description").distinct()
+    frame = frame.select("client_id", rules.search_columns(F.col("description"), F.lit(None).cast("string"))["s_text"].alias("s_text")).select(
+        "client_id", "s_text", F.xxhash64("s_text").alias("s_key"), F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat")
+    )
+    table = rules.trigger_table(inputs.part_rules)
+    met, matched = (f(frame, table).select("t_client", "t_key", "rule_pos", "trigger_pos").distinct().count() for f in (rules.candidates, rules.verified))
+    assert 0 < matched and met < 2 * matched, (met, matched)
+
+
 def test_index_of_grams_verifies_few_pairs(inputs):
     """Pairs per text stay far below the triggers of its client."""
     texts = inputs.part_text.select("client_id", "description").distinct()
