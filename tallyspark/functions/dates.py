@@ -15,19 +15,26 @@ def _try(c: Column, pattern: str, fmt: str) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """First of the five accepted formats that fits; two-digit years 69-99 mean 1969-1999."""
+    """First of the five accepted formats (`K.DATE_FORMATS`) that fits; two-digit years 69-99 mean 1969-1999.
+
+    The parts are put in ISO order and cast, which costs a fraction of a parser that is given a pattern.
+    """
     s = strip(c)
-    guards = [
-        r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}-\d{1,2}-\d{1,2}$",
-        r"^\d{1,2}/\d{1,2}/\d{2}$", r"^\d{1,2}/\d{1,2}/\d{2}$",
-    ]
-    parsed = F.coalesce(*[_try(s, g, f) for g, f in zip(guards, K.DATE_FORMATS)])
-    return F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
+    a, b, year = F.substring_index(s, "/", 1), F.substring_index(F.substring_index(s, "/", 2), "/", -1), F.substring_index(s, "/", -1)
+
+    def day(year: Column, month: Column, day: Column) -> Column:
+        return F.concat_ws("-", year, month, day).try_cast("date")
+
+    century = F.when(F.length(year) == 4, "").when(year >= "69", "19").otherwise("20")
+    full = F.concat(century, year)
+    return F.when(s.rlike(r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$"), F.coalesce(day(full, a, b), day(full, b, a))).when(
+        s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s.try_cast("date")
+    )
 
 
 def iso_or_text(c: Column) -> Column:
     """ISO text of a readable date, else the trimmed text."""
-    return F.coalesce(F.date_format(parse_date(c), "yyyy-MM-dd"), F.nullif(strip(c), F.lit("")))
+    return F.coalesce(parse_date(c).cast("string"), F.nullif(strip(c), F.lit("")))
 
 
 def parse_long_date(c: Column) -> Column:

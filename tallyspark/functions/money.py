@@ -13,12 +13,12 @@ MONEY = "decimal(18,2)"
 
 def lenient_amount(c: Column) -> Column:
     """Number without `,` and `$`; blank or unreadable text gives null."""
-    return F.regexp_replace(c, "[,$]", "").try_cast(MONEY)
+    return F.translate(c, ",$", "").try_cast(MONEY)
 
 
 def ledger_amount(c: Column) -> Column:
     """Ledger number; parentheses are dropped and do not negate; unreadable text is zero."""
-    return F.coalesce(F.regexp_replace(c, r"[,$()]", "").try_cast(MONEY), F.lit(0).cast(MONEY))
+    return F.coalesce(F.translate(c, ",$()", "").try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def accounting_amount(c: Column) -> Column:

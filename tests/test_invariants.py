@@ -294,3 +294,21 @@ def test_neighbours_blocks_follow_the_length_of_the_vectors(spark, monkeypatch):
     parts, visits = nearest.search(asked, rows, 3, exclude_self=True)
     assert visits.count() > n
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_dates_and_amounts_of_ledgers(spark):
+    from tallyspark.functions import dates, money, text as tx
+
+    texts = {
+        " 1/2/2024\t": "2024-01-02", "13/2/2024": "2024-02-13", "2/30/2024": None, "2024-2-9": "2024-02-09", "2023-02-29": None, "1/2/68": "2068-01-02", "1/2/69": "1969-01-02",
+        "29/2/72": "1972-02-29", "12/31/2075": "2075-12-31", "2080-01-05": "2080-01-05", "1/2/024": None, "1-2-2024": None, "Q1": None, "": None, None: None,
+    }
+    frame = spark.createDataFrame([(k, v) for k, v in texts.items()], "t string, want string")
+    got = frame.select("t", "want", dates.parse_date(F.col("t")).cast("string").alias("got"), dates.iso_or_text(F.col("t")).alias("iso"), tx.strip(F.col("t")).alias("bare")).collect()
+    for r in got:
+        assert r.got == r.want and r.iso == (r.want or r.bare or None), r
+    amounts = {"($1,234.50)": "1234.50", "$-5": "-5.00", "x": "0.00", "": "0.00", None: "0.00", " 7 ": "7.00"}
+    rows = spark.createDataFrame([(k, v) for k, v in amounts.items()], "t string, want string")
+    assert all(r.got == r.want for r in rows.select("want", money.ledger_amount(F.col("t")).cast("string").alias("got")).collect())
+    plan = frame.select(dates.iso_or_text(F.col("t")), tx.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "gettimestamp" not in plan  # patterns cost most of a row's time
