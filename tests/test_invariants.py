@@ -296,6 +296,16 @@ def test_neighbours_blocks_follow_the_length_of_the_vectors(spark, monkeypatch):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def test_rows_of_small_cells_travel_to_few_blocks(spark, monkeypatch):
+    """What a part leaves free is room for queries: 1,000 queries meet 300 rows in two blocks, not in ten."""
+    rng = np.random.default_rng(9)
+    frames = [spark.createDataFrame([(1, k, [float(x) for x in rng.normal(size=3)]) for k in range(n)], f"client_id int, {key} long, embedding array<double>") for n, key in ((1000, "txn_id"), (300, "vec_id"))]
+    sent, grouped = [], nearest._cogroup
+    monkeypatch.setattr(nearest, "_cogroup", lambda left, right, *how: (sent.append((left.count(), right.count())), grouped(left, right, *how))[1])
+    found = nearest.top_k(*frames, 2, query_block=100, corpus_block=1000)
+    assert found.count() == 2000 and sent == [(1000, 600)], sent
+
+
 def test_dates_and_amounts_of_ledgers(spark):
     from tallyspark.functions import dates, money, text as tx
 
