@@ -306,6 +306,14 @@ def test_rows_of_small_cells_travel_to_few_blocks(spark, monkeypatch):
     assert found.count() == 2000 and sent == [(1000, 600)], sent
 
 
+def test_name_search_reads_its_tables_once(inputs):
+    """The result stands on written facts, not on the tables again (which Spark would collect for one more broadcast)."""
+    from tallyspark.catalog import load
+
+    out = load()["j20_name_search"].build(inputs)
+    assert out.count() > 0 and not [f for f in out.inputFiles() if "/sf0.001/" in f]
+
+
 def test_dates_and_amounts_of_ledgers(spark):
     from tallyspark.functions import dates, money, text as tx
 
