@@ -11,7 +11,8 @@ whether it does is left to the size statistics (`spark.sql.autoBroadcastJoinThre
 For clients with thousands of triggers, `indexed=True` gives the same rows by an index of grams (`verified`): a text
 meets only the triggers that share a key with it, found by an equi join on (client, salt, key) and verified by the
 predicate. Every form of the predicate forces a key of the trigger into the text, so the index loses no pair. Keys travel
-with a hash of their text, not with the text, and pairs without the columns of their rule.
+with a hash of their text, not with the text, and pairs without the columns of their rule. The one form that common words
+alone satisfy, a text that begins with a trigger's first word, is decided per word and not per pair.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ RULE_FIELDS = [
 ]
 #: Distinct texts of a client that meet its rules in one part.
 TEXTS_PER_SALT = 20_000
-#: A gram that more texts of a client have gives way to a longer run; the length of that.
-COMMON_GRAM, LONG_GRAM = 256, 5
+#: A gram that more texts of a client have gives way to a longer run, one that so many times as many have to the longest; their lengths.
+COMMON_GRAM, MORE_COMMON, LONG_GRAM, LONGEST_GRAM = 16, 64, 5, 7
 
 
 def explode_triggers(rules: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def trigger_table(rules: DataFrame) -> DataFrame:
 
 def with_trigger_forms(rows: DataFrame) -> DataFrame:
     """Rows with the forms of `t_text` that the predicate uses."""
-    words = F.filter(F.split(F.col("t_text"), r"\s+"), lambda w: F.length(w) > 2)
+    # split at single blanks, which needs no pattern: this runs for each pair that is verified
+    words = F.filter(F.split(F.translate("t_text", "\t\n\x0b\f\r", " " * 5), " "), lambda w: F.length(w) > 2)
     return (
         rows.withColumn("t_flat", F.replace(F.col("t_text"), F.lit(" "), F.lit("")))
         .withColumn("t_cut", F.expr("left(t_flat, length(t_flat) - 1)"))
@@ -93,112 +95,140 @@ def with_trigger_forms(rows: DataFrame) -> DataFrame:
 
 def grams(text: Column, n: int = 3) -> Column:
     """Distinct runs of n characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.array_distinct(runs(text, n))
 
 
-def trigger_keys(triggers: DataFrame, frequency: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
-    """Keys per (t_client, t_text) and the parts that their texts are met in; a text that the trigger matches has at least one of them (see `text_keys`).
+def runs(text: Column, n: int) -> Column:
+    """Every run of n characters, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def trigger_keys(triggers: DataFrame, frequency: DataFrame, begins: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Keys per (t_client, t_text), with the `probe` that leads texts to them and the parts that their texts are met in; a text
+    that the trigger matches has at least one of them (see `text_keys`).
 
     - Two or more long words: each form of the predicate but "text begins with the first word" and "text inside trigger"
       needs all words in the text without spaces but a fifth of them by the 0.8 rule; the last one may lack its last
       character. So the rarest gram of one word more than may be missing is enough.
     - Otherwise a gram of the trigger without spaces, from five characters on without its last one.
-    - A gram that more than `COMMON_GRAM` texts have gives way to the run of `LONG_GRAM` characters around it, where its word has them.
-    - For a text that begins with the first word (five letters or more): `^` and the first five.
+    - A gram that more than `COMMON_GRAM` texts have gives way to a run of five characters around it, one that `MORE_COMMON`
+      times as many have to one of seven, where its word is as long.
+    - For a text that begins with the first word (five letters or more): `^` and the first five, for the triggers in `begins`.
     - A trigger of one or two characters is its own key.
-    - For a text inside a trigger, every run of four and of eight characters: the text has its first four as a key, from eight
-      characters on its first eight.
+    - For a text inside a trigger, `<` and a run of four or eight characters that texts begin with: the text has its first
+      four as a key, from eight characters on its first eight.
 
-    `frequency` has the texts of a client that hold a gram (t_client, gram, texts); grams without a row are in none.
+    `frequency`: see `gram_frequency`; grams without a row are in no text.
     """
+    distinct = with_trigger_forms(triggers.select("t_client", "t_text").distinct())
     size, flat = F.size("t_words"), F.col("t_flat")
     words = F.filter(
         F.transform("t_words", lambda w, k: F.when(k == size - 1, F.left(w, F.length(w) - 1)).otherwise(w)), lambda w: F.length(w) >= 3
     )
     whole = F.when(F.length(flat) >= 5, F.col("t_cut")).otherwise(flat)
-    distinct = triggers.select("t_client", "t_text", "t_flat", "t_cut", "t_words").distinct()
     parts = distinct.select(
         "t_client", "t_text", F.when(size >= 2, F.floor(size / 5) + 1).otherwise(1).cast("int").alias("wanted"),
         F.posexplode_outer(F.when(size >= 2, words).otherwise(F.array(whole))).alias("at", "form"),
     )
     # one gram per form, then the rarest of the forms
     picked = (
-        parts.select("*", F.explode_outer(grams(F.col("form"))).alias("gram"))
-        .join(frequency, ["t_client", "gram"], "left")
+        parts.select("*", F.posexplode_outer(runs(F.col("form"), 3)).alias("start", "gram"))
+        .join(frequency.select("t_client", "gram", "texts"), ["t_client", "gram"], "left")
         .groupBy("t_client", "t_text", "wanted", "at", "form")
-        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("g"))
+        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram", "start")).alias("g"))
         .groupBy("t_client", "t_text", "wanted")
-        .agg(F.sort_array(F.collect_list(F.struct("g.texts", "g.gram", "form"))).alias("g"))
+        .agg(F.sort_array(F.collect_list(F.struct("g.texts", "g.gram", "g.start", "form"))).alias("g"))
         .select("t_client", "t_text", F.explode_outer(F.slice("g", F.lit(1), F.col("wanted"))).alias("g"))
         .select("t_client", "t_text", "g.*")
     )
-    long = (F.col("texts") > COMMON_GRAM) & (F.length("form") >= LONG_GRAM)
-    start = F.least(F.instr(F.col("form"), F.col("gram")), F.length("form") - (LONG_GRAM - 1))
-    rare = picked.select(
-        "t_client", "t_text", F.when(long, F.substring(F.col("form"), start, F.lit(LONG_GRAM))).otherwise(F.col("gram")).alias("key"),
-        F.when(long, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("texts") / per))).cast("int").alias("salts"),
+    length = F.when(F.col("texts") <= COMMON_GRAM, 3).when(F.col("texts") <= MORE_COMMON * COMMON_GRAM, LONG_GRAM).otherwise(LONGEST_GRAM)
+    # the run holds the rarest gram and lies in the form; what it begins with leads to it
+    start = F.greatest(F.lit(0), F.least(F.col("start"), F.length("form") - length))
+    rare = (
+        picked.filter("gram IS NOT NULL").withColumn("key", F.substring(F.col("form"), start + 1, length))
+        .select("t_client", "t_text", "key", F.left("key", F.lit(3)).alias("probe"), F.ceil(F.col("texts") / per).alias("salts"))
     )
-    first = F.col("t_w1")
-    begins = triggers.filter((size >= 2) & (F.length(first) >= 5)).select("t_client", "t_text", F.concat(F.lit("^"), F.left(first, F.lit(5))).alias("key"))
-    own = distinct.filter(F.length(flat) < 3).select("t_client", "t_text", flat.alias("key"))
-    around = distinct.filter(F.length(flat) >= 4).select(
-        "t_client", "t_text", F.explode_outer(F.concat(grams(flat, 4), F.when(F.length(flat) >= 8, grams(flat, 8)).otherwise(F.array().cast("array<string>")))).alias("key")
+    first = begins.filter((F.size("t_words") >= 2) & (F.length("t_w1") >= 5)).select(
+        "t_client", "t_text", F.concat(F.lit("^"), F.left(F.col("t_w1"), F.lit(5))).alias("key"), F.lit("^").alias("probe")
     )
-    others = begins.unionByName(own).unionByName(around).withColumn("salts", F.lit(1))
-    return rare.unionByName(others).filter("key IS NOT NULL").distinct()
-
-
-def text_keys(flat: Column, held: dict[str, Column]) -> Column:
-    """Keys of a text without spaces, of the kinds that triggers of its client have (`held`): grams; longer ones; the five that
-    it begins with; single characters and pairs; where a trigger is as long as the text, its first four or eight characters."""
-    none, size = F.array().cast("array<string>"), F.length(flat)
-    inside = F.when(size < 8, F.array(F.left(flat, F.lit(4)))).otherwise(F.array(F.left(flat, F.lit(8))))
-    return F.concat(
-        F.when(held["plain"], grams(flat)).otherwise(none),
-        F.when(held["long"], grams(flat, LONG_GRAM)).otherwise(none),
-        F.when(held["begins"] & (size >= 5), F.array(F.concat(F.lit("^"), F.left(flat, F.lit(5))))).otherwise(none),
-        F.when(held["short"], F.concat(grams(flat, 1), grams(flat, 2))).otherwise(none),
-        F.when(size.between(F.lit(4), held["longest"]), inside).otherwise(none),
+    own = distinct.filter(F.length(flat) < 3).select("t_client", "t_text", flat.alias("key"), F.length(flat).cast("string").alias("probe"))
+    run = F.explode_outer(F.concat(grams(flat, 4), F.when(F.length(flat) >= 8, grams(flat, 8)).otherwise(F.array().cast("array<string>"))))
+    around = (
+        distinct.filter(F.length(flat) >= 4).select("t_client", "t_text", F.length(flat).alias("size"), run.alias("run"))
+        .withColumn("gram", F.concat(F.lit("<"), F.when(F.length("run") == 4, F.col("run")).otherwise(F.left(F.col("run"), F.lit(3)))))
+        .join(frequency.select("t_client", "gram", "shortest"), ["t_client", "gram"])
+        .filter(F.col("size") >= F.col("shortest"))  # a text can only lie inside a trigger that is as long
+        .select("t_client", "t_text", F.concat(F.lit("<"), F.col("run")).alias("key"), F.lit("<").alias("probe"))
+    )
+    # only a key of three characters can be as frequent as its gram
+    salts = F.when((F.length("key") == 3) & (F.length("probe") == 3), F.greatest(F.lit(1), F.col("salts"))).otherwise(1).cast("int")
+    others = first.unionByName(own).unionByName(around).withColumn("salts", F.lit(1).cast("long"))
+    return rare.unionByName(others).withColumn("salts", salts)
+
+
+def gram_frequency(texts: DataFrame) -> DataFrame:
+    """t_client, gram, texts (that hold it) and their shortest length: for every gram of a client's texts, and with a `<` for
+    what texts begin with: four characters of those under eight, three of the longer ones."""
+    flat, size = F.col("s_flat"), F.length("s_flat")
+    head = F.when(size >= 8, F.array(F.concat(F.lit("<"), F.left(flat, F.lit(3))))).when(
+        size >= 4, F.array(F.concat(F.lit("<"), F.left(flat, F.lit(4))))
+    ).otherwise(F.array().cast("array<string>"))
+    # map-side combine leaves a row for each gram of a client and task
+    return (
+        texts.select(F.col("client_id").alias("t_client"), size.alias("size"), F.explode_outer(F.concat(grams(flat), head)).alias("gram"))
+        .groupBy("t_client", "gram").agg(F.count(F.lit(1)).alias("texts"), F.min("size").alias("shortest"))
     )
 
 
-def candidate_pairs(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
-    """Pairs (t_client, t_text, t_key) of triggers and texts that share a key; one that shares two keys comes twice.
+def text_keys(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """t_client, t_key, key, salt: keys of texts without spaces, of the kinds that triggers of their client have.
 
-    `texts` has client_id, s_flat and s_key. Texts of a key that many texts of a client have are met in parts of about `per`.
+    `probes` has (t_client, probe, lengths of its keys and their parts, longest trigger). A gram of a text leads to the runs
+    that begin with it, of the lengths in use; `^` to the five characters that the text begins with; `<` to its first four
+    or eight; `1` and `2` to its single characters and pairs. So runs that no trigger asks for are not dealt out.
     """
-    # filters by the cleaned text or on a generator's input would be pushed below `distinct` and repeat the cleaning for
-    # every row: empty texts stay as one row without keys, and the generators are outer ones
-    key = F.when(F.col("s_flat") != "", F.col("s_key"))
-    texts = texts.filter("client_id IS NOT NULL").select("client_id", key.alias("s_key"), "s_flat").distinct()
-    size = F.length("s_flat")
-    per_client = texts.groupBy(F.col("client_id").alias("t_client")).agg(
-        F.min(F.when(size >= 4, size)).alias("shortest"), F.min(F.when(size >= 8, size)).alias("shortest_long")
+    flat, size = F.col("s_flat"), F.length("s_flat")
+    # runs have seven characters (spaces fill the last ones), the other two never
+    found = F.concat(
+        runs(F.concat(flat, F.lit(" " * (LONGEST_GRAM - 3))), LONGEST_GRAM),
+        F.array(F.concat(F.lit("^"), F.left(flat, F.lit(5))), F.concat(F.lit("<"), F.left(flat, F.when(size < 8, 4).otherwise(8)))),
     )
-    # map-side combine leaves a row for each gram of a client and task
-    frequency = (
-        texts.join(triggers.select(F.col("t_client").alias("client_id")).distinct(), "client_id", "left_semi")
-        .select(F.col("client_id").alias("t_client"), F.explode_outer(grams(F.col("s_flat"))).alias("gram"))
-        .groupBy("t_client", "gram").agg(F.count(F.lit(1)).alias("texts"))
+    is_run = F.length("run") == LONGEST_GRAM
+    key = F.when(is_run, F.left(F.col("run"), F.col("k.size"))).otherwise(F.col("run"))
+    many = (
+        texts.select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), size.alias("size"), F.explode_outer(F.array_distinct(found)).alias("run"))
+        .withColumn("probe", F.when(is_run, F.left(F.col("run"), F.lit(3))).otherwise(F.left(F.col("run"), F.lit(1))))
+        .join(probes, ["t_client", "probe"])
+        .filter((F.col("probe") != "<") | (F.col("size") <= F.col("longest")))
+        .select("t_client", "t_key", "run", F.explode("lengths").alias("k"))
+        .select("t_client", "t_key", key.alias("key"), F.pmod("t_key", "k.salts").cast("int").alias("salt"))
+        .filter(~F.contains("key", F.lit(" ")))
     )
-    kind, flat_size = F.length("key"), F.length(F.replace("t_text", F.lit(" "), F.lit("")))
-    # a text can only lie inside a trigger that is as long
-    usable = F.when(kind == 4, flat_size >= F.col("shortest")).when(kind == 8, flat_size >= F.col("shortest_long")).otherwise(True)
-    rows = trigger_keys(triggers, frequency, per).join(per_client, "t_client").filter(usable).select("t_client", "t_text", "key", "salts")
-    # written: kinds and parts of the keys are needed before the keys are met
-    rows = materialise(rows, "trigger-keys")
-    held = rows.groupBy(F.col("t_client").alias("client_id")).agg(
-        F.bool_or(kind == 3).alias("plain"), F.bool_or(kind == LONG_GRAM).alias("long"), F.bool_or(kind == 6).alias("begins"),
-        F.bool_or(kind < 3).alias("short"), F.max(F.when((kind == 4) | (kind == 8), flat_size)).alias("longest"),
-        # of the rarest grams hardly any is this frequent
-        F.map_from_entries(F.collect_set(F.when(F.col("salts") > 1, F.struct("key", "salts")))).alias("parts"),
+    short = probes.filter(F.col("probe").isin("1", "2")).select(F.col("t_client").alias("client_id")).distinct()
+    few = texts.join(short, "client_id").select(
+        F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), F.explode_outer(F.concat(grams(flat, 1), grams(flat, 2))).alias("key"), F.lit(0).alias("salt")
     )
-    spread = F.pmod("s_key", F.coalesce(F.col("parts")[F.col("key")], F.lit(1))).cast("int")
-    keyed = (
-        texts.join(held, "client_id")
-        .select("client_id", "s_key", "parts", F.explode_outer(text_keys(F.col("s_flat"), {n: F.col(n) for n in ("plain", "long", "begins", "short", "longest")})).alias("key"))
-        .select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), "key", spread.alias("salt"))
+    return many.unionByName(few)
+
+
+def candidate_pairs(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT, begins: DataFrame | None = None) -> DataFrame:
+    """Pairs (t_client, t_text, t_key) of triggers and texts that share a key; one that shares two keys comes twice.
+
+    `texts` has client_id, s_flat and s_key. Texts of a key that many texts of a client have are met in parts of about `per`.
+    `begins`: the triggers that texts are to meet by their beginning, if not all.
+    """
+    # filters on a generator's input would repeat the cleaning for every row: the generators are outer ones
+    texts = texts.filter("client_id IS NOT NULL").select("client_id", "s_key", "s_flat")
+    # written: grams, keys and what leads to them are small or needed whole before the texts are dealt out, and known to be
+    # small they reach the texts where they are
+    frequency = materialise(gram_frequency(texts), "gram-frequency")
+    rows = materialise(trigger_keys(triggers, frequency, triggers if begins is None else begins, per).distinct(), "trigger-keys")
+    probes = rows.groupBy("t_client", "probe").agg(
+        F.collect_set(F.struct(F.length("key").alias("size"), "salts")).alias("lengths"),
+        F.max(F.length(F.replace("t_text", F.lit(" "), F.lit("")))).alias("longest"),
     )
+    probes = probes.withColumn("lengths", F.when(F.length("probe") == 3, F.col("lengths")).otherwise(F.slice("lengths", 1, 1)))
+    keyed = text_keys(texts, materialise(probes, "trigger-probes"))
     rows = rows.select("t_client", "t_text", "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return keyed.join(rows, ["t_client", "salt", "key"]).select("t_client", "t_text", "t_key")
 
@@ -208,15 +238,20 @@ def candidates(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT)
     return candidate_pairs(texts, triggers, per).join(triggers, ["t_client", "t_text"])
 
 
-def verified(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
-    """Triggers by the texts that they match, once each: trigger columns, `t_key`. `texts` also has s_text.
+def matching_pairs(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT, begins: DataFrame | None = None) -> DataFrame:
+    """Pairs (t_client, t_text, t_key) that the predicate keeps; one may come twice. `texts` also has s_text.
 
-    Pairs travel with the two texts alone; the other columns join those that the predicate keeps.
+    Pairs travel with the two texts alone. With `begins`, pairs by the beginning of the text are those of its triggers.
     """
-    known = texts.select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), "s_text", "s_flat").distinct()
-    pairs = candidate_pairs(texts, triggers, per).join(known, ["t_client", "t_key"])
-    met = with_trigger_forms(pairs).filter(matches()).select("t_client", "t_text", "t_key").distinct()
-    return met.join(triggers, ["t_client", "t_text"])
+    known = texts.select(F.col("client_id").alias("t_client"), F.col("s_key").alias("t_key"), "s_text").dropDuplicates(["t_client", "t_key"])
+    pairs = candidate_pairs(texts, triggers, per, begins).join(known, ["t_client", "t_key"])
+    pairs = pairs.withColumn("s_flat", F.replace("s_text", F.lit(" "), F.lit("")))
+    return with_trigger_forms(pairs).filter(matches()).select("t_client", "t_text", "t_key")
+
+
+def verified(texts: DataFrame, triggers: DataFrame, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """Triggers by the texts that they match, once each: trigger columns, `t_key`. `texts` also has s_text."""
+    return matching_pairs(texts, triggers, per).distinct().join(triggers, ["t_client", "t_text"])
 
 
 def search_columns(description: Column, payee: Column) -> dict[str, Column]:
@@ -259,6 +294,30 @@ def rule_struct() -> Column:
     return F.struct("rule_pos", *RULE_FIELDS)
 
 
+def allowed() -> Column:
+    """Whether a search meets a trigger at all."""
+    return (~F.col("t_ach_only") | F.col("s_ach")) & ~(F.col("coded_unknown") & F.col("t_dropped_when_coded"))
+
+
+def indexed_tables(searches: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Searches with their key as `salt`, and triggers, written once: both are read several times by the index."""
+    if "coded_unknown" not in searches.columns:
+        searches = searches.withColumn("coded_unknown", F.lit(False))
+    # an empty text matches nothing; its other columns spread it
+    plain = [f.name for f in searches.schema if f.dataType.typeName() in ("string", "integer", "long")]
+    key = F.when(F.col("s_text") == "", F.xxhash64(*plain)).otherwise(F.xxhash64("s_text"))
+    searches = materialise(searches.withColumn("salt", key), "rule-searches")
+    return searches.withColumn("s_flat", F.replace("s_text", F.lit(" "), F.lit(""))), materialise(trigger_table(rules), "rule-triggers")
+
+
+def join_indexed(searches: DataFrame, triggers: DataFrame, how: str, begins: DataFrame | None = None, per: int = TEXTS_PER_SALT) -> DataFrame:
+    """`indexed_tables` joined by the index, see `join_triggers`; a pair may come twice, and with `begins` see `matching_pairs`."""
+    pairs = matching_pairs(searches.withColumnRenamed("salt", "s_key"), triggers, per, begins)
+    triggers = pairs.join(triggers, ["t_client", "t_text"]).withColumnRenamed("t_key", "t_salt")
+    condition = (F.col("client_id") == F.col("t_client")) & (F.col("salt") == F.col("t_salt")) & allowed() & matches()
+    return searches.join(triggers, condition, how)
+
+
 def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per: int = TEXTS_PER_SALT, indexed: bool = False) -> DataFrame:
     """Searches (client_id, search columns, optional `coded_unknown`) joined to the triggers they match.
 
@@ -270,10 +329,7 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per
     searches = searches.select("*", F.replace("s_text", F.lit(" "), F.lit("")).alias("s_flat"))
     triggers = trigger_table(rules)
     if indexed:
-        # an empty text matches nothing; its other columns spread it
-        plain = [f.name for f in searches.schema if f.dataType.typeName() in ("string", "integer", "long")]
-        key = F.when(F.col("s_text") == "", F.xxhash64(*plain)).otherwise(F.xxhash64("s_text"))
-        searches = searches.withColumn("salt", key)
+        searches, triggers = indexed_tables(searches.drop("s_flat"), rules)
         triggers = verified(searches.withColumnRenamed("salt", "s_key"), triggers, per).withColumnRenamed("t_key", "t_salt")
     else:
         salts = client_salts(searches, per)
@@ -286,8 +342,7 @@ def join_triggers(searches: DataFrame, rules: DataFrame, how: str = "inner", per
     condition = (
         (F.col("client_id") == F.col("t_client"))
         & (F.col("salt") == F.col("t_salt"))
-        & (~F.col("t_ach_only") | F.col("s_ach"))
-        & ~(F.col("coded_unknown") & F.col("t_dropped_when_coded"))
+        & allowed()
         & matches()
     )
     return searches.join(triggers, condition, how)
@@ -298,7 +353,15 @@ def first_rule(texts: DataFrame, rules: DataFrame, keys: list[str], description:
     """First matching rule and trigger per distinct text; texts without a match keep null."""
     payee_col = F.col(payee) if payee else F.lit(None).cast("string")
     searches = texts.select("*", *[c.alias(n) for n, c in search_columns(F.col(description), payee_col).items()])
-    hits = join_triggers(searches, rules, "left", indexed=indexed)
+    if indexed:
+        searches, triggers = indexed_tables(searches, rules)
+        # of the triggers of one first word that a text begins with, only the first can win
+        first = triggers.filter(F.length("t_w1") >= 5).groupBy("t_client", "t_w1", "t_ach_only", "t_dropped_when_coded").agg(
+            F.min(F.when(F.size("t_words") >= 2, F.struct("rule_pos", "trigger_pos", "t_text", "t_words"))).alias("t")
+        )
+        hits = join_indexed(searches, triggers, "left", first.select("t_client", "t_w1", "t.t_text", "t.t_words"))
+    else:
+        hits = join_triggers(searches, rules, "left")
     best = F.min_by(
         F.struct(*RULE_FIELDS, F.col("rule_pos"), tx.strip(F.col("trigger")).alias("trigger")),
         F.when(F.col("rule_pos").isNotNull(), F.struct("rule_pos", "trigger_pos")),

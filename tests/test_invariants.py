@@ -154,6 +154,45 @@ def test_index_of_grams_verifies_few_pairs(inputs):
     assert 0 < met * 3 < every
 
 
+RULE_SCHEMA = "client_id int, rule_pos int, rule_id string, trigger_payee_contains array<string>, account_id string, account_name string, category_type string, logic string, vendor_code string, ach_vendor_only boolean"
+
+
+def both_ways(texts, table):
+    """First rules by the plain join and by the index, as comparable rows."""
+    keys = ["client_id", "description", "payee_name"]
+    for f, column in ((rules.first_rule, "rule"),):
+        yield [sorted(map(str, f(texts, table, keys, indexed=indexed).select(*keys, column).collect())) for indexed in (False, True)]
+
+
+def test_indexed_match_writes_no_pair_for_a_common_first_word(spark, monkeypatch):
+    """Texts that begin with the first word of every trigger match all of them; the index lists those once."""
+    kept = {}
+    pairs, write = rules.candidate_pairs, rules.materialise
+    monkeypatch.setattr(rules, "candidate_pairs", lambda *a, **b: kept.setdefault("pairs", []).append(pairs(*a, **b)) or kept["pairs"][-1])
+    monkeypatch.setattr(rules, "materialise", lambda df, name: kept.setdefault(name, write(df, name)) if name == "trigger-keys" else write(df, name))
+    n = 300
+    table = spark.createDataFrame([(1, k, f"r{k}", [f"small bolt lot {70000 + 7 * k}", f"Brand {70000 + 7 * k}"], "", f"acc{k}", "x", "", None, False) for k in range(n)], RULE_SCHEMA)
+    texts = spark.createDataFrame([(1, f"small bolt {70000 + 7 * k} LOT", "") for k in range(n)], "client_id int, description string, payee_name string")
+    for plain, indexed in both_ways(texts, table):
+        assert indexed == plain and len(plain) == n
+    assert all(p.count() < 20 * n for p in kept["pairs"])
+    assert kept["trigger-keys"].count() < 5 * 2 * n
+
+
+def test_indexed_match_equals_the_plain_join(spark):
+    """First words inside one another, ACH rules, generic rules of coded rows, matches beside the listed ones."""
+    r = random.Random(3)
+    words = ["SMALL", "SMALLER", "SMALLEST", "HOT", "BOLT", "LOT 5", "PAYMENT", "WIRE", "AB", "LOANS"]
+    table = spark.createDataFrame(
+        [(k % 2, k, f"r{k}", [" ".join(r.choices(words, k=r.randint(1, 3))) + r.choice(["", f" {r.randint(1, 40)}"]) for _ in range(r.randint(1, 2))], "", f"acc{k}", "x", "", None, k % 3 == 0) for k in range(80)], RULE_SCHEMA
+    )
+    texts = {(k % 3, r.choice(["", "ACH DEBIT VENDOR PAYMENT ", "SMA "]) + r.choice(["", " "]).join(r.choices(words, k=r.randint(1, 4))) + f" {r.randint(1, 40)}", r.choice(["", "HOT"])) for k in range(250)}
+    coded = {t: r.random() < 0.3 for t in texts}
+    frame = spark.createDataFrame([(*t, coded[t]) for t in sorted(texts)], "client_id int, description string, payee_name string, coded_unknown boolean")
+    for plain, indexed in both_ways(frame, table):
+        assert indexed == plain and len(plain) > 100
+
+
 @pytest.mark.parametrize("blocks", [(7, 5, 4), (1000, 1000, 1000), (1000, 3, 9)])
 def test_neighbours_against_brute_force(spark, blocks):
     rng = np.random.default_rng(3)
