@@ -294,6 +294,12 @@ def rule_struct() -> Column:
     return F.struct("rule_pos", *RULE_FIELDS)
 
 
+def begins_with_word() -> Column:
+    """The form of the predicate by which a text matches every trigger of two or more long words that has its first word."""
+    first = F.col("t_w1")
+    return (F.size("t_words") >= 2) & F.contains(F.col("s_text"), first) & (F.length(first) >= 5) & F.startswith(F.col("s_flat"), first)
+
+
 def allowed() -> Column:
     """Whether a search meets a trigger at all."""
     return (~F.col("t_ach_only") | F.col("s_ach")) & ~(F.col("coded_unknown") & F.col("t_dropped_when_coded"))
@@ -374,7 +380,9 @@ def all_rules(texts: DataFrame, rules: DataFrame, keys: list[str], description:
     """All matching rules per distinct text, once each, in rule order."""
     payee_col = F.col(payee) if payee else F.lit(None).cast("string")
     searches = texts.select("*", *[c.alias(n) for n, c in search_columns(F.col(description), payee_col).items()])
-    hits = join_triggers(searches, rules, indexed=indexed)
+    if indexed:
+        return all_rules_indexed(*indexed_tables(searches, rules), keys)
+    hits = join_triggers(searches, rules)
     return (
         hits.groupBy(*keys, "salt")
         .agg(F.array_sort(F.collect_set(rule_struct())).alias("rules"))
@@ -382,6 +390,40 @@ def all_rules(texts: DataFrame, rules: DataFrame, keys: list[str], description:
     )
 
 
+def all_rules_indexed(searches: DataFrame, triggers: DataFrame, keys: list[str]) -> DataFrame:
+    """`all_rules` over `indexed_tables`.
+
+    A text that begins with a trigger's first word matches all triggers with that word, so they are listed once for each
+    word, not in pairs. First words that one text begins with begin one another: the longest names the list.
+    """
+    head = F.left(F.col("t_w1"), F.lit(5)).alias("head")
+    worded = triggers.filter((F.size("t_words") >= 2) & (F.length("t_w1") >= 5))
+    words = materialise(worded.groupBy(F.col("t_client").alias("client_id"), head).agg(F.collect_set("t_w1").alias("firsts")), "first-words")
+    begun = F.filter("firsts", lambda w: F.contains(F.col("s_text"), w) & F.startswith(F.col("s_flat"), w))
+    searches = (
+        searches.withColumn("head", F.left(F.col("s_flat"), F.lit(5))).join(words, ["client_id", "head"], "left")
+        .withColumn("begun", F.array_max(begun)).drop("head", "firsts")
+    )
+    asked = searches.filter("begun IS NOT NULL").select("client_id", "begun", "s_ach", "coded_unknown").distinct()
+    member = (F.col("client_id") == F.col("t_client")) & (F.left(F.col("begun"), F.lit(5)) == F.col("head")) & F.startswith("begun", "t_w1")
+    lists = (
+        asked.join(worded.withColumn("head", head), member & allowed())
+        .groupBy("client_id", "begun", "s_ach", "coded_unknown").agg(F.array_sort(F.collect_set(rule_struct())).alias("listed"))
+    )
+    others = join_indexed(searches, triggers, "left", triggers.filter(F.lit(False)))
+    in_list = F.coalesce(begins_with_word(), F.lit(False))
+    per_text = others.groupBy(*keys, "salt").agg(
+        F.collect_set(F.when(F.col("rule_pos").isNotNull() & ~in_list, rule_struct())).alias("own"),
+        *[F.max(c).alias(c) for c in ("begun", "s_ach", "coded_unknown")],
+    ).filter((F.size("own") > 0) | F.col("begun").isNotNull())
+    # texts without a list are spread by a stand-in that no list has
+    named = per_text.withColumn("begun", spread_key(F.col("begun"), F.col("salt")))
+    joined = named.join(lists, ["client_id", "begun", "s_ach", "coded_unknown"], "left")
+    own = F.filter("own", lambda r: ~F.array_contains("listed", r))
+    rules = F.when(F.col("listed").isNull(), F.array_sort("own")).when(F.size("own") == 0, F.col("listed")).otherwise(F.array_sort(F.concat("listed", own)))
+    return joined.withColumn("rules", rules).filter(F.size("rules") > 0).select(*keys, "rules")
+
+
 def vendor_map(rules: DataFrame) -> DataFrame:
     """Vendor code to rule: an explicit code first, else a code inside a trigger; first rule wins."""
     explicit = F.transform(

@@ -158,9 +158,9 @@ RULE_SCHEMA = "client_id int, rule_pos int, rule_id string, trigger_payee_contai
 
 
 def both_ways(texts, table):
-    """First rules by the plain join and by the index, as comparable rows."""
+    """First and all rules by the plain join and by the index, as comparable rows."""
     keys = ["client_id", "description", "payee_name"]
-    for f, column in ((rules.first_rule, "rule"),):
+    for f, column in ((rules.first_rule, "rule"), (rules.all_rules, "rules")):
         yield [sorted(map(str, f(texts, table, keys, indexed=indexed).select(*keys, column).collect())) for indexed in (False, True)]
 
 
