@@ -84,6 +84,7 @@ class Chunk:
         found = [(empty, empty, empty.astype(np.uint64)), *(self._runs(data, k, min(total, k + PIECE)) for k in range(0, total, PIECE))]
         self.run_start, self.run_size, self.run_name = map(np.concatenate, zip(*found))
         self.run_doc = np.searchsorted(self.starts, self.run_start, "right") - 1
+        self._name_runs()
 
     def _runs(self, data: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and name of the runs among the windows that start in lo..hi; a run may be cut anywhere."""
@@ -100,17 +101,21 @@ class Chunk:
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         return np.repeat(start, parts) + within * WINDOWS + lo, np.minimum(np.repeat(size, parts) - within * WINDOWS, WINDOWS), np.repeat(name, parts)
 
-    def distinct_names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted names, and whether two documents of this chunk have each."""
-        order = np.argsort(self.run_name, kind="stable")
+    def _name_runs(self) -> None:
+        """names: sorted and distinct; twice: whether two documents of this chunk have each; name_of_run: which of them a run has."""
+        order = np.argsort(self.run_name)
         name, doc = self.run_name[order], self.run_doc[order]
-        first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(name)) - 1
-        return name[first], doc[first] != doc[last] if len(name) else np.empty(0, bool)
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        first = np.flatnonzero(new)
+        self.names = name[first]
+        self.twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(name) else np.empty(0, bool)
+        self.name_of_run = np.empty(len(name), np.int64)
+        self.name_of_run[order] = np.cumsum(new) - 1
 
     def contexts_per_name(self) -> np.ndarray:
         """For each distinct name: how many distinct contexts it has."""
-        at, runs = np.unique(self.run_name, return_inverse=True, return_counts=True)[1:]
+        at, runs = self.name_of_run, np.bincount(self.name_of_run, minlength=len(self.names))
         rows = np.flatnonzero(runs[at] > 1)
         start = self.run_start[rows]
         body, seen = self.body, {}
@@ -171,7 +176,7 @@ def _names(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = _read_chunk(row)
-                names, twice = chunk.distinct_names()
+                names, twice = chunk.names, chunk.twice
                 contexts = chunk.contexts_per_name().astype(np.uint32)
                 at = bucket_of(names, buckets)
                 edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
@@ -212,7 +217,7 @@ def _shared_names(crowded: int):
         twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]) for r in rows])
         contexts = np.concatenate([np.frombuffer(opened(r["contexts"]), np.uint32) for r in rows]).astype(np.int64)
         every = np.concatenate(names)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         ordered = every[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.append(first, len(ordered)))
@@ -276,7 +281,7 @@ class Contexts:
     """Distinct contexts of a chunk in the order of their buckets; for each shared run the context that it is. windows: those of crowded names."""
 
     def __init__(self, chunk: Chunk, replies: list[dict], name_buckets: int, buckets: int, window_buckets: int):
-        names, _ = chunk.distinct_names()
+        names, name_of_run = chunk.names, chunk.name_of_run
         shared, crowded = np.zeros(len(names), bool), np.zeros(len(names), bool)
         at = bucket_of(names, name_buckets)
         for r in replies:
@@ -287,7 +292,6 @@ class Contexts:
                 shared[lo:hi] = np.unpackbits(bits[:half], count=hi - lo)
                 if len(bits) > half:
                     crowded[lo:hi] = np.unpackbits(bits[half:], count=hi - lo)
-        name_of_run = np.searchsorted(names, chunk.run_name)
         runs = np.flatnonzero(shared[name_of_run]) if len(names) else np.empty(0, np.int64)
         self.windows = Windows(chunk, np.flatnonzero(crowded[name_of_run]) if len(names) else runs, window_buckets)
         self.start, self.size, self.doc = chunk.run_start[runs], chunk.run_size[runs], chunk.run_doc[runs]
@@ -345,7 +349,7 @@ def window_classes(bodies: list[bytes], least_id: np.ndarray) -> np.ndarray:
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(np.cumsum(sizes) - sizes, counts) + within
     owner = np.repeat(least_id, counts)
-    order = np.argsort(suffix_ranks(text.astype(np.int64), LENGTH)[at], kind="stable")
+    order = np.argsort(suffix_ranks(text.astype(np.int64), LENGTH)[at])
     # neighbours whose first LENGTH bytes agree, by eight-byte words
     words = np.ndarray(len(text) - 7, np.uint64, text.tobytes(), strides=(1,))
     place = at[order]
@@ -393,7 +397,7 @@ def _verdicts(group: pa.Table) -> pa.Table:
     first = np.cumsum(counts) - counts
     smallest = np.repeat(least, counts)
     # a context that is alone under its name equals no other: only the rest is sorted
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     edge = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
     together = np.diff(np.append(edge, len(order)))
     several = np.sort(order[np.repeat(together > 1, together)])

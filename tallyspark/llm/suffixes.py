@@ -30,6 +30,19 @@ def _named(key: np.ndarray) -> tuple[np.ndarray, int]:
     return names, int(ranks[-1]) + 1
 
 
+def _below(key: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key how many are smaller, and how many of those from place `z` on; by one sort, as a search for each key would miss the caches."""
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    times = np.diff(np.append(first, len(key)))
+    late = np.concatenate(([0], np.cumsum(order >= z)))
+    below, late_below = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+    below[order] = np.repeat(first, times)
+    late_below[order] = np.repeat(late[first], times)
+    return below, late_below
+
+
 def suffix_ranks(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     """For every suffix of `text` (numbers from 0) how many suffixes are smaller, as far as `depth` base characters.
 
@@ -51,16 +64,15 @@ def suffix_ranks(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     rank[sample] = names + 1
     zero = np.arange(0, size, 3)
 
-    def less(of: np.ndarray, among: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.sort(among), of)
-
     # a suffix at 0 meets those at 1 by (character, rank behind it), those at 2 by (two characters, rank behind them)
     by_one = _packed([np.concatenate((padded[zero], padded[first])), np.concatenate((rank[zero + 1], rank[first + 1]))])
     by_two = _packed([np.concatenate((padded[a], padded[b])) for a, b in ((zero, second), (zero + 1, second + 1))] + [np.concatenate((rank[zero + 2], rank[second + 2]))])
     z = len(zero)
     out = np.empty(len(padded), np.int64)
-    out[zero] = less(by_one[:z], by_one[:z]) + less(by_one[:z], by_one[z:]) + less(by_two[:z], by_two[z:])
-    smaller = less(names, names)
-    out[first] = smaller[: len(first)] + less(by_one[z:], by_one[:z])
-    out[second] = smaller[len(first) :] + less(by_two[z:], by_two[:z])
+    below_one, firsts_below = _below(by_one, z)
+    below_two, seconds_below = _below(by_two, z)
+    smaller = np.concatenate(([0], np.cumsum(np.bincount(names))))[names]
+    out[zero] = below_one[:z] + seconds_below[:z]
+    out[first] = smaller[: len(first)] + below_one[z:] - firsts_below[z:]
+    out[second] = smaller[len(first) :] + below_two[z:] - seconds_below[z:]
     return out[:n]

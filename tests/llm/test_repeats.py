@@ -51,6 +51,17 @@ def test_suffix_ranks():
             assert [s[i : i + depth] for i in got] == sorted(s[i : i + depth] for i in range(len(s)))
 
 
+def test_ranks_are_counted_without_a_search_for_each_suffix(monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choices("abc", k=3000)) + "abcab" * 300
+    asked, search = [0], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: asked.__setitem__(0, asked[0] + np.size(v)) or search(a, v, *rest, **more))
+    rank = suffix_ranks(np.frombuffer(text.encode(), np.uint8).astype(np.int64), 10**6)
+    assert asked[0] < 100
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    assert [int(rank[i]) for i in order] == sorted(map(int, rank)) and len(set(map(int, rank))) == len(text)
+
+
 @pytest.mark.parametrize("chunk", [8 << 20, 3000])
 def test_planted_passages(spark, monkeypatch, chunk):
     monkeypatch.setattr(repeats, "CHUNK", chunk)
